@@ -59,14 +59,17 @@ def declared_casts(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.select(*cols)
 
 
+_EDGE_SPACE = r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$"
+
+
 def clean_strings(df: DataFrame, fill: str | None = "", trim: bool = True) -> DataFrame:
-    """Trim string columns and fill their nulls with ``fill``."""
+    """Strip leading/trailing whitespace of string columns, fill their nulls with ``fill``."""
     cols = []
     for c, t in df.dtypes:
         col = F.col(f"`{c}`")
         if t == "string":
             if trim:
-                col = F.trim(col)
+                col = F.regexp_replace(col, F.lit(_EDGE_SPACE), F.lit(""))
             if fill is not None:
                 col = F.coalesce(col, F.lit(fill))
         cols.append(col.alias(c))

@@ -68,15 +68,16 @@ def ordered_lag(df: DataFrame, keys: Sequence[str], time_col: str, id_col: str,
     w = _row_window(keys, time_col, id_col)
     rows = (df.withColumn(BUCKET, _bucket(time_col, bucket_hours, numeric))
               .withColumn("_seq_local_prev", F.lag(value_col).over(w))
-              .withColumn("_seq_first", F.lag(F.lit(1)).over(w).isNull()))
-    last = F.max(_order_key(time_col, id_col, F.col(value_col).alias("v")))
-    summ = rows.groupBy(*keys, BUCKET).agg(last.getField("v").alias("_seq_last"))
+              .withColumn("_seq_first", F.lag(F.lit(1)).over(w).isNull())
+              .withColumn("_seq_last_row", F.lead(F.lit(1)).over(w).isNull()))
+    summ = rows.groupBy(*keys, BUCKET).agg(
+        F.max(F.when(F.col("_seq_last_row"), F.col(value_col))).alias("_seq_last"))
     info = summ.select(*keys, BUCKET,
                        F.lag("_seq_last").over(_bucket_window(keys)).alias("_seq_carry"))
     out = rows.join(info, on=keys + [BUCKET], how="inner")
     return out.withColumn(
         out_col, F.when(F.col("_seq_first"), F.col("_seq_carry")).otherwise(F.col("_seq_local_prev"))
-    ).drop("_seq_local_prev", "_seq_first", "_seq_carry", BUCKET)
+    ).drop("_seq_local_prev", "_seq_first", "_seq_last_row", "_seq_carry", BUCKET)
 
 
 def ordered_row_number(df: DataFrame, keys: Sequence[str], time_col: str, id_col: str,
@@ -120,18 +121,21 @@ def streaks(df: DataFrame, flag_col: str, keys: Sequence[str], time_col: str, id
     t = F.col(time_col)
     rows = (df.withColumn(BUCKET, _bucket(time_col, bucket_hours, numeric))
               .withColumn(f, _run_value(df, flag_col)))
-    has_prev, has_next = F.lag(F.lit(1)).over(w).isNotNull(), F.lead(F.lit(1)).over(w).isNotNull()
     prev_f, next_f = F.lag(f).over(w), F.lead(f).over(w)
     rows = (rows
-            .withColumn("_seq_ls", has_prev & ~F.col(f).eqNullSafe(prev_f))
-            .withColumn("_seq_le", has_next & ~F.col(f).eqNullSafe(next_f)))
+            .withColumn("_seq_hp", F.lag(F.lit(1)).over(w).isNotNull())
+            .withColumn("_seq_hn", F.lead(F.lit(1)).over(w).isNotNull())
+            .withColumn("_seq_ls", F.col("_seq_hp") & ~F.col(f).eqNullSafe(prev_f))
+            .withColumn("_seq_le", F.col("_seq_hn") & ~F.col(f).eqNullSafe(next_f)))
     rows = (rows
             .withColumn("_seq_nstart", F.sum(F.col("_seq_ls").cast("long")).over(upto))
             .withColumn("_seq_st", F.max(F.when(F.col("_seq_ls"), t)).over(upto))
             .withColumn("_seq_et", F.min(F.when(F.col("_seq_le"), t)).over(after)))
 
-    first = F.min(_order_key(time_col, id_col, F.col(f).alias("v"))).getField("v")
-    last = F.max(_order_key(time_col, id_col, F.col(f).alias("v"))).getField("v")
+    # The bucket's first and last value come from the rows the window marked
+    # as first and last, so no ordered aggregate is needed.
+    first = F.max(F.when(~F.col("_seq_hp"), F.col(f)))
+    last = F.max(F.when(~F.col("_seq_hn"), F.col(f)))
     summ = rows.groupBy(*keys, BUCKET).agg(
         F.max(F.lit(1)).alias("_b_one"),
         first.alias("_b_ff"), last.alias("_b_lf"),
