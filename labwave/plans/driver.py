@@ -75,3 +75,53 @@ def plasma_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == CREA_EVENT, F.col("value")).alias(N.CREA_MEASURE),
         F.when(F.col("event_type") == MTX_EVENT, F.col("value")).alias(N.MTX_MEASURE),
     )
+
+
+def codebook_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codebook sheet in long form from ``lineitem``: every order is a coded
+    column, every line a ``code | label`` cell (line number | part). A returned
+    line leaves its cell empty, which ends that column's code list."""
+    li = load(spark, sf_dir, "lineitem")
+    key = F.col("l_orderkey").cast("string")
+    cell = F.concat(F.col("l_linenumber").cast("string"), F.lit(" | part "),
+                    F.col("l_partkey").cast("string"))
+    rows = li.select(
+        F.concat(F.lit("O"), key).alias("column_name"),
+        F.concat(F.lit("order "), key).alias("description"),
+        "l_linenumber", F.struct("l_partkey", "l_suppkey").alias("_tb"),
+        F.when(F.col("l_returnflag") != "R", cell).alias("cell"),
+    )
+    # Sheet row: position within the column by line, then part and supplier.
+    rows = ordered_row_number(rows, ["column_name"], "l_linenumber", "_tb", "row_no",
+                              bucket_hours=1024, numeric=True)
+    return rows.select("column_name", "description", "row_no", "cell")
+
+
+def description_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Description sheet in sheet order from ``lineitem``: the variable is the
+    part, the question names the order (empty for returned lines), the detail
+    is the line number; rows are ordered by (order, line)."""
+    li = load(spark, sf_dir, "lineitem")
+    return li.select(
+        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("variable"),
+        F.when(F.col("l_returnflag") != "R",
+               F.concat(F.lit("order "), F.col("l_orderkey").cast("string"))).alias("question"),
+        F.col("l_linenumber").cast("string").alias("detail_value"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_no"),
+        F.struct("l_partkey", "l_suppkey").alias("row_tb"),
+    )
+
+
+def part_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The column list to describe: one column per part."""
+    return load(spark, sf_dir, "part").select(
+        F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("column_name"))
+
+
+def part_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second description table (an update file) for the parts priced over 1500."""
+    p = load(spark, sf_dir, "part").filter(F.col("p_retailprice") > 1500)
+    return p.select(
+        F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("column_name"),
+        F.col("p_name").alias("description"),
+        F.create_map(F.lit("size"), F.col("p_size").cast("string")).alias("details"))

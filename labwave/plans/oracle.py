@@ -9,7 +9,8 @@ from __future__ import annotations
 from ..functions.scalar import TIME_BINS, UNBINNED
 from ..operators import diagnostics as X
 from ..operators.reshape import bin_columns
-from .queries import CHART_PATIENT, DX_PARAMS
+from ..sources.sql import DRIVER_TABLES
+from .queries import ADHOC_SQL, CHART_PATIENT, DX_PARAMS, PARAM_SQL, PARAM_VALUES
 
 WS = r"[ \t\n\x0B\f\r]"
 
@@ -204,6 +205,112 @@ DOCS_LABELS = """SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxi
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
 
 
+CODEBOOK_SHEET = """SELECT 'O' || CAST(l_orderkey AS VARCHAR) AS column_name,
+  'order ' || CAST(l_orderkey AS VARCHAR) AS description,
+  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INTEGER) AS row_no,
+  CASE WHEN l_returnflag <> 'R' THEN CAST(l_linenumber AS VARCHAR) || ' | part ' || CAST(l_partkey AS VARCHAR) END AS cell
+FROM lineitem"""
+
+CODEBOOK_CODES = f"""WITH s AS ({CODEBOOK_SHEET}),
+st AS (SELECT column_name, min(CASE WHEN cell IS NULL OR trim(cell) = '' THEN row_no END) AS stop
+  FROM s GROUP BY column_name)
+SELECT s.column_name, s.description, s.row_no, split_part(s.cell, ' | ', 1) AS code,
+  CASE WHEN strpos(s.cell, ' | ') > 0 THEN substring(s.cell, strpos(s.cell, ' | ') + 3) END AS label
+FROM s JOIN st ON st.column_name = s.column_name WHERE st.stop IS NULL OR s.row_no < st.stop"""
+
+CODEBOOK_MAPS = f"""WITH c AS ({CODEBOOK_CODES}),
+d AS (SELECT column_name, description FROM (SELECT column_name, description,
+    row_number() OVER (PARTITION BY column_name ORDER BY row_no) AS k FROM c) x WHERE k = 1),
+e AS (SELECT column_name, code, min(row_no) AS r, arg_max(label, row_no) AS v FROM c
+  WHERE code IS NOT NULL GROUP BY column_name, code),
+m AS (SELECT column_name, count(*) AS n_codes,
+  to_json(map_from_entries(list(struct_pack(k := code, v := v) ORDER BY r))) AS details_json
+  FROM e GROUP BY column_name)
+SELECT d.column_name, d.description, m.n_codes, m.details_json FROM d JOIN m USING (column_name)"""
+
+DESCRIPTION_SHEET = """SELECT 'P' || CAST(l_partkey AS VARCHAR) AS variable,
+  CASE WHEN l_returnflag <> 'R' THEN 'order ' || CAST(l_orderkey AS VARCHAR) END AS question,
+  CAST(l_linenumber AS VARCHAR) AS detail_value, l_orderkey * 8 + l_linenumber AS row_no,
+  l_partkey AS tb1, l_suppkey AS tb2
+FROM lineitem"""
+
+DESCRIBED = f"""WITH sh AS ({DESCRIPTION_SHEET}),
+r1 AS (SELECT *, lag(variable) OVER (ORDER BY row_no, tb1, tb2) AS pv,
+  row_number() OVER (ORDER BY row_no, tb1, tb2) AS rn FROM sh),
+r2 AS (SELECT *, sum(CASE WHEN rn = 1 OR pv IS DISTINCT FROM variable THEN 1 ELSE 0 END)
+  OVER (ORDER BY row_no, tb1, tb2 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM r1),
+fr AS (SELECT variable, min(run) AS run FROM r2 GROUP BY variable),
+rw AS (SELECT r2.* FROM r2 JOIN fr ON fr.variable = r2.variable AND fr.run = r2.run),
+fq AS (SELECT variable, question AS q FROM (SELECT variable, question,
+  row_number() OVER (PARTITION BY variable ORDER BY row_no, tb1, tb2) AS k FROM rw) x WHERE k = 1),
+en0 AS (SELECT variable, detail_value AS k, coalesce(question, detail_value) AS v,
+  row_number() OVER (PARTITION BY variable, detail_value ORDER BY row_no, tb1, tb2) AS first_k,
+  row_number() OVER (PARTITION BY variable, detail_value ORDER BY row_no DESC, tb1 DESC, tb2 DESC) AS last_k,
+  row_no, tb1, tb2 FROM rw WHERE detail_value IS NOT NULL),
+en AS (SELECT f.variable, f.k, f.row_no AS r, f.tb1 AS r1, f.tb2 AS r2, l.v FROM en0 f
+  JOIN en0 l ON l.variable = f.variable AND l.k = f.k AND l.last_k = 1 WHERE f.first_k = 1),
+mp AS (SELECT variable, to_json(map_from_entries(list(struct_pack(k := k, v := v) ORDER BY r, r1, r2))) AS dj
+  FROM en GROUP BY variable),
+per AS (SELECT fq.variable, trim(fq.q) AS d, CASE WHEN fq.q IS NOT NULL THEN coalesce(mp.dj, '{{}}') END AS dj
+  FROM fq LEFT JOIN mp ON mp.variable = fq.variable),
+cols AS (SELECT 'P' || CAST(p_partkey AS VARCHAR) AS column_name FROM part)
+SELECT cols.column_name, coalesce(per.d, cols.column_name) AS description, per.dj AS details_json
+FROM cols LEFT JOIN per ON per.variable = cols.column_name"""
+
+PART_DESCRIPTIONS = """SELECT 'P' || CAST(p_partkey AS VARCHAR) AS column_name, p_name AS description,
+  to_json(map(['size'], [CAST(p_size AS VARCHAR)])) AS details_json FROM part WHERE p_retailprice > 1500"""
+
+LINK_COLUMNS = f"""SELECT DISTINCT table_name, column_name FROM information_schema.columns
+WHERE table_name IN ({", ".join(f"'{t}'" for t in DRIVER_TABLES)})"""
+
+
+def _bind(text: str, values: dict) -> str:
+    for k, v in values.items():
+        lit = f"'{v}'" if isinstance(v, str) else repr(v)
+        text = text.replace(f"[{k}]", lit)
+    return text
+
+
+def _extra_oracles() -> dict[str, str]:
+    return {
+        "codebook_split": CODEBOOK_CODES,
+        "codebook_maps": CODEBOOK_MAPS,
+        "describe_columns": DESCRIBED,
+        "merge_descriptions": f"""WITH u AS (SELECT column_name, description, details_json, 0 AS prio FROM ({DESCRIBED}) a
+  UNION ALL SELECT column_name, description, details_json, 1 FROM ({PART_DESCRIPTIONS}) b),
+r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY prio DESC) AS k FROM u)
+SELECT column_name, description, details_json FROM r WHERE k = 1""",
+        "descriptions_flatten": f"""SELECT 'lineitem' AS table_name, column_name, description, details_json
+FROM ({CODEBOOK_MAPS}) m""",
+        "codebook_write": f"SELECT column_name, description, n_codes, details_json FROM ({CODEBOOK_MAPS}) m",
+        "codebook_scan": f"""WITH c AS ({CODEBOOK_CODES}),
+e AS (SELECT column_name, code, arg_max(label, row_no) AS label FROM c WHERE code IS NOT NULL
+  GROUP BY column_name, code)
+SELECT column_name, code, label FROM e""",
+        "codebook_combine": f"""SELECT column_name, description, n_codes AS n_details FROM ({CODEBOOK_MAPS}) m
+UNION ALL
+SELECT column_name, description, CAST(json_array_length(json_keys(CAST(details_json AS JSON))) AS BIGINT)
+FROM ({DESCRIBED}) d""",
+        "list_columns": LINK_COLUMNS,
+        "key_links": f"""SELECT column_name, string_agg(table_name, ',' ORDER BY table_name) AS tables,
+  count(*) AS n_tables FROM ({LINK_COLUMNS}) c WHERE upper(column_name) LIKE '%ID%'
+GROUP BY column_name HAVING count(*) > 1""",
+        "key_containment": """WITH k AS (
+  SELECT DISTINCT 'doc_id' AS column_name, 'documents' AS table_name, CAST(doc_id AS VARCHAR) AS key
+    FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT DISTINCT 'doc_id', 'labels', CAST(doc_id AS VARCHAR) FROM labels WHERE doc_id IS NOT NULL),
+pk AS (SELECT column_name, key, count(*) AS n FROM k GROUP BY column_name, key)
+SELECT k.column_name, k.table_name, count(*) AS n_keys, count(*) FILTER (WHERE pk.n > 1) AS n_shared
+FROM k JOIN pk ON pk.column_name = k.column_name AND pk.key = k.key GROUP BY k.column_name, k.table_name""",
+        "sql_adhoc": ADHOC_SQL,
+        "sql_params": _bind(PARAM_SQL, PARAM_VALUES),
+        "csv_roundtrip": f"""SELECT NOPHO_NR, SAMPLE_ID, PL_DATETIME, IUPAC_CODE, PL_Value, INFNO, SEX,
+  MP6_POST_STOP, detection FROM ({dx_sql('dx_renal')}) q""",
+        "table_append": INFUSIONS,
+    }
+
+
 def _dx_oracles() -> dict[str, str]:
     return {k: dx_sql(k) for k in DX_PARAMS}
 
@@ -316,4 +423,5 @@ FROM documents, generate_series(0, CAST(ceil(length(text) / 4096.0) AS BIGINT) -
   count(*) AS n_lines FROM conversations GROUP BY conv_id""",
     }
     o.update(_dx_oracles())
+    o.update(_extra_oracles())
     return o

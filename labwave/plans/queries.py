@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import names as N
 from ..functions import scalar as S
 from ..operators import attribute as A
+from ..operators import codebook as CB
 from ..operators import clean as C
 from ..operators import diagnostics as X
 from ..operators import reshape as R
@@ -21,6 +22,9 @@ from ..operators import sampling as SM
 from ..operators import streaks as ST
 from ..operators import text as T
 from ..operators.sequence import ordered_row_number
+from ..sources import catalog as CAT
+from ..sources import files as FS
+from ..sources import sql as SQ
 from . import driver as D
 
 PL_DAY = "PL_DAY"
@@ -288,6 +292,111 @@ def q_concat_group_text(spark, d):
     return T.concat_group_text(D.load(spark, d, "conversations"))
 
 
+# ---------------------------------------------------------------- codebooks
+def _json_details(df, col="details", out="details_json"):
+    return df.withColumn(out, F.to_json(col)).drop(col)
+
+
+def codebook_codes(spark, d):
+    return CB.codebook_split(D.codebook_sheet(spark, d))
+
+
+def codebook_maps(spark, d):
+    return CB.codebook_maps(codebook_codes(spark, d))
+
+
+def described_parts(spark, d):
+    return CB.describe_columns(D.part_columns(spark, d), D.description_sheet(spark, d),
+                               tie="row_tb")
+
+
+def q_codebook_split(spark, d):
+    return codebook_codes(spark, d)
+
+
+def q_codebook_maps(spark, d):
+    return _json_details(codebook_maps(spark, d))
+
+
+def q_describe_columns(spark, d):
+    return _json_details(described_parts(spark, d))
+
+
+def q_merge_descriptions(spark, d):
+    merged = CB.merge_descriptions(described_parts(spark, d), D.part_descriptions(spark, d))
+    return _json_details(merged)
+
+
+def q_descriptions_flatten(spark, d):
+    m = codebook_maps(spark, d)
+    doc = F.to_json(F.create_map(F.lit("lineitem"), F.create_map(
+        F.col("column_name"), F.struct("description", "details"))))
+    return _json_details(CB.descriptions_flatten(m.select(doc.alias("value"))))
+
+
+def q_codebook_write(spark, d):
+    path = FS.write_codebook(codebook_maps(spark, d), FS.shared_dir(spark, "codebook"))
+    back = FS.read_codebook(spark, path)
+    return _json_details(back.withColumn("n_codes", F.size("details").cast("long")))
+
+
+def q_codebook_scan(spark, d):
+    path = FS.write_codebook(codebook_maps(spark, d), FS.shared_dir(spark, "codebook"))
+    return CB.codebook_rows(FS.read_codebook(spark, path))
+
+
+def q_codebook_combine(spark, d):
+    a = FS.write_codebook(codebook_maps(spark, d), FS.shared_dir(spark, "codebook-orders"))
+    b = FS.write_codebook(described_parts(spark, d), FS.shared_dir(spark, "codebook-parts"))
+    out = FS.combine_codebooks(spark, [a, b], FS.shared_dir(spark, "codebook-combined"))
+    return out.select("column_name", "description",
+                      F.size("details").cast("long").alias("n_details"))
+
+
+# ---------------------------------------------------------------- catalog, SQL, sinks
+def q_list_columns(spark, d):
+    return CAT.list_columns(spark, d, SQ.DRIVER_TABLES)
+
+
+def q_key_links(spark, d):
+    return CAT.key_links(CAT.list_columns(spark, d, SQ.DRIVER_TABLES))
+
+
+def q_key_containment(spark, d):
+    # The link list is catalog metadata (a handful of rows), not data.
+    links = [(r["column_name"], r["tables"].split(","))
+             for r in q_key_links(spark, d).collect()]
+    return CAT.key_containment(spark, d, links)
+
+
+ADHOC_SQL = """SELECT e.event_type, c.c_mktsegment, count(*) AS n_events,
+  count(DISTINCT e.user_id) AS n_users, round(avg(e.value), 6) AS avg_value
+FROM events e JOIN customer c ON c.c_custkey = e.user_id
+GROUP BY e.event_type, c.c_mktsegment"""
+
+PARAM_SQL = """SELECT user_id, count(*) AS n_events, max(value) AS max_value
+FROM events WHERE event_type = [event type] AND value > [min value] GROUP BY user_id"""
+PARAM_VALUES = {"event type": "click", "min value": 100.0}
+
+
+def q_sql_adhoc(spark, d):
+    SQ.register_tables(spark, d)
+    return SQ.sql_adhoc(spark, ADHOC_SQL)
+
+
+def q_sql_params(spark, d):
+    SQ.register_tables(spark, d)
+    return SQ.sql_params(spark, PARAM_SQL, PARAM_VALUES)
+
+
+def q_csv_roundtrip(spark, d):
+    return FS.csv_roundtrip(spark, U.chart_samples(dx(spark, d, "dx_renal")), "renal-export")
+
+
+def q_table_append(spark, d):
+    return FS.table_append(spark, infusions(spark, d))
+
+
 def _dx_query(key):
     def run(spark, d):
         return dx(spark, d, key)
@@ -341,6 +450,21 @@ QUERIES = {
     "elimination_curve": q_elimination_curve,
     "chunk_text": q_chunk_text,
     "concat_group_text": q_concat_group_text,
+    "codebook_split": q_codebook_split,
+    "codebook_maps": q_codebook_maps,
+    "describe_columns": q_describe_columns,
+    "merge_descriptions": q_merge_descriptions,
+    "descriptions_flatten": q_descriptions_flatten,
+    "codebook_write": q_codebook_write,
+    "codebook_scan": q_codebook_scan,
+    "codebook_combine": q_codebook_combine,
+    "list_columns": q_list_columns,
+    "key_links": q_key_links,
+    "key_containment": q_key_containment,
+    "sql_adhoc": q_sql_adhoc,
+    "sql_params": q_sql_params,
+    "csv_roundtrip": q_csv_roundtrip,
+    "table_append": q_table_append,
 }
 for _k in DX_PARAMS:
     QUERIES[_k] = _dx_query(_k)
