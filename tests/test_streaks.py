@@ -1,0 +1,106 @@
+import random
+from datetime import timedelta
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from labwave import names as N
+from labwave.operators.sequence import ordered_lag, ordered_row_number, streaks
+from labwave.operators.streaks import streak_flag, streak_groups, streak_id
+
+from .conftest import hours
+
+
+def _flags(samples, flags_at):
+    rows = [(1, i, hours(h), "c", v) for i, (h, v) in enumerate(flags_at)]
+    return samples(rows).withColumn(N.DETECTION, F.col(N.VALUE) < 1)
+
+
+def test_streak_id_hand_case(samples):
+    df = _flags(samples, [(0, 5), (1, 5), (2, 0), (3, 0), (4, 5)])
+    got = [r["streak_id"] for r in streak_id(df, N.DETECTION).orderBy(N.SAMPLE_ID).collect()]
+    assert got == [1, 1, 2, 2, 3]
+
+
+@pytest.mark.parametrize("gap,want", [(48, [False, False]), (49, [True, True])])
+def test_streak_flag_is_strict(samples, gap, want):
+    df = _flags(samples, [(0, 0), (gap, 0)])
+    got = [r[N.DETECTION] for r in streak_flag(df, N.DETECTION, 48).orderBy(N.SAMPLE_ID).collect()]
+    assert got == want
+
+
+def test_null_value_ends_streak(samples):
+    df = _flags(samples, [(0, 0), (30, None), (60, 0)])
+    got = [r[N.DETECTION] for r in streak_flag(df, N.DETECTION, 24).orderBy(N.SAMPLE_ID).collect()]
+    assert got == [False, False, False]
+
+
+def _random_series(samples, n_patients=6, n=300, seed=7):
+    rnd = random.Random(seed)
+    rows, sid = [], 0
+    for p in range(n_patients):
+        t = 0.0
+        for _ in range(rnd.randint(1, n)):
+            t += rnd.choice([0.0, 0.25, 1, 3, 20, 50])
+            v = rnd.choice([None, 0.0, 0.5, 2.0, 3.0])
+            rows.append((p, sid, hours(t), "c", v))
+            sid += 1
+    rnd.shuffle(rows)
+    return samples(rows)
+
+
+def _naive(df):
+    w = Window.partitionBy(N.PATIENT).orderBy(N.SAMPLE_TIME, N.SAMPLE_ID)
+    f = F.coalesce(F.col(N.VALUE) < 1, F.lit(False))
+    d = df.withColumn("f", f).withColumn("prev", F.lag("f").over(w))
+    d = d.withColumn("sid", F.sum(F.when(F.col("prev").isNull() | (F.col("prev") != F.col("f")), 1)
+                                  .otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    g = Window.partitionBy(N.PATIENT, "sid")
+    d = d.withColumn("st", F.min(N.SAMPLE_TIME).over(g)).withColumn("et", F.max(N.SAMPLE_TIME).over(g))
+    d = d.withColumn("prev_value", F.lag(N.VALUE).over(w)).withColumn("rn", F.row_number().over(w))
+    return {r[N.SAMPLE_ID]: (r["sid"], r["st"], r["et"], r["prev_value"], r["rn"]) for r in d.collect()}
+
+
+@pytest.mark.parametrize("bucket_hours", [0.5, 5.0, 24.0, 10_000.0])
+def test_bucketed_scans_equal_plain_windows(samples, bucket_hours):
+    df = _random_series(samples).withColumn("flag", F.col(N.VALUE) < 1)
+    want = _naive(df)
+    s = streaks(df, "flag", [N.PATIENT], N.SAMPLE_TIME, N.SAMPLE_ID, bucket_hours)
+    lag = ordered_lag(df, [N.PATIENT], N.SAMPLE_TIME, N.SAMPLE_ID, N.VALUE, "pv", bucket_hours)
+    rn = ordered_row_number(df, [N.PATIENT], N.SAMPLE_TIME, N.SAMPLE_ID, "rn", bucket_hours)
+    got_s = {r[N.SAMPLE_ID]: (r["streak_id"], r["streak_start"], r["streak_end"]) for r in s.collect()}
+    got_l = {r[N.SAMPLE_ID]: r["pv"] for r in lag.collect()}
+    got_r = {r[N.SAMPLE_ID]: r["rn"] for r in rn.collect()}
+    assert set(got_s) == set(want)
+    for k, (sid, st, et, pv, n) in want.items():
+        assert got_s[k] == (sid, st, et), k
+        assert got_l[k] == pv, k
+        assert got_r[k] == n, k
+
+
+@pytest.mark.parametrize("parts", [1, 4, 32])
+def test_streaks_independent_of_partitioning(samples, parts):
+    df = _random_series(samples, seed=11).repartition(parts)
+    df = df.withColumn(N.DETECTION, F.col(N.VALUE) < 1)
+    got = {r[N.SAMPLE_ID]: r[N.DETECTION] for r in streak_flag(df, N.DETECTION, 10).collect()}
+    ref = _random_series(samples, seed=11).coalesce(1).withColumn(N.DETECTION, F.col(N.VALUE) < 1)
+    want = {r[N.SAMPLE_ID]: r[N.DETECTION] for r in streak_flag(ref, N.DETECTION, 10).collect()}
+    assert got == want
+
+
+def test_streak_ids_grow_within_patient(samples):
+    df = _random_series(samples, seed=3).withColumn(N.DETECTION, F.col(N.VALUE) < 1)
+    rows = streak_id(df, N.DETECTION).orderBy(N.PATIENT, N.SAMPLE_TIME, N.SAMPLE_ID).collect()
+    last = {}
+    for r in rows:
+        p = r[N.PATIENT]
+        assert r["streak_id"] >= last.get(p, 1)
+        last[p] = r["streak_id"]
+
+
+def test_streak_groups(samples):
+    df = _flags(samples, [(0, 0), (10, 0), (20, 5)])
+    g = streak_groups(df, N.DETECTION).orderBy("streak_id").collect()
+    assert [(r["streak_id"], r["is_streak_positive"], r["streak_duration"]) for r in g] == \
+        [(1, True, 10.0), (2, False, 0.0)]
