@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import names as N
+from ..session import ensure_checkpoint_dir
 from ..functions.scalar import coalesce_false, parse_limit_text
 from .sequence import ordered_lag
 from .streaks import streak_flag
@@ -188,9 +189,19 @@ DIAGNOSTICS: dict[str, Callable[..., DataFrame]] = {
 COMMON_COLS = [N.PATIENT, N.SAMPLE_ID, N.SAMPLE_TIME, N.CODE, N.VALUE, N.INFNO, N.DETECTION]
 
 
-def run_diagnostics(df: DataFrame, selected: list[tuple[str, dict]]) -> DataFrame:
+def run_diagnostics(df: DataFrame, selected: list[tuple[str, dict]],
+                    share_input: bool = True) -> DataFrame:
     """Run the chosen diagnostics on the same samples; one long result with the
-    diagnostic's name on each row (UNION ALL of the per-diagnostic results)."""
+    diagnostic's name on each row (UNION ALL of the per-diagnostic results).
+
+    With several diagnostics the input is computed once and checkpointed to the
+    cluster's shared checkpoint folder (reliable storage, so a lost executor
+    does not force a recompute of the whole lineage); every diagnostic then
+    reads that copy instead of re-deriving it.
+    """
+    if share_input and len(selected) > 1:
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     out = None
     for name, kwargs in selected:
         res = DIAGNOSTICS[name](df, **kwargs).select(F.lit(name).alias("name"), *COMMON_COLS)

@@ -45,12 +45,6 @@ def _bucket(time_col: str, bucket_hours: float, numeric: bool = False) -> Column
     return F.coalesce(b, F.lit(_NULL_TIME_BUCKET).cast("long"))
 
 
-def _order_key(time_col: str, id_col: str, *extra: Column) -> Column:
-    """Struct whose natural order is (time asc, nulls last; id asc)."""
-    return F.struct(F.col(time_col).isNull().alias("n"), F.col(time_col).alias("t"),
-                    F.col(id_col).alias("i"), *extra)
-
-
 def _row_window(keys, time_col, id_col):
     return Window.partitionBy(*keys, BUCKET).orderBy(
         F.col(time_col).asc_nulls_last(), F.col(id_col).asc())
@@ -66,18 +60,18 @@ def ordered_lag(df: DataFrame, keys: Sequence[str], time_col: str, id_col: str,
     """Previous row's ``value_col`` within ``keys`` ordered by (time, id)."""
     keys = list(keys)
     w = _row_window(keys, time_col, id_col)
-    rows = (df.withColumn(BUCKET, _bucket(time_col, bucket_hours, numeric))
-              .withColumn("_seq_local_prev", F.lag(value_col).over(w))
-              .withColumn("_seq_first", F.lag(F.lit(1)).over(w).isNull())
-              .withColumn("_seq_last_row", F.lead(F.lit(1)).over(w).isNull()))
+    rows = df.withColumn(BUCKET, _bucket(time_col, bucket_hours, numeric)).withColumns({
+        "_seq_local_prev": F.lag(value_col).over(w),
+        "_seq_first": F.lag(F.lit(1)).over(w).isNull(),
+        "_seq_last_row": F.lead(F.lit(1)).over(w).isNull(),
+    })
     summ = rows.groupBy(*keys, BUCKET).agg(
         F.max(F.when(F.col("_seq_last_row"), F.col(value_col))).alias("_seq_last"))
     info = summ.select(*keys, BUCKET,
                        F.lag("_seq_last").over(_bucket_window(keys)).alias("_seq_carry"))
     out = rows.join(info, on=keys + [BUCKET], how="inner")
-    return out.withColumn(
-        out_col, F.when(F.col("_seq_first"), F.col("_seq_carry")).otherwise(F.col("_seq_local_prev"))
-    ).drop("_seq_local_prev", "_seq_first", "_seq_last_row", "_seq_carry", BUCKET)
+    prev = F.when(F.col("_seq_first"), F.col("_seq_carry")).otherwise(F.col("_seq_local_prev"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], prev.alias(out_col))
 
 
 def ordered_row_number(df: DataFrame, keys: Sequence[str], time_col: str, id_col: str,
@@ -85,15 +79,15 @@ def ordered_row_number(df: DataFrame, keys: Sequence[str], time_col: str, id_col
     """1-based position within ``keys`` ordered by (time, id), as int."""
     keys = list(keys)
     w = _row_window(keys, time_col, id_col)
-    rows = (df.withColumn(BUCKET, _bucket(time_col, bucket_hours, numeric))
-              .withColumn("_seq_local_rn", F.row_number().over(w)))
+    rows = df.withColumns({BUCKET: _bucket(time_col, bucket_hours, numeric)}) \
+             .withColumns({"_seq_local_rn": F.row_number().over(w)})
     summ = rows.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("_seq_n"))
     before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     info = summ.select(*keys, BUCKET,
                        F.coalesce(F.sum("_seq_n").over(before), F.lit(0)).alias("_seq_offset"))
     out = rows.join(info, on=keys + [BUCKET], how="inner")
-    return out.withColumn(out_col, (F.col("_seq_offset") + F.col("_seq_local_rn")).cast("int")) \
-              .drop("_seq_local_rn", "_seq_offset", BUCKET)
+    rn = (F.col("_seq_offset") + F.col("_seq_local_rn")).cast("int")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], rn.alias(out_col))
 
 
 def _run_value(df: DataFrame, col: str) -> Column:
@@ -119,26 +113,29 @@ def streaks(df: DataFrame, flag_col: str, keys: Sequence[str], time_col: str, id
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     after = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     t = F.col(time_col)
-    rows = (df.withColumn(BUCKET, _bucket(time_col, bucket_hours, numeric))
-              .withColumn(f, _run_value(df, flag_col)))
-    prev_f, next_f = F.lag(f).over(w), F.lead(f).over(w)
-    rows = (rows
-            .withColumn("_seq_hp", F.lag(F.lit(1)).over(w).isNotNull())
-            .withColumn("_seq_hn", F.lead(F.lit(1)).over(w).isNotNull())
-            .withColumn("_seq_ls", F.col("_seq_hp") & ~F.col(f).eqNullSafe(prev_f))
-            .withColumn("_seq_le", F.col("_seq_hn") & ~F.col(f).eqNullSafe(next_f)))
-    rows = (rows
-            .withColumn("_seq_nstart", F.sum(F.col("_seq_ls").cast("long")).over(upto))
-            .withColumn("_seq_st", F.max(F.when(F.col("_seq_ls"), t)).over(upto))
-            .withColumn("_seq_et", F.min(F.when(F.col("_seq_le"), t)).over(after)))
-
+    rows = df.withColumns({BUCKET: _bucket(time_col, bucket_hours, numeric),
+                           f: _run_value(df, flag_col)})
+    has_prev = F.lag(F.lit(1)).over(w).isNotNull()
+    has_next = F.lead(F.lit(1)).over(w).isNotNull()
+    # Run boundaries strictly inside a bucket; a bucket's first/last row is
+    # settled later from the neighbouring buckets' summaries.
+    rows = rows.withColumns({
+        "_seq_hp": has_prev,
+        "_seq_hn": has_next,
+        "_seq_ls": has_prev & ~F.col(f).eqNullSafe(F.lag(f).over(w)),
+        "_seq_le": has_next & ~F.col(f).eqNullSafe(F.lead(f).over(w)),
+    })
+    rows = rows.withColumns({
+        "_seq_nstart": F.sum(F.col("_seq_ls").cast("long")).over(upto),
+        "_seq_st": F.max(F.when(F.col("_seq_ls"), t)).over(upto),
+        "_seq_et": F.min(F.when(F.col("_seq_le"), t)).over(after),
+    })
     # The bucket's first and last value come from the rows the window marked
     # as first and last, so no ordered aggregate is needed.
-    first = F.max(F.when(~F.col("_seq_hp"), F.col(f)))
-    last = F.max(F.when(~F.col("_seq_hn"), F.col(f)))
     summ = rows.groupBy(*keys, BUCKET).agg(
         F.max(F.lit(1)).alias("_b_one"),
-        first.alias("_b_ff"), last.alias("_b_lf"),
+        F.max(F.when(~F.col("_seq_hp"), F.col(f))).alias("_b_ff"),
+        F.max(F.when(~F.col("_seq_hn"), F.col(f))).alias("_b_lf"),
         F.min(t).alias("_b_ft"), F.max(t).alias("_b_lt"),
         F.sum(F.col("_seq_ls").cast("long")).alias("_b_ns"),
         F.max(F.when(F.col("_seq_ls"), t)).alias("_b_lst"),
@@ -147,12 +144,9 @@ def streaks(df: DataFrame, flag_col: str, keys: Sequence[str], time_col: str, id
     wb = _bucket_window(keys)
     before = wb.rowsBetween(Window.unboundedPreceding, -1)
     later = wb.rowsBetween(1, Window.unboundedFollowing)
-    prev_lf, next_ff = F.lag("_b_lf").over(wb), F.lead("_b_ff").over(wb)
-    no_prev = F.lag("_b_one").over(wb).isNull()
-    no_next = F.lead("_b_one").over(wb).isNull()
-    summ = (summ
-            .withColumn("_b_fs", no_prev | ~F.col("_b_ff").eqNullSafe(prev_lf))
-            .withColumn("_b_le", no_next | ~F.col("_b_lf").eqNullSafe(next_ff)))
+    fs = F.lag("_b_one").over(wb).isNull() | ~F.col("_b_ff").eqNullSafe(F.lag("_b_lf").over(wb))
+    le = F.lead("_b_one").over(wb).isNull() | ~F.col("_b_lf").eqNullSafe(F.lead("_b_ff").over(wb))
+    summ = summ.withColumns({"_b_fs": fs, "_b_le": le})
     info = summ.select(
         *keys, BUCKET, "_b_fs", "_b_le", "_b_ft", "_b_lt",
         F.coalesce(F.sum(F.col("_b_ns") + F.col("_b_fs").cast("long")).over(before),
@@ -163,12 +157,11 @@ def streaks(df: DataFrame, flag_col: str, keys: Sequence[str], time_col: str, id
          .alias("_b_cet"),
     )
     out = rows.join(info, on=keys + [BUCKET], how="inner")
-    out = out.select(
-        *[c for c in df.columns],
+    return out.select(
+        *[F.col(f"`{c}`") for c in df.columns],
         (F.col("_b_base") + F.col("_b_fs").cast("long") + F.col("_seq_nstart")).alias(id_out),
         F.coalesce(F.col("_seq_st"),
                    F.when(F.col("_b_fs"), F.col("_b_ft")).otherwise(F.col("_b_cst"))).alias(start_out),
         F.coalesce(F.col("_seq_et"),
                    F.when(F.col("_b_le"), F.col("_b_lt")).otherwise(F.col("_b_cet"))).alias(end_out),
     )
-    return out
