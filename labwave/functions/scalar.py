@@ -25,10 +25,19 @@ def combine_date_time(date_col, time_col) -> Column:
 
 
 def diff_micros(start, end) -> Column:
-    """end - start in microseconds (bigint); null if either side is null."""
+    """end - start in microseconds (bigint); null if either side is null.
+
+    On timestamp_ntz this is wall-clock arithmetic: it does not depend on the
+    session time zone or its daylight-saving changes (tested).
+    """
     return F.timestamp_diff("MICROSECOND", _c(start), _c(end))
 
 
+def epoch_micros(ts) -> Column:
+    """Microseconds since 1970-01-01 00:00 of a timestamp_ntz (zone-free)."""
+    return diff_micros(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+
+
 def floor_hours(start, end) -> Column:
     """Whole hours from start to end, floored (-90 min is -2), as double."""
     return F.floor(diff_micros(start, end) / F.lit(MICROS_PER_HOUR)).cast("double")

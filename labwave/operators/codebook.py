@@ -12,57 +12,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sequence import streaks
+from pyspark.sql import Column
+
+from .sequence import ordered_prefix_sums, streaks
 
 MAX_CODES_PER_COLUMN = 10_000
 CELL_SEPARATOR = " | "
 
 
 def codebook_split(sheet: DataFrame, column: str = "column_name", row: str = "row_no",
-                   cell: str = "cell") -> DataFrame:
+                   cell: str = "cell", bucket_rows: float = 4096.0) -> DataFrame:
     """Cells to (code, label); a column's codes stop at its first empty cell, and
-    a column whose first cell is empty has no codes."""
-    first_empty = (sheet.groupBy(column)
-                        .agg(F.min(F.when(F.col(cell).isNull() | (F.trim(cell) == ""), F.col(row)))
-                             .alias("_stop")))
-    kept = (sheet.join(first_empty, on=column, how="inner")
-                 .filter(F.col("_stop").isNull() | (F.col(row) < F.col("_stop")))
-                 .drop("_stop"))
+    a column whose first cell is empty has no codes. "Stopped" is a running
+    count of empty cells along the sheet order (one bucketed prefix scan)."""
+    empty = (F.col(cell).isNull() | (F.trim(cell) == "")).cast("long")
+    scanned = ordered_prefix_sums(sheet, [column], row, row, {"_empties": empty},
+                                  bucket_hours=bucket_rows, numeric=True)
+    kept = scanned.filter(F.col("_empties") == 0).drop("_empties")
     parts = F.split(F.col(cell), r" \| ", 2)
     return kept.select(*[c for c in kept.columns if c != cell],
                        F.element_at(parts, 1).alias("code"),
                        F.try_element_at(parts, F.lit(2)).alias("label"))
 
 
-def _ordered_map(entries: DataFrame, group: str, key: str, value: str, order: list[str]):
-    """Per (group, key): first sheet position, value of the last row (a repeated
-    key keeps its first place and its last value, as a dict update does)."""
-    pos = F.struct(*[F.col(c) for c in order])
-    per_key = entries.groupBy(group, key).agg(
-        F.min(pos).alias("_r"),
-        F.max(F.struct(pos.alias("p"), F.col(value).alias("v"))).getField("v").alias("_v"))
-    return per_key
+def _entry(pos: Column, key: str, value: Column) -> Column:
+    return F.struct(pos.alias("p"), F.col(key).alias("k"), value.alias("v"))
+
+
+def _to_map(entries: Column) -> Column:
+    """Sorted (position, key, value) entries to an ordered key -> value map."""
+    return F.map_from_entries(F.transform(F.array_sort(entries), lambda e: F.struct(e["k"], e["v"])))
 
 
 def codebook_maps(codes: DataFrame, column: str = "column_name", row: str = "row_no",
                   description: str = "description",
                   max_codes: int = MAX_CODES_PER_COLUMN) -> DataFrame:
     """One row per codebook column: description and its code -> label map in
-    sheet order. A column with more than ``max_codes`` codes fails the job
-    instead of building an unbounded map in one task."""
-    desc = codes.groupBy(column).agg(
-        F.min(F.struct(F.col(row).alias("r"), F.col(description).alias("d"))).getField("d")
-         .alias(description))
-    per_key = _ordered_map(codes.filter(F.col("code").isNotNull()), column, "code", "label", [row])
+    sheet order (a repeated code keeps its first place and its last label, as a
+    dict update does). Two chained aggregates, no join. A column with more than
+    ``max_codes`` codes fails the job instead of building an unbounded map."""
+    per_key = codes.filter(F.col("code").isNotNull()).groupBy(column, "code").agg(
+        F.min(row).alias("_r"),
+        F.max(F.struct(F.col(row).alias("p"), F.col("label").alias("v"))).getField("v").alias("_v"),
+        F.min(F.struct(F.col(row).alias("p"), F.col(description).alias("d"))).alias("_d"))
     per = per_key.groupBy(column).agg(
+        F.min("_d").getField("d").alias(description),
         F.count(F.lit(1)).alias("n_codes"),
-        F.array_sort(F.collect_list(F.struct(F.col("_r").alias("r"), F.col("code").alias("k"),
-                                             F.col("_v").alias("v")))).alias("_entries"))
+        F.collect_list(_entry(F.col("_r"), "code", F.col("_v"))).alias("_entries"))
     guard = F.when(F.col("n_codes") > max_codes,
                    F.raise_error(F.concat(F.lit("codebook column too large: "), F.col(column))))
-    details = F.map_from_entries(F.transform("_entries", lambda e: F.struct(e["k"], e["v"])))
-    per = per.select(column, "n_codes", F.coalesce(guard, details).alias("details"))
-    return desc.join(per, on=column, how="inner").select(column, description, "n_codes", "details")
+    return per.select(column, description, "n_codes",
+                      F.coalesce(guard, _to_map(F.col("_entries"))).alias("details"))
 
 
 def codebook_rows(maps: DataFrame, column: str = "column_name") -> DataFrame:
@@ -78,34 +78,33 @@ def describe_columns(columns: DataFrame, sheet: DataFrame, name: str = "column_n
 
     The description is the question of the variable's first row; the details
     come from its first contiguous run of rows (detail -> question, or the
-    detail itself when the question is empty). A variable whose first question
-    is empty, or a column with no variable, is described by its own name.
-    Sheet order is (``row``, ``tie``). Runs are found by a bucketed scan over
-    the sheet order (no single task).
+    detail itself when the question is empty; a repeated detail keeps its first
+    place and last value). A variable whose first question is empty, or a
+    column with no variable, is described by its own name.
+
+    Sheet order is (``row``, ``tie``). Runs come from one bucketed scan over the
+    sheet; everything after is a chain of aggregates (per detail, per run, per
+    variable) and one join with the column list, so no row is joined back.
     """
     tie = tie or row
-    order = [row] if tie == row else [row, tie]
+    pos = F.struct(*[F.col(c) for c in ([row] if tie == row else [row, tie])])
     runs = streaks(sheet, variable, [], row, tie, bucket_hours=bucket_rows, id_out="_run",
-                   start_out="_rs", end_out="_re", numeric=True).drop("_rs", "_re")
-    first_run = runs.groupBy(variable).agg(F.min("_run").alias("_run"))
-    rows = runs.join(first_run, on=[variable, "_run"], how="inner")
-    first_q = rows.groupBy(variable).agg(
-        F.min(F.struct(*[F.col(c) for c in order], F.col(question).alias("_q_")))
-         .getField("_q_").alias("_q"))
-    entries = (rows.filter(F.col(detail).isNotNull())
-                   .withColumn("_val", F.coalesce(F.col(question), F.col(detail))))
-    per_key = _ordered_map(entries, variable, detail, "_val", order)
-    maps = per_key.groupBy(variable).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_r").alias("r"), F.col(detail).alias("k"),
-                                             F.col("_v").alias("v")))).alias("_entries"))
-    per = first_q.join(maps, on=variable, how="left").select(
+                   start_out="_rs", end_out="_re", numeric=True)
+    per_detail = runs.groupBy(variable, "_run", detail).agg(
+        F.min(pos).alias("_first"),
+        F.max(F.struct(pos.alias("p"), F.coalesce(F.col(question), F.col(detail)).alias("v")))
+         .getField("v").alias("_v"),
+        F.min(F.struct(pos.alias("p"), F.col(question).alias("q"))).alias("_fq"))
+    per_run = per_detail.groupBy(variable, "_run").agg(
+        F.min("_fq").getField("q").alias("_q"),
+        F.collect_list(F.when(F.col(detail).isNotNull(),
+                              _entry(F.col("_first"), detail, F.col("_v")))).alias("_entries"))
+    first = per_run.groupBy(variable).agg(
+        F.min(F.struct("_run", "_q", "_entries")).alias("_f"))
+    per = first.select(
         F.col(variable).alias(name),
-        F.trim("_q").alias("_desc"),
-        F.when(F.col("_q").isNotNull(),
-               F.coalesce(F.map_from_entries(F.transform("_entries",
-                                                         lambda e: F.struct(e["k"], e["v"]))),
-                          F.create_map().cast("map<string,string>")))
-         .alias("details"))
+        F.trim("_f._q").alias("_desc"),
+        F.when(F.col("_f._q").isNotNull(), _to_map(F.col("_f._entries"))).alias("details"))
     out = columns.select(name).join(per, on=name, how="left")
     return out.select(name, F.coalesce(F.col("_desc"), F.col(name)).alias("description"), "details")
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import names as N
 from ..session import ensure_checkpoint_dir
-from ..functions.scalar import coalesce_false, parse_limit_text
+from ..functions.scalar import coalesce_false, epoch_micros, parse_limit_text
 from .sequence import ordered_lag
 from .streaks import streak_flag
 
@@ -125,8 +125,7 @@ def baseline_value(df: DataFrame, code: str = CREATININE) -> DataFrame:
     infusion 1: greatest hour difference, then earliest time, then sample id.
     A max over a struct key is a partial aggregate, so it is skew-safe."""
     rows = df.filter((F.col(N.CODE) == code) & (F.col(N.INFNO) == 0) & F.col(N.VALUE).isNotNull())
-    neg_t = -F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"),
-                              F.col(N.SAMPLE_TIME))
+    neg_t = -epoch_micros(N.SAMPLE_TIME)
     key = F.struct(F.col(N.HOURS).alias("h"), neg_t.alias("t"), (-F.col(N.SAMPLE_ID)).alias("i"),
                    F.col(N.VALUE).alias("v"))
     return (rows.filter(F.col(N.HOURS).isNotNull())

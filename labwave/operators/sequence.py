@@ -24,16 +24,12 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import MICROS_PER_HOUR
+from ..functions.scalar import MICROS_PER_HOUR, epoch_micros
 
 BUCKET = "_seq_bucket"
 _NULL_TIME_BUCKET = 2**62  # rows without a time sort last, in a bucket of their own
 
 
-def _epoch() -> Column:
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-
-
 def _bucket(time_col: str, bucket_hours: float, numeric: bool = False) -> Column:
     """Bucket of the order column: ``bucket_hours`` wide for timestamps, or that
     many units wide for a numeric order column."""
@@ -41,7 +37,7 @@ def _bucket(time_col: str, bucket_hours: float, numeric: bool = False) -> Column
         b = F.floor(F.col(time_col) / F.lit(float(bucket_hours)))
     else:
         width = int(bucket_hours * MICROS_PER_HOUR)
-        b = F.floor(F.timestamp_diff("MICROSECOND", _epoch(), F.col(time_col)) / F.lit(width))
+        b = F.floor(epoch_micros(time_col) / F.lit(width))
     return F.coalesce(b, F.lit(_NULL_TIME_BUCKET).cast("long"))
 
 
@@ -74,20 +70,34 @@ def ordered_lag(df: DataFrame, keys: Sequence[str], time_col: str, id_col: str,
     return out.select(*[F.col(f"`{c}`") for c in df.columns], prev.alias(out_col))
 
 
-def ordered_row_number(df: DataFrame, keys: Sequence[str], time_col: str, id_col: str,
-                       out_col: str, bucket_hours: float = 24.0, numeric: bool = False) -> DataFrame:
-    """1-based position within ``keys`` ordered by (time, id), as int."""
+def ordered_prefix_sums(df: DataFrame, keys: Sequence[str], time_col: str, id_col: str,
+                        sums: dict[str, Column], bucket_hours: float = 24.0,
+                        numeric: bool = False) -> DataFrame:
+    """Running sums (rows up to and including the current one) within ``keys``
+    ordered by (time, id): ``sums`` maps output name -> numeric expression."""
     keys = list(keys)
     w = _row_window(keys, time_col, id_col)
-    rows = df.withColumns({BUCKET: _bucket(time_col, bucket_hours, numeric)}) \
-             .withColumns({"_seq_local_rn": F.row_number().over(w)})
-    summ = rows.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("_seq_n"))
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    vals = {f"_ps_v{i}": e for i, e in enumerate(sums.values())}
+    rows = df.withColumns({BUCKET: _bucket(time_col, bucket_hours, numeric), **vals})
+    rows = rows.withColumns({f"_ps_l{i}": F.sum(f"_ps_v{i}").over(upto) for i in range(len(vals))})
+    summ = rows.groupBy(*keys, BUCKET).agg(
+        *[F.sum(f"_ps_v{i}").alias(f"_ps_b{i}") for i in range(len(vals))])
     before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    info = summ.select(*keys, BUCKET,
-                       F.coalesce(F.sum("_seq_n").over(before), F.lit(0)).alias("_seq_offset"))
+    info = summ.select(*keys, BUCKET, *[
+        F.coalesce(F.sum(f"_ps_b{i}").over(before), F.lit(0)).alias(f"_ps_o{i}")
+        for i in range(len(vals))])
     out = rows.join(info, on=keys + [BUCKET], how="inner")
-    rn = (F.col("_seq_offset") + F.col("_seq_local_rn")).cast("int")
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], rn.alias(out_col))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[
+        (F.col(f"_ps_o{i}") + F.col(f"_ps_l{i}")).alias(name) for i, name in enumerate(sums)])
+
+
+def ordered_row_number(df: DataFrame, keys: Sequence[str], time_col: str, id_col: str,
+                       out_col: str, bucket_hours: float = 24.0, numeric: bool = False) -> DataFrame:
+    """1-based position within ``keys`` ordered by (time, id), as int."""
+    out = ordered_prefix_sums(df, keys, time_col, id_col, {"_seq_rn": F.lit(1).cast("long")},
+                              bucket_hours, numeric)
+    return out.withColumnRenamed("_seq_rn", out_col).withColumn(out_col, F.col(out_col).cast("int"))
 
 
 def _run_value(df: DataFrame, col: str) -> Column:

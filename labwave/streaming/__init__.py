@@ -1,0 +1,7 @@
+"""Streaming.
+
+The source application has no stream, watermark, event-time window, state or
+late-data handling: every page load recomputes from the stored tables. Nothing
+here is needed for parity. The per-patient run detection is a batch
+gaps-and-islands scan (``operators.sequence``), not a session window.
+"""

@@ -55,3 +55,15 @@ def test_concat_values_skips_nulls(spark):
 def test_normalize_name():
     assert S.normalize_name("pl\xa0date", "upper") == "PL DATE"
     assert S.normalize_name("PL_DATE", "lower") == "pl_date"
+
+
+def test_hour_difference_ignores_session_dst(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        schema = T.StructType([T.StructField("a", T.TimestampNTZType()),
+                               T.StructField("b", T.TimestampNTZType())])
+        df = spark.createDataFrame([(datetime(2024, 3, 9, 12), datetime(2024, 3, 11, 12))], schema)
+        assert df.select(S.floor_hours("a", "b")).first()[0] == 48.0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
