@@ -64,7 +64,9 @@ def patient_treatments(infusions: DataFrame, on_duplicate: str = "error",
         F.collect_list(F.when(F.col(N.INFNO).between(0, max_infusion),
                               F.struct(F.col(N.INFNO).alias("k"),
                                        F.col("_stops").alias("v")))).alias("_stop_by_k"),
-        F.array_distinct(F.flatten(F.collect_list("_sexes"))).alias("_sexes"),
+        # collect_set keeps distinct sex sets only, so the row stays small however
+        # many infusion rows a patient has.
+        F.array_distinct(F.flatten(F.collect_set("_sexes"))).alias("_sexes"),
     )
 
 

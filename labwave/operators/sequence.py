@@ -15,6 +15,8 @@ Instead each scan runs in two levels:
 
 The rows are shuffled once (on keys + bucket); the bucket summaries are tiny.
 ``bucket_hours`` is the knob: a bucket should hold a few thousand rows at most.
+With no keys (one global order) the bucket summaries are scanned in a single
+task, so the bucket width must keep the number of buckets modest (< ~1e6).
 """
 
 from __future__ import annotations
