@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import names as N
 from ..functions.scalar import floor_hours
+from .joins import DEFAULT_ROWS_PER_TASK, split_hot_keys_join
 
 MAX_INFUSION = 8
 
@@ -71,7 +72,8 @@ def patient_treatments(infusions: DataFrame, on_duplicate: str = "error",
 
 
 def attribute_samples(samples: DataFrame, infusions: DataFrame, on_duplicate: str = "error",
-                      max_infusion: int = MAX_INFUSION, time: str = N.SAMPLE_TIME) -> DataFrame:
+                      max_infusion: int = MAX_INFUSION, time: str = N.SAMPLE_TIME,
+                      rows_per_task: int = DEFAULT_ROWS_PER_TASK) -> DataFrame:
     """Attach to every sample the treatment in force when it was taken.
 
     The chosen treatment is the highest infusion number k in 1..max whose start
@@ -81,13 +83,14 @@ def attribute_samples(samples: DataFrame, infusions: DataFrame, on_duplicate: st
     Adds INFNO (int), MTX_INFDATE (chosen start), HOUR_DIFF_SAMPLE_INF (floored
     hours), SEX (each known non-zero sex of the patient) and MP6_POST_STOP.
 
-    One left join on patient to a bounded per-patient row (no fan-out); Spark's
-    adaptive execution broadcasts that side when its measured size is small
-    and splits a hot patient's samples otherwise.
+    One left join on patient to a bounded per-patient row (no fan-out); a
+    patient with more than ``rows_per_task`` samples is split over several
+    tasks (``joins.split_hot_keys_join``).
     """
     per_patient = patient_treatments(infusions, on_duplicate, max_infusion)
     base = samples.drop(N.INFNO, N.INF_DATE, N.HOURS, N.SEX, N.STOP)
-    j = base.join(per_patient, on=N.PATIENT, how="left")
+    salt = N.SAMPLE_ID if N.SAMPLE_ID in base.columns else None
+    j = split_hot_keys_join(base, per_patient, [N.PATIENT], "left", salt, rows_per_task)
     t = F.col(time)
     chosen = F.array_max(F.filter("_starts", lambda x: x["s"] <= t))
     first = F.array_max(F.filter("_starts", lambda x: x["k"] == 1))
@@ -112,10 +115,14 @@ def attribute_samples(samples: DataFrame, infusions: DataFrame, on_duplicate: st
 def attach_sex(samples: DataFrame, infusions: DataFrame) -> DataFrame:
     """Left join the patient's known sexes (0 is unknown); two sexes give two rows."""
     sexes = infusions.filter(F.col(N.SEX) != 0).select(N.PATIENT, N.SEX).distinct()
-    return samples.drop(N.SEX).join(sexes, on=N.PATIENT, how="left")
+    base = samples.drop(N.SEX)
+    salt = N.SAMPLE_ID if N.SAMPLE_ID in base.columns else None
+    return split_hot_keys_join(base, sexes, [N.PATIENT], "left", salt)
 
 
 def attach_stop_flag(samples: DataFrame, infusions: DataFrame) -> DataFrame:
     """Left join the stop flag of the sample's (patient, infusion number)."""
     stops = infusions.select(N.PATIENT, F.col(N.INFNO).cast("int").alias(N.INFNO), N.STOP).distinct()
-    return samples.drop(N.STOP).join(stops, on=[N.PATIENT, N.INFNO], how="left")
+    base = samples.drop(N.STOP)
+    salt = N.SAMPLE_ID if N.SAMPLE_ID in base.columns else None
+    return split_hot_keys_join(base, stops, [N.PATIENT, N.INFNO], "left", salt)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import names as N
 from ..session import ensure_checkpoint_dir
 from ..functions.scalar import coalesce_false, epoch_micros, parse_limit_text
+from .joins import DEFAULT_ROWS_PER_TASK, hot_keys, split_hot_keys_join
 from .sequence import ordered_lag
 from .streaks import streak_flag
 
@@ -79,11 +80,11 @@ def _coincident(df: DataFrame, key_rule, at: str) -> DataFrame:
     """Evaluate a rule once per (patient, at) and give its result to every row there.
 
     Grouped aggregate (partial on the map side) plus one join back, so rows of
-    a crowded key are never gathered in one task before being reduced.
+    a crowded key are never gathered in one task (hot keys are split).
     """
     keys = [N.PATIENT, at]
     per_key = df.groupBy(*keys).agg(key_rule.alias(N.DETECTION))
-    out = df.join(per_key, on=keys, how="left")
+    out = split_hot_keys_join(df, per_key, keys, "left", N.SAMPLE_ID)
     return out.withColumn(N.DETECTION, coalesce_false(F.col(N.DETECTION)))
 
 
@@ -142,7 +143,8 @@ def dx_delayed_elimination(df: DataFrame, crea: str = CREATININE, mtx: str = MET
                            crea_rise: float = CREA_RISE_FROM_PREVIOUS,
                            crea_fold: float = CREA_FOLD_OVER_BASELINE,
                            mtx_36h: float = MTX_36H, mtx_42h: float = MTX_42H,
-                           mtx_48h: float = MTX_48H, bucket_hours: float = 24.0) -> DataFrame:
+                           mtx_48h: float = MTX_48H, bucket_hours: float = 24.0,
+                           rows_per_task: int = DEFAULT_ROWS_PER_TASK) -> DataFrame:
     """Delayed elimination: per (patient, treatment), some creatinine criterion AND
     some methotrexate criterion; the verdict goes to every row of the treatment.
 
@@ -154,7 +156,8 @@ def dx_delayed_elimination(df: DataFrame, crea: str = CREATININE, mtx: str = MET
     d = (df.filter(F.col(N.CODE).isin(crea, mtx) & F.col(N.INFNO).isNotNull()
                    & F.col(N.VALUE).isNotNull())
            .select(*[c for c in OUT_COLS + [N.HOURS] if c in df.columns]))
-    d = d.join(baseline_value(d, crea), on=N.PATIENT, how="inner")
+    hot = hot_keys(d, [N.PATIENT], rows_per_task)  # one count pass serves both joins
+    d = split_hot_keys_join(d, baseline_value(d, crea), [N.PATIENT], "inner", N.SAMPLE_ID, hot=hot)
     d = value_delta(d, bucket_hours=bucket_hours)
     v, h, base = F.col(N.VALUE), F.col(N.HOURS), F.col("baseline_crea")
     treated = F.col(N.INFNO) != 0
@@ -168,8 +171,8 @@ def dx_delayed_elimination(df: DataFrame, crea: str = CREATININE, mtx: str = MET
           .withColumn("mtx_criteria", coalesce_false(treated & is_mtx & c345)))
     per_treatment = (d.groupBy(N.PATIENT, N.INFNO)
                       .agg((F.bool_or("crea_criteria") & F.bool_or("mtx_criteria")).alias(N.DETECTION)))
-    return (d.drop("crea_criteria", "mtx_criteria")
-             .join(per_treatment, on=[N.PATIENT, N.INFNO], how="left")
+    return (split_hot_keys_join(d.drop("crea_criteria", "mtx_criteria"), per_treatment,
+                                [N.PATIENT, N.INFNO], "left", N.SAMPLE_ID, hot=hot)
              .withColumn(N.DETECTION, coalesce_false(F.col(N.DETECTION))))
 
 

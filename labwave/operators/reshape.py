@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import names as N
 from ..functions.scalar import TIME_BINS, UNBINNED, exact_hours, time_bin_label
 from .diagnostics import CREATININE, METHOTREXATE
+from .joins import split_hot_keys_join
 
 DEFAULT_MEASURES = (N.CREA_MEASURE, N.MTX_MEASURE)
 MEASURE_CODES = {N.CREA_MEASURE: CREATININE, N.MTX_MEASURE: METHOTREXATE}
@@ -44,8 +45,9 @@ def time_bin_pivot(plasma: DataFrame, infusions: DataFrame, measures=DEFAULT_MEA
     no extra pass to discover its columns; rows with no value at all leave.
     """
     inf = infusions.select(N.PATIENT, N.INFNO, F.col(N.INF_START).alias("_inf_start"))
-    m = plasma.filter(F.col(N.PATIENT).isNotNull() & F.col(N.INFNO).isNotNull()) \
-              .join(inf, on=[N.PATIENT, N.INFNO], how="left")
+    rows = plasma.filter(F.col(N.PATIENT).isNotNull() & F.col(N.INFNO).isNotNull())
+    salt = N.SAMPLE_ID if N.SAMPLE_ID in rows.columns else None
+    m = split_hot_keys_join(rows, inf, [N.PATIENT, N.INFNO], "left", salt)
     m = m.withColumn("_bin", time_bin_label(exact_hours("_inf_start", N.SAMPLE_TIME), bins, unbinned))
     aggs, present = [], []
     for meas, label, name in bin_columns(measures, bins, unbinned):

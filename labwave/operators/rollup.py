@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import names as N
+from .joins import split_hot_keys_join
 
 POSITIVE = "patients with one positive diagnostic"
 NEGATIVE = "patients with all negative diagnostic"
@@ -60,7 +61,8 @@ def chart_samples(dx: DataFrame) -> DataFrame:
 
 def detected_samples(dx: DataFrame) -> DataFrame:
     """Samples of every detected patient (semi join, no id list on the driver)."""
-    return dx.join(detected_patients(dx), on=N.PATIENT, how="left_semi").select(*CHART_COLS)
+    return split_hot_keys_join(dx, detected_patients(dx), [N.PATIENT], "left_semi",
+                               N.SAMPLE_ID).select(*CHART_COLS)
 
 
 def patient_samples(dx: DataFrame, patient) -> DataFrame:
