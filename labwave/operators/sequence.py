@@ -48,10 +48,22 @@ def _row_window(keys, time_col, id_col):
         F.col(time_col).asc_nulls_last(), F.col(id_col).asc())
 
 
+def _row_window_desc(keys, time_col, id_col):
+    """The row order reversed. "Everything after this row" is a running frame
+    over this order: Spark computes running frames incrementally, while a frame
+    ending at unbounded following is recomputed for every row (quadratic)."""
+    return Window.partitionBy(*keys, BUCKET).orderBy(
+        F.col(time_col).desc_nulls_first(), F.col(id_col).desc())
+
+
 def _bucket_window(keys):
     return Window.partitionBy(*keys).orderBy(BUCKET)
 
 
+def _bucket_window_desc(keys):
+    return Window.partitionBy(*keys).orderBy(F.col(BUCKET).desc())
+
+
 def ordered_lag(df: DataFrame, keys: Sequence[str], time_col: str, id_col: str,
                 value_col: str, out_col: str, bucket_hours: float = 24.0,
                 numeric: bool = False) -> DataFrame:
@@ -123,7 +135,8 @@ def streaks(df: DataFrame, flag_col: str, keys: Sequence[str], time_col: str, id
     f = "_seq_flag"
     w = _row_window(keys, time_col, id_col)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    after = _row_window_desc(keys, time_col, id_col).rowsBetween(Window.unboundedPreceding,
+                                                                 Window.currentRow)
     t = F.col(time_col)
     rows = df.withColumns({BUCKET: _bucket(time_col, bucket_hours, numeric),
                            f: _run_value(df, flag_col)})
@@ -155,7 +168,7 @@ def streaks(df: DataFrame, flag_col: str, keys: Sequence[str], time_col: str, id
     )
     wb = _bucket_window(keys)
     before = wb.rowsBetween(Window.unboundedPreceding, -1)
-    later = wb.rowsBetween(1, Window.unboundedFollowing)
+    later = _bucket_window_desc(keys).rowsBetween(Window.unboundedPreceding, -1)
     fs = F.lag("_b_one").over(wb).isNull() | ~F.col("_b_ff").eqNullSafe(F.lag("_b_lf").over(wb))
     le = F.lead("_b_one").over(wb).isNull() | ~F.col("_b_lf").eqNullSafe(F.lead("_b_ff").over(wb))
     summ = summ.withColumns({"_b_fs": fs, "_b_le": le})
