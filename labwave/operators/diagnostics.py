@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import names as N
 from ..session import ensure_checkpoint_dir
 from ..functions.scalar import coalesce_false, epoch_micros, parse_limit_text
-from .joins import DEFAULT_ROWS_PER_TASK, hot_keys, split_hot_keys_join
+from .joins import DEFAULT_ROWS_PER_TASK, hot_from_counts, split_hot_keys_join
 from .sequence import ordered_lag
 from .streaks import streak_flag
 
@@ -76,15 +76,18 @@ def dx_infection(df: DataFrame, code: str = CRP, above: float = 100.0, days: flo
     return d.withColumn(N.DETECTION, det).drop("_over_limit")
 
 
-def _coincident(df: DataFrame, key_rule, at: str) -> DataFrame:
+def _coincident(df: DataFrame, key_rule, at: str,
+                rows_per_task: int = DEFAULT_ROWS_PER_TASK) -> DataFrame:
     """Evaluate a rule once per (patient, at) and give its result to every row there.
 
     Grouped aggregate (partial on the map side) plus one join back, so rows of
-    a crowded key are never gathered in one task (hot keys are split).
+    a crowded key are never gathered in one task: the aggregate also counts
+    each key's rows, and keys over ``rows_per_task`` are split in the join.
     """
     keys = [N.PATIENT, at]
-    per_key = df.groupBy(*keys).agg(key_rule.alias(N.DETECTION))
-    out = split_hot_keys_join(df, per_key, keys, "left", N.SAMPLE_ID)
+    per_key = df.groupBy(*keys).agg(key_rule.alias(N.DETECTION), F.count(F.lit(1)).alias("_n"))
+    hot = hot_from_counts(per_key, keys, "_n", rows_per_task)
+    out = split_hot_keys_join(df, per_key.drop("_n"), keys, "left", N.SAMPLE_ID, hot=hot)
     return out.withColumn(N.DETECTION, coalesce_false(F.col(N.DETECTION)))
 
 
@@ -95,7 +98,7 @@ def _mean_of(code: str):
 def dx_hepatic(df: DataFrame, liver: str = LIVER_ENZYME, coagulation: str = COAGULATION,
                bilirubin: str = BILIRUBIN, liver_above: float = 45.0,
                coagulation_below: float = 0.4, bilirubin_above: float = 40.0,
-               at: str = N.SAMPLE_TIME) -> DataFrame:
+               at: str = N.SAMPLE_TIME, rows_per_task: int = DEFAULT_ROWS_PER_TASK) -> DataFrame:
     """Hepatic effects: at one (patient, ``at``), liver enzyme above its limit AND
     (mean coagulation ratio below its limit OR mean bilirubin above its limit)."""
     d = _subset(df, [liver, coagulation, bilirubin], extra=[at])
@@ -103,12 +106,12 @@ def dx_hepatic(df: DataFrame, liver: str = LIVER_ENZYME, coagulation: str = COAG
                                  coalesce_false(F.col(N.VALUE) > F.lit(float(liver_above)))))
     other_hit = (coalesce_false(_mean_of(coagulation) < F.lit(float(coagulation_below)))
                  | coalesce_false(_mean_of(bilirubin) > F.lit(float(bilirubin_above))))
-    return _coincident(d, coalesce_false(liver_hit) & other_hit, at)
+    return _coincident(d, coalesce_false(liver_hit) & other_hit, at, rows_per_task)
 
 
 def dx_pancreatitis(df: DataFrame, limits: dict | None = None, times: float = 3.0,
                     crp: str = CRP, crp_above: float = 100.0,
-                    at: str = N.SAMPLE_TIME) -> DataFrame:
+                    at: str = N.SAMPLE_TIME, rows_per_task: int = DEFAULT_ROWS_PER_TASK) -> DataFrame:
     """Pancreatitis: at one (patient, ``at``), any pancreas enzyme mean above
     ``times`` x its normal limit AND mean CRP above ``crp_above``."""
     limits = dict(PANCREAS_LIMITS if limits is None else limits)
@@ -118,19 +121,26 @@ def dx_pancreatitis(df: DataFrame, limits: dict | None = None, times: float = 3.
         hit = coalesce_false(_mean_of(code) > F.lit(float(limit) * float(times)))
         enzyme = hit if enzyme is None else (enzyme | hit)
     rule = enzyme & coalesce_false(_mean_of(crp) > F.lit(float(crp_above)))
-    return _coincident(d, rule, at)
+    return _coincident(d, rule, at, rows_per_task)
+
+
+def _baseline(code: str):
+    """Aggregate: value of the pre-treatment (INFNO 0) ``code`` sample closest to
+    infusion 1 (greatest hour difference, then earliest time, then sample id);
+    null when the group has none. A max over a struct key: partial, skew-safe."""
+    qualifies = ((F.col(N.CODE) == code) & (F.col(N.INFNO) == 0) & F.col(N.VALUE).isNotNull()
+                 & F.col(N.HOURS).isNotNull())
+    key = F.struct(F.col(N.HOURS).alias("h"), (-epoch_micros(N.SAMPLE_TIME)).alias("t"),
+                   (-F.col(N.SAMPLE_ID)).alias("i"), F.col(N.VALUE).alias("v"))
+    return F.max(F.when(qualifies, key)).getField("v")
 
 
 def baseline_value(df: DataFrame, code: str = CREATININE) -> DataFrame:
     """Per patient, the value of the pre-treatment (INFNO 0) sample closest to
-    infusion 1: greatest hour difference, then earliest time, then sample id.
-    A max over a struct key is a partial aggregate, so it is skew-safe."""
-    rows = df.filter((F.col(N.CODE) == code) & (F.col(N.INFNO) == 0) & F.col(N.VALUE).isNotNull())
-    neg_t = -epoch_micros(N.SAMPLE_TIME)
-    key = F.struct(F.col(N.HOURS).alias("h"), neg_t.alias("t"), (-F.col(N.SAMPLE_ID)).alias("i"),
-                   F.col(N.VALUE).alias("v"))
-    return (rows.filter(F.col(N.HOURS).isNotNull())
-                .groupBy(N.PATIENT).agg(F.max(key).getField("v").alias("baseline_crea")))
+    infusion 1: greatest hour difference, then earliest time, then sample id."""
+    rows = df.filter((F.col(N.CODE) == code) & (F.col(N.INFNO) == 0) & F.col(N.VALUE).isNotNull()
+                     & F.col(N.HOURS).isNotNull())
+    return rows.groupBy(N.PATIENT).agg(_baseline(code).alias("baseline_crea"))
 
 
 def value_delta(df: DataFrame, keys=(N.PATIENT, N.INFNO, N.CODE), out: str = "prev_value",
@@ -156,8 +166,13 @@ def dx_delayed_elimination(df: DataFrame, crea: str = CREATININE, mtx: str = MET
     d = (df.filter(F.col(N.CODE).isin(crea, mtx) & F.col(N.INFNO).isNotNull()
                    & F.col(N.VALUE).isNotNull())
            .select(*[c for c in OUT_COLS + [N.HOURS] if c in df.columns]))
-    hot = hot_keys(d, [N.PATIENT], rows_per_task)  # one count pass serves both joins
-    d = split_hot_keys_join(d, baseline_value(d, crea), [N.PATIENT], "inner", N.SAMPLE_ID, hot=hot)
+    # One per-patient aggregate gives the baseline and the row count that marks
+    # hot patients for the join back.
+    per_patient = d.groupBy(N.PATIENT).agg(_baseline(crea).alias("baseline_crea"),
+                                           F.count(F.lit(1)).alias("_n"))
+    hot = hot_from_counts(per_patient, [N.PATIENT], "_n", rows_per_task)
+    base = per_patient.filter(F.col("baseline_crea").isNotNull()).drop("_n")
+    d = split_hot_keys_join(d, base, [N.PATIENT], "inner", N.SAMPLE_ID, hot=hot)
     d = value_delta(d, bucket_hours=bucket_hours)
     v, h, base = F.col(N.VALUE), F.col(N.HOURS), F.col("baseline_crea")
     treated = F.col(N.INFNO) != 0
@@ -171,6 +186,8 @@ def dx_delayed_elimination(df: DataFrame, crea: str = CREATININE, mtx: str = MET
           .withColumn("mtx_criteria", coalesce_false(treated & is_mtx & c345)))
     per_treatment = (d.groupBy(N.PATIENT, N.INFNO)
                       .agg((F.bool_or("crea_criteria") & F.bool_or("mtx_criteria")).alias(N.DETECTION)))
+    # The patient-level hot table also serves this join: a treatment holds at
+    # most its patient's rows, so its patient's fan-out is enough.
     return (split_hot_keys_join(d.drop("crea_criteria", "mtx_criteria"), per_treatment,
                                 [N.PATIENT, N.INFNO], "left", N.SAMPLE_ID, hot=hot)
              .withColumn(N.DETECTION, coalesce_false(F.col(N.DETECTION))))

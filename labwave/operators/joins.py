@@ -35,6 +35,17 @@ def hot_keys(big: DataFrame, on: Sequence[str], rows_per_task: int) -> DataFrame
                   .select(*on, F.ceil(F.col("_hk_n") / F.lit(rows_per_task)).cast("int").alias(FANOUT)))
 
 
+def hot_from_counts(per_key: DataFrame, on: Sequence[str], count_col: str,
+                    rows_per_task: int) -> DataFrame:
+    """Hot keys from a per-key aggregate of the large side that already counts
+    its rows in ``count_col``: the same table ``hot_keys`` gives, without a
+    second pass over the large side (the aggregate is computed for the join
+    anyway, and its shuffle is reused)."""
+    return (per_key.filter(F.col(count_col) > rows_per_task)
+                   .select(*on, F.ceil(F.col(count_col) / F.lit(rows_per_task)).cast("int")
+                           .alias(FANOUT)))
+
+
 def split_hot_keys_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left",
                         salt_col: str | None = None,
                         rows_per_task: int = DEFAULT_ROWS_PER_TASK,

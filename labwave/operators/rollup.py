@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import names as N
-from .joins import split_hot_keys_join
+from .joins import DEFAULT_ROWS_PER_TASK, hot_from_counts, split_hot_keys_join
 
 POSITIVE = "patients with one positive diagnostic"
 NEGATIVE = "patients with all negative diagnostic"
@@ -59,10 +59,15 @@ def chart_samples(dx: DataFrame) -> DataFrame:
     return dx.select(*CHART_COLS)
 
 
-def detected_samples(dx: DataFrame) -> DataFrame:
-    """Samples of every detected patient (semi join, no id list on the driver)."""
-    return split_hot_keys_join(dx, detected_patients(dx), [N.PATIENT], "left_semi",
-                               N.SAMPLE_ID).select(*CHART_COLS)
+def detected_samples(dx: DataFrame, rows_per_task: int = DEFAULT_ROWS_PER_TASK) -> DataFrame:
+    """Samples of every detected patient (semi join, no id list on the driver).
+    The per-patient aggregate also counts rows, which marks hot patients."""
+    per = dx.groupBy(N.PATIENT).agg(F.bool_or(N.DETECTION).alias("_any"),
+                                    F.count(F.lit(1)).alias("_n"))
+    hot = hot_from_counts(per, [N.PATIENT], "_n", rows_per_task)
+    detected = per.filter(F.col("_any")).select(N.PATIENT)
+    return split_hot_keys_join(dx, detected, [N.PATIENT], "left_semi", N.SAMPLE_ID,
+                               hot=hot).select(*CHART_COLS)
 
 
 def patient_samples(dx: DataFrame, patient) -> DataFrame:
