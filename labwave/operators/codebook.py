@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import Column
 
+from .joins import DEFAULT_ROWS_PER_TASK, hot_from_counts, split_hot_keys_join
 from .sequence import ordered_prefix_sums, streaks
 
 MAX_CODES_PER_COLUMN = 10_000
@@ -73,7 +74,8 @@ def codebook_rows(maps: DataFrame, column: str = "column_name") -> DataFrame:
 def describe_columns(columns: DataFrame, sheet: DataFrame, name: str = "column_name",
                      variable: str = "variable", question: str = "question",
                      detail: str = "detail_value", row: str = "row_no",
-                     tie: str | None = None, bucket_rows: float = 65536.0) -> DataFrame:
+                     tie: str | None = None, bucket_rows: float = 8192.0,
+                     rows_per_task: int = DEFAULT_ROWS_PER_TASK) -> DataFrame:
     """Description of every listed column from a description sheet.
 
     The description is the question of the variable's first row; the details
@@ -83,28 +85,34 @@ def describe_columns(columns: DataFrame, sheet: DataFrame, name: str = "column_n
     column with no variable, is described by its own name.
 
     Sheet order is (``row``, ``tie``). Runs come from one bucketed scan over the
-    sheet; everything after is a chain of aggregates (per detail, per run, per
-    variable) and one join with the column list, so no row is joined back.
+    sheet. A numeric aggregate finds each variable's first run (and counts its
+    rows, which marks hot variables); a semi join keeps that run's rows only,
+    so the text aggregates that follow see a variable's first run, not the
+    whole sheet. One join with the column list at the end.
     """
     tie = tie or row
     pos = F.struct(*[F.col(c) for c in ([row] if tie == row else [row, tie])])
-    runs = streaks(sheet, variable, [], row, tie, bucket_hours=bucket_rows, id_out="_run",
-                   start_out="_rs", end_out="_re", numeric=True)
-    per_detail = runs.groupBy(variable, "_run", detail).agg(
+    runs = streaks(sheet.select(variable, question, detail, row, tie) if tie != row
+                   else sheet.select(variable, question, detail, row),
+                   variable, [], row, tie, bucket_hours=bucket_rows, id_out="_run",
+                   start_out="_rs", end_out="_re", numeric=True).drop("_rs", "_re")
+    first_run = runs.groupBy(variable).agg(F.min("_run").alias("_run"), F.count(F.lit(1)).alias("_n"))
+    hot = hot_from_counts(first_run, [variable], "_n", rows_per_task)
+    first = split_hot_keys_join(runs, first_run.drop("_n"), [variable, "_run"], "left_semi",
+                                hot=hot)
+    per_detail = first.groupBy(variable, detail).agg(
         F.min(pos).alias("_first"),
         F.max(F.struct(pos.alias("p"), F.coalesce(F.col(question), F.col(detail)).alias("v")))
          .getField("v").alias("_v"),
         F.min(F.struct(pos.alias("p"), F.col(question).alias("q"))).alias("_fq"))
-    per_run = per_detail.groupBy(variable, "_run").agg(
+    per_var = per_detail.groupBy(variable).agg(
         F.min("_fq").getField("q").alias("_q"),
         F.collect_list(F.when(F.col(detail).isNotNull(),
                               _entry(F.col("_first"), detail, F.col("_v")))).alias("_entries"))
-    first = per_run.groupBy(variable).agg(
-        F.min(F.struct("_run", "_q", "_entries")).alias("_f"))
-    per = first.select(
+    per = per_var.select(
         F.col(variable).alias(name),
-        F.trim("_f._q").alias("_desc"),
-        F.when(F.col("_f._q").isNotNull(), _to_map(F.col("_f._entries"))).alias("details"))
+        F.trim("_q").alias("_desc"),
+        F.when(F.col("_q").isNotNull(), _to_map(F.col("_entries"))).alias("details"))
     out = columns.select(name).join(per, on=name, how="left")
     return out.select(name, F.coalesce(F.col("_desc"), F.col(name)).alias("description"), "details")
 
