@@ -18,11 +18,22 @@ def chunk_text(df: DataFrame, id_col: str, text_col: str, size: int = 4096) -> D
 
 
 def concat_group_text(df: DataFrame, group: str = "conv_id", order: str = "turn",
-                      role: str = "role", text: str = "text", sep: str = "\n") -> DataFrame:
-    """One text per group: its ``role: text`` lines in ``order``, joined by ``sep``."""
+                      role: str = "role", text: str = "text", sep: str = "\n",
+                      piece_width: int = 4096) -> DataFrame:
+    """One text per group: its ``role: text`` lines in ``order``, joined by ``sep``.
+
+    Two levels, so a group with a huge share of the rows is not concatenated in
+    one task: lines are first joined per (group, range of ``piece_width``
+    order values) in parallel, then each group's few pieces are joined in
+    order. ``order`` is numeric (a turn number). The result is the whole text.
+    """
     line = F.concat_ws(": ", F.col(role), F.col(text)).alias("_line")
-    d = df.select(group, order, line)
+    piece = F.floor(F.col(order) / F.lit(piece_width)).alias("_piece")
+    d = df.select(group, order, piece, line)
     sep_sql = sep.encode("unicode_escape").decode().replace("'", "\\'")
-    return d.groupBy(group).agg(
-        F.expr(f"listagg(_line, '{sep_sql}') WITHIN GROUP (ORDER BY `{order}`)").alias("joined_text"),
-        F.count(F.lit(1)).alias("n_lines"))
+    pieces = d.groupBy(group, "_piece").agg(
+        F.expr(f"listagg(_line, '{sep_sql}') WITHIN GROUP (ORDER BY `{order}`)").alias("_part"),
+        F.count(F.lit(1)).alias("_n"))
+    return pieces.groupBy(group).agg(
+        F.expr(f"listagg(_part, '{sep_sql}') WITHIN GROUP (ORDER BY _piece)").alias("joined_text"),
+        F.sum("_n").alias("n_lines"))
