@@ -35,18 +35,23 @@ def key_links(columns: DataFrame, pattern: str = "%ID%") -> DataFrame:
 
 def key_containment(spark: SparkSession, sf_dir: str, links: list[tuple[str, list[str]]]) -> DataFrame:
     """For each linked column and each of its tables: distinct keys, and how many
-    of them also occur in another table of the link. Keys are deduplicated per
-    table first, then counted per key across tables (no table pairs)."""
+    of them also occur in another table of the link.
+
+    One aggregate per key gathers the set of tables holding it (at most the
+    link's table count, so bounded; the partial aggregate removes repeats on
+    the map side, so a frequent key sends little); the sets are then counted
+    per table. No table pairs and no join back."""
     parts = None
     for column, tables in links:
         for t in tables:
             keys = (spark.read.parquet(table_path(sf_dir, t))
-                    .select(F.col(column).cast("string").alias("key"))
-                    .filter(F.col("key").isNotNull()).distinct()
-                    .select(F.lit(column).alias("column_name"), F.lit(t).alias("table_name"), "key"))
+                    .select(F.lit(column).alias("column_name"), F.lit(t).alias("table_name"),
+                            F.col(column).cast("string").alias("key"))
+                    .filter(F.col("key").isNotNull()))
             parts = keys if parts is None else parts.unionByName(keys)
-    per_key = parts.groupBy("column_name", "key").agg(F.count(F.lit(1)).alias("_n"))
-    tagged = parts.join(per_key, on=["column_name", "key"], how="inner")
+    per_key = parts.groupBy("column_name", "key").agg(F.collect_set("table_name").alias("_tables"))
+    tagged = per_key.select("column_name", F.explode("_tables").alias("table_name"),
+                            (F.size("_tables") > 1).alias("_shared"))
     return tagged.groupBy("column_name", "table_name").agg(
         F.count(F.lit(1)).alias("n_keys"),
-        F.count(F.when(F.col("_n") > 1, 1)).alias("n_shared"))
+        F.count(F.when(F.col("_shared"), 1)).alias("n_shared"))
