@@ -35,6 +35,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         # PySpark's per-call stack capture for error context costs about a dozen
         # JVM round trips per Column call; plans here are built from hundreds.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # Keep generated classes of many distinct plans compiled (default 100):
+        # a session cycling through dozens of queries otherwise recompiles them.
+        .config("spark.sql.codegen.cache.maxEntries", "4000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
