@@ -36,18 +36,22 @@ def bin_columns(measures=DEFAULT_MEASURES, bins=TIME_BINS, unbinned: str | None
 
 
 def time_bin_pivot(plasma: DataFrame, infusions: DataFrame, measures=DEFAULT_MEASURES,
-                   bins=TIME_BINS, unbinned: str | None = UNBINNED) -> DataFrame:
+                   bins=TIME_BINS, unbinned: str | None = UNBINNED,
+                   hot: DataFrame | None = None) -> DataFrame:
     """Time matrix: one row per (patient, infusion), one column per (measure, bin)
     holding the earliest non-null value of that measure in that bin.
 
     Hours are exact fractions from the start of the sample's own infusion (left
     join on patient and infusion number). Bins are declared, so the pivot needs
     no extra pass to discover its columns; rows with no value at all leave.
+    ``hot`` may pass patient row counts taken upstream (``joins.hot_keys`` on
+    the samples before attribution), so the join needs no count pass over
+    ``plasma`` itself.
     """
     inf = infusions.select(N.PATIENT, N.INFNO, F.col(N.INF_START).alias("_inf_start"))
     rows = plasma.filter(F.col(N.PATIENT).isNotNull() & F.col(N.INFNO).isNotNull())
     salt = N.SAMPLE_ID if N.SAMPLE_ID in rows.columns else None
-    m = split_hot_keys_join(rows, inf, [N.PATIENT, N.INFNO], "left", salt)
+    m = split_hot_keys_join(rows, inf, [N.PATIENT, N.INFNO], "left", salt, hot=hot)
     m = m.withColumn("_bin", time_bin_label(exact_hours("_inf_start", N.SAMPLE_TIME), bins, unbinned))
     aggs, present = [], []
     for meas, label, name in bin_columns(measures, bins, unbinned):

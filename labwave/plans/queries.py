@@ -21,6 +21,7 @@ from ..operators import rollup as U
 from ..operators import sampling as SM
 from ..operators import streaks as ST
 from ..operators import text as T
+from ..operators.joins import DEFAULT_ROWS_PER_TASK, hot_keys
 from ..operators.sequence import ordered_row_number
 from ..sources import catalog as CAT
 from ..sources import files as FS
@@ -75,6 +76,16 @@ def plasma_attributed(spark, d) -> DataFrame:
     return A.attribute_samples(plasma, infusions(spark, d))
 
 
+def plasma_hot(spark, d) -> DataFrame:
+    """Hot patients of the plasma samples, counted before attribution (the same
+    count attribution takes, so Spark reuses it)."""
+    return hot_keys(C.clean_samples(D.plasma_table(spark, d)), [N.PATIENT], DEFAULT_ROWS_PER_TASK)
+
+
+def matrix(spark, d) -> DataFrame:
+    return R.time_bin_pivot(plasma_attributed(spark, d), infusions(spark, d), hot=plasma_hot(spark, d))
+
+
 def dx(spark, d, key) -> DataFrame:
     name, params = DX_PARAMS[key]
     return X.DIAGNOSTICS[name](attributed(spark, d), **params)
@@ -157,12 +168,11 @@ def q_time_bin_label(spark, d):
 
 
 def q_time_bin_pivot(spark, d):
-    return R.time_bin_pivot(plasma_attributed(spark, d), infusions(spark, d))
+    return matrix(spark, d)
 
 
 def q_matrix_join(spark, d):
-    m = R.time_bin_pivot(plasma_attributed(spark, d), infusions(spark, d))
-    return R.matrix_join(infusions(spark, d), m)
+    return R.matrix_join(infusions(spark, d), matrix(spark, d))
 
 
 def q_filter_infusions(spark, d):
