@@ -221,8 +221,17 @@ def run_diagnostics(df: DataFrame, selected: list[tuple[str, dict]],
     if share_input and len(selected) > 1:
         ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)
-    out = None
+    # Names that run the same rule with the same parameters (DME and HDM) are
+    # computed once; each result row is emitted once per name.
+    groups: dict[tuple, tuple] = {}
     for name, kwargs in selected:
-        res = DIAGNOSTICS[name](df, **kwargs).select(F.lit(name).alias("name"), *COMMON_COLS)
+        fn = DIAGNOSTICS[name]
+        key = (fn, repr(sorted(kwargs.items())))
+        groups.setdefault(key, (fn, kwargs, []))[2].append(name)
+    out = None
+    for fn, kwargs, names in groups.values():
+        name_col = (F.lit(names[0]) if len(names) == 1
+                    else F.explode(F.array(*[F.lit(n) for n in names])))
+        res = fn(df, **kwargs).select(name_col.alias("name"), *COMMON_COLS)
         out = res if out is None else out.unionByName(res)
     return out
