@@ -171,26 +171,35 @@ def dx_delayed_elimination(df: DataFrame, crea: str = CREATININE, mtx: str = MET
     per_patient = d.groupBy(N.PATIENT).agg(_baseline(crea).alias("baseline_crea"),
                                            F.count(F.lit(1)).alias("_n"))
     hot = hot_from_counts(per_patient, [N.PATIENT], "_n", rows_per_task)
-    base = per_patient.filter(F.col("baseline_crea").isNotNull()).drop("_n")
-    d = split_hot_keys_join(d, base, [N.PATIENT], "inner", N.SAMPLE_ID, hot=hot)
     d = value_delta(d, bucket_hours=bucket_hours)
-    v, h, base = F.col(N.VALUE), F.col(N.HOURS), F.col("baseline_crea")
+    v, h = F.col(N.VALUE), F.col(N.HOURS)
     treated = F.col(N.INFNO) != 0
-    is_crea, is_mtx = F.col(N.CODE) == crea, F.col(N.CODE) == mtx
-    c1 = F.col("prev_value").isNotNull() & (v - F.col("prev_value") > F.lit(crea_rise))
-    fold = F.when(base == 0, v > 0).otherwise(v / base > F.lit(crea_fold))
+    crea_row, mtx_row = treated & (F.col(N.CODE) == crea), treated & (F.col(N.CODE) == mtx)
+    rise = F.col("prev_value").isNotNull() & (v - F.col("prev_value") > F.lit(crea_rise))
     c345 = (((h >= 36) & (h < 42) & (v > F.lit(mtx_36h)))
             | ((h >= 42) & (h < 48) & (v > F.lit(mtx_42h)))
             | ((h > 48) & (v > F.lit(mtx_48h))))
-    d = (d.withColumn("crea_criteria", coalesce_false(treated & is_crea & (c1 | fold)))
-          .withColumn("mtx_criteria", coalesce_false(treated & is_mtx & c345)))
-    per_treatment = (d.groupBy(N.PATIENT, N.INFNO)
-                      .agg((F.bool_or("crea_criteria") & F.bool_or("mtx_criteria")).alias(N.DETECTION)))
-    # The patient-level hot table also serves this join: a treatment holds at
-    # most its patient's rows, so its patient's fan-out is enough.
-    return (split_hot_keys_join(d.drop("crea_criteria", "mtx_criteria"), per_treatment,
-                                [N.PATIENT, N.INFNO], "left", N.SAMPLE_ID, hot=hot)
-             .withColumn(N.DETECTION, coalesce_false(F.col(N.DETECTION))))
+    per_treatment = d.groupBy(N.PATIENT, N.INFNO).agg(
+        F.bool_or(coalesce_false(crea_row & rise)).alias("_rise"),
+        F.max(F.when(crea_row, v)).alias("_vmax"), F.min(F.when(crea_row, v)).alias("_vmin"),
+        F.bool_or(coalesce_false(crea_row & F.isnan(v))).alias("_vnan"),
+        F.bool_or(coalesce_false(mtx_row & c345)).alias("_mtx"))
+    # The baseline joins the small per-treatment table, not the rows. For a
+    # fixed baseline, value / baseline is monotonic in the value, so "some row
+    # over the fold" is the largest value's test (positive baseline) or the
+    # smallest's (negative); a NaN value compares true, as it does per row.
+    base = F.col("baseline_crea")
+    fold = (F.when(base == 0, F.col("_vmax") > 0)
+             .when(base > 0, F.col("_vmax") / base > F.lit(crea_fold))
+             .otherwise(F.col("_vmin") / base > F.lit(crea_fold)))
+    crea_hit = coalesce_false(F.col("_rise") | F.col("_vnan") | coalesce_false(fold))
+    verdict = per_treatment.join(
+        per_patient.filter(base.isNotNull()).select(N.PATIENT, "baseline_crea"), on=N.PATIENT,
+        how="inner").select(N.PATIENT, N.INFNO, "baseline_crea",
+                            (crea_hit & coalesce_false(F.col("_mtx"))).alias(N.DETECTION))
+    # Inner: patients without a baseline leave. The patient-level hot table
+    # serves this join: a treatment holds at most its patient's rows.
+    return split_hot_keys_join(d, verdict, [N.PATIENT, N.INFNO], "inner", N.SAMPLE_ID, hot=hot)
 
 
 # Registry: display name -> function (the extension point; add entries to extend).

@@ -105,3 +105,34 @@ def test_registered_diagnostics_have_both_classes(spark):
     for key in DX_PARAMS:
         classes = {r[0] for r in dx(spark, SF_ORACLE, key).select(N.DETECTION).distinct().collect()}
         assert classes == {True, False}, key
+
+
+def test_delayed_elimination_baseline_signs_and_nan(spark):
+    """Fold over baseline decided per treatment from its largest / smallest value:
+    same verdicts as the per-row rule for negative, zero and NaN cases."""
+    nan = float("nan")
+    crea, mtx = X.CREATININE, X.METHOTREXATE
+    rows = []
+
+    def add(p, code, value, infno, h):
+        rows.append((p, len(rows), hours(h + 100 * infno), code, value, infno, float(h)))
+
+    for p, base, creas, want in [(1, -10.0, [-20.0], True), (2, -10.0, [-12.0, -5.0], False),
+                                 (3, 0.0, [0.0], False), (4, 50.0, [nan], True),
+                                 (5, -10.0, [nan, -5.0], True), (6, 50.0, [74.0, 76.0], True),
+                                 (7, 50.0, [75.0], False)]:
+        add(p, crea, base, 0, -5)
+        for i, c in enumerate(creas):
+            add(p, crea, c, 1, 1 + i)
+        add(p, mtx, 25.0, 1, 37)
+    add(3, crea, 1.0, 2, 1)
+    add(3, mtx, 25.0, 2, 37)
+    df = spark.createDataFrame(rows, f"{N.PATIENT} long, {N.SAMPLE_ID} long, {N.SAMPLE_TIME} timestamp_ntz, "
+                                     f"{N.CODE} string, {N.VALUE} double, {N.INFNO} int, {N.HOURS} double")
+    got = {}
+    for r in X.dx_delayed_elimination(df).collect():
+        got.setdefault((r[N.PATIENT], r[N.INFNO]), set()).add(r[N.DETECTION])
+    assert got == {(1, 0): {False}, (1, 1): {True}, (2, 0): {False}, (2, 1): {False},
+                   (3, 0): {False}, (3, 1): {False}, (3, 2): {True}, (4, 0): {False}, (4, 1): {True},
+                   (5, 0): {False}, (5, 1): {True}, (6, 0): {False}, (6, 1): {True},
+                   (7, 0): {False}, (7, 1): {False}}
