@@ -9,7 +9,7 @@ gathered into one map, so ``codebook_maps`` checks that bound in the plan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pyspark.sql import Column
@@ -51,17 +51,17 @@ def codebook_maps(codes: DataFrame, column: str = "column_name", row: str = "row
     """One row per codebook column: description and its code -> label map in
     sheet order (a repeated code keeps its first place and its last label, as a
     dict update does). A column with more than ``max_codes`` codes fails the
-    job before its codes are gathered into one map: a window count over the
-    column (which can spill, and shares the shuffle the final aggregate needs)
-    is checked first."""
+    job before its codes are gathered into one map: codes are counted per
+    column first (a partial aggregate, skew-safe), and the check runs on that
+    small table before the collecting aggregate."""
     per_key = codes.filter(F.col("code").isNotNull()).groupBy(column, "code").agg(
         F.min(row).alias("_r"),
         F.max(F.struct(F.col(row).alias("p"), F.col("label").alias("v"))).getField("v").alias("_v"),
         F.min(F.struct(F.col(row).alias("p"), F.col(description).alias("d"))).alias("_d"))
     too_many = F.raise_error(F.concat(F.lit("codebook column too large: "), F.col(column)))
-    checked = (per_key.withColumn("n_codes", F.count(F.lit(1)).over(Window.partitionBy(column)))
-                      .filter(F.when(F.col("n_codes") > max_codes, too_many).otherwise(F.lit(True))))
-    per = checked.groupBy(column).agg(
+    counts = (per_key.groupBy(column).agg(F.count(F.lit(1)).alias("n_codes"))
+                     .filter(F.when(F.col("n_codes") > max_codes, too_many).otherwise(F.lit(True))))
+    per = per_key.join(counts, on=column, how="inner").groupBy(column).agg(
         F.min("_d").getField("d").alias(description),
         F.max("n_codes").alias("n_codes"),
         F.collect_list(_entry(F.col("_r"), "code", F.col("_v"))).alias("_entries"))
