@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing
-from .common import read
+from . import mixing, packing, quality, toxicity
+from .common import held_out, may_train, read
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,25 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", "weight")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; labels of a third of the ids are never learned."""
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
+    weights = quality.fit_quality(docs, labels, may_train(F.col("doc_id")))
+    scored = quality.score_quality(docs, weights)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, with the sentences that offend."""
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
+    weights = toxicity.fit_toxicity(docs, labels, may_train(F.col("doc_id")))
+    judged = toxicity.score_toxicity(docs, weights)
+    return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity.score").alias("score"),
+                         (F.col("toxicity.score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+                         F.col("toxicity.sentences").alias("sentences"))
+
+
 def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens."""
     return packing.pack(read(spark, sf_dir, "documents"))
@@ -24,5 +43,7 @@ def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_toxicity": op4_toxicity,
     "op6_pack_sequences": op6_pack_sequences,
 }
