@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, toxicity
+from . import mixing, packing, quality, simhash, toxicity
 from .common import held_out, may_train, read
 
 
@@ -36,6 +36,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("toxicity.sentences").alias("sentences"))
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    groups = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens."""
     return packing.pack(read(spark, sf_dir, "documents"))
@@ -45,5 +51,6 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_toxicity": op4_toxicity,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_pack_sequences": op6_pack_sequences,
 }
