@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, simhash, toxicity
+from . import line_dedup, mixing, packing, quality, secrets, simhash, toxicity
 from .common import held_out, may_train, read
 
 
@@ -47,10 +47,27 @@ def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that many sites share."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.dedup_lines(docs, removed_col="n_removed").select("doc_id", "text", "n_removed")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts by kind, digest of the base spans, all spans."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scanned = secrets.scan(docs, secrets.train(docs))
+    counts = [F.size(f"s{k}").cast("long").alias(f"n_{kind[0]}") for k, kind in enumerate(secrets.KINDS)]
+    return scanned.select("doc_id", *counts, F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"),
+                          secrets.written(F.concat("base", "more")).alias("spans"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_toxicity": op4_toxicity,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_pack_sequences": op6_pack_sequences,
+    "op8_line_dedup": op8_line_dedup,
+    "op10_secret_scan": op10_secret_scan,
 }
