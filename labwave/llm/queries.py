@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, quality, secrets, simhash, toxicity
+from . import embedding_dedup, line_dedup, mixing, packing, quality, secrets, simhash, topk, toxicity
 from .common import held_out, may_train, read
 
 
@@ -62,12 +62,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                           secrets.written(F.concat("base", "more")).alias("spans"))
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best other vectors of every vector whose id is divisible by 20."""
+    return topk.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with a cosine of at least 0.93 within a label."""
+    return embedding_dedup.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_topk_search": op2_topk_search,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_toxicity": op4_toxicity,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_pack_sequences": op6_pack_sequences,
     "op8_line_dedup": op8_line_dedup,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_secret_scan": op10_secret_scan,
 }
