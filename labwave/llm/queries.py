@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, line_dedup, mixing, packing, quality, secrets, simhash, topk, toxicity
+from . import embedding_dedup, html_text, line_dedup, mixing, packing, quality, secrets, simhash, topk, toxicity
 from .common import held_out, may_train, read
 
 
@@ -47,6 +47,12 @@ def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    texts = html_text.main_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that many sites share."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -79,6 +85,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_pack_sequences": op6_pack_sequences,
+    "op7_html_text": op7_html_text,
     "op8_line_dedup": op8_line_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_secret_scan": op10_secret_scan,
