@@ -69,5 +69,5 @@ def fit(sample: DataFrame, train: Callable[[pd.DataFrame], np.ndarray]) -> np.nd
         frame = frame.sort_values("doc_id", ignore_index=True)
         yield pd.DataFrame({"model": [train(frame).astype("<f4").tobytes()]})
 
-    model = sample.repartition(1).mapInPandas(run, "model binary").first()
+    model = sample.repartition(1).mapInPandas(run, "model binary").collect()[0]  # BINS numbers
     return np.frombuffer(bytes(model["model"]), dtype="<f4")
