@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship_package, staged
+from .common import fresh, ship_package, staged
 
 #: Voted paths that a host's pages try before their own.
 PATHS = 20
@@ -169,13 +169,14 @@ def winning_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html"
 
 
 def main_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", text_col: str = "text") -> DataFrame:
-    """``pages`` without the html, with the main text in ``text_col``."""
-    host, winners = "_host", staged(winning_paths(pages, url_col, html_col), "html-paths")
+    """``pages`` without the html, with the main text in ``text_col`` (replaced if there)."""
+    host, tried = fresh("host"), fresh("paths")
+    winners = staged(winning_paths(pages, url_col, html_col), "html-paths")
 
     @F.pandas_udf("string")
     def text(htmls: pd.Series, paths: pd.Series) -> pd.Series:
         return pd.Series([extract(blocks_of(h), [] if p is None else list(p)) for h, p in zip(htmls, paths)], dtype=object)
 
     named = pages.withColumn(host, host_of(F.col(f"`{url_col}`")))
-    return (named.join(winners.withColumnRenamed("host", host).withColumnRenamed("paths", "_paths"), host, "left")
-                 .withColumn(text_col, text(F.col(f"`{html_col}`"), F.col("_paths"))).drop(host, "_paths", html_col))
+    return (named.join(winners.withColumnRenamed("host", host).withColumnRenamed("paths", tried), host, "left")
+                 .withColumn(text_col, text(F.col(f"`{html_col}`"), F.col(tried))).drop(host, tried, html_col))

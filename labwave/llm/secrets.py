@@ -2,8 +2,8 @@
 
 The patterns give the base spans. Two models of which character follows which are
 counted from labelled samples: random strings are the values that the patterns
-found in all documents, ordinary identifiers are the words of a bounded sample of
-documents. A run of token characters outside the base spans whose log-likelihood
+found in all documents, ordinary identifiers are the words that at least two
+documents of a bounded sample have. A run of token characters outside the base spans whose log-likelihood
 ratio between the two models is high, in sum and for each character, is a span of
 kind ``random``.
 
@@ -38,6 +38,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
 SAMPLE_DOCS = 8192
 #: Least log-likelihood ratio of a run, in all and for each character, in nats.
 LEAST_SUM, LEAST_MEAN = 12.0, 0.5
+#: Pairs' worth of belief in a character's overall frequency.
+PRIOR_PAIRS = 8.0
 
 _SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
 _SIZE = len(ALPHABET) + 1
@@ -97,12 +99,17 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float] | None
     plain = text
     for _, pattern, _, _ in KINDS:
         plain = F.regexp_replace(plain, pattern, " ")
-    words = sample.select(F.explode(F.regexp_extract_all(plain, F.lit(r"[A-Za-z_][A-Za-z0-9_-]{3,}"), F.lit(0))).alias("token"))
-    ordinary = _counts(words)
+    words = F.array_distinct(F.regexp_extract_all(plain, F.lit(r"[A-Za-z_][A-Za-z0-9_-]{3,}"), F.lit(0)))
+    words = sample.select(F.explode(words).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    ordinary = _counts(words.filter("n > 1"))  # a random string hardly occurs in two documents
 
     def logs(counts: dict[int, int]) -> list[float]:
+        """log P(b after a), drawn towards P(b) where a is rare."""
         rows = [sum(counts.get(a * _SIZE + b, 0) for b in range(_SIZE)) for a in range(_SIZE)]
-        return [math.log((counts.get(a * _SIZE + b, 0) + 1.0) / (rows[a] + _SIZE)) for a in range(_SIZE) for b in range(_SIZE)]
+        columns = [sum(counts.get(a * _SIZE + b, 0) for a in range(_SIZE)) + 0.5 for b in range(_SIZE)]
+        alone = [c / sum(columns) for c in columns]
+        return [math.log((counts.get(a * _SIZE + b, 0) + PRIOR_PAIRS * alone[b]) / (rows[a] + PRIOR_PAIRS))
+                for a in range(_SIZE) for b in range(_SIZE)]
 
     return [x - y for x, y in zip(logs(random), logs(ordinary))]
 

@@ -230,7 +230,8 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     kept = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     n = fresh("n")
     kept = staged(kept.withColumnRenamed("n", n), "simhash-kept")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     chosen = docs.join(kept, "doc_id", "inner")
-    single = chosen.filter(F.col(n) == 1).select(docs.columns)
-    repeated = chosen.filter(F.col(n) > 1).groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return single.unionByName(repeated).unionByName(docs.filter("doc_id is null"))
+    single = chosen.filter(F.col(n) == 1).select(columns)
+    repeated = chosen.filter(F.col(n) > 1).groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.xxhash64("text")).alias("_row"))
+    return single.unionByName(repeated.select("_row.*")).unionByName(docs.filter("doc_id is null"))

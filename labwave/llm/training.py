@@ -69,5 +69,7 @@ def fit(sample: DataFrame, train: Callable[[pd.DataFrame], np.ndarray]) -> np.nd
         frame = frame.sort_values("doc_id", ignore_index=True)
         yield pd.DataFrame({"model": [train(frame).astype("<f4").tobytes()]})
 
-    model = sample.repartition(1).mapInPandas(run, "model binary").collect()[0]  # BINS numbers
-    return np.frombuffer(bytes(model["model"]), dtype="<f4")
+    models = sample.repartition(1).mapInPandas(run, "model binary").collect()  # one row, as long as the weight table
+    if not models:  # Spark starts no task for a sample that it knows to be empty
+        return train(pd.DataFrame({"text": [], "label": []})).astype("<f4")
+    return np.frombuffer(bytes(models[0]["model"]), dtype="<f4")
