@@ -14,9 +14,11 @@ empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import base64
 import functools
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -30,8 +32,8 @@ from .common import ship_package, staged
 SEQUENCE = 2048
 END_TOKEN = 1
 GROUP_DOCS = 2048
-#: Entries of a worker's memory of encoded words; it starts anew when full.
-MEMO = 300_000
+#: Entries of a worker's memory of encoded words; when full it becomes the older half.
+MEMO = 400_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -41,45 +43,73 @@ class WordEncoder:
 
     The tokenizer's pre-tokenization always begins a new piece at a space whose
     next character is not white space, so the parts of a text between such
-    spaces can be encoded one by one. A text with other white space next to a
-    space is encoded whole.
+    spaces can be encoded one by one; signs at the end of a word are a piece of
+    their own. A text with other white space next to a space, or with a special
+    token's opening, is encoded whole. New words are merged by the same vocabulary
+    in rank form where there is one, which costs a third.
     """
 
-    ODD = re.compile(r"\s \s|  |\A | \Z|\A\s| \s")
+    TAIL = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        self.memo: dict[str, bytes] = {}  # words, each after a space
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.merge = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        if ranks:
+            import tiktoken
+            with open(ranks, "rb") as lines:
+                vocabulary = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=vocabulary, special_tokens={})._core_bpe.encode_ordinary
+
+    def _merged(self, text: str) -> bytes:
+        ids = self.merge(text)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _new(self, word: str) -> bytes:
+        """Ids of a word that is not in the memory; an empty word or white space at its
+        ends raises ValueError."""
+        known = self.older.get(word)
+        if known is None:
+            tail = self.TAIL.fullmatch(word)
+            if tail:
+                if tail[2] not in self.tails:
+                    if len(self.tails) > 10_000:
+                        self.tails.clear()
+                    self.tails[tail[2]] = self._merged(tail[2])
+                known = (self.memo.get(tail[1]) or self._new(tail[1])) + self.tails[tail[2]]
+            elif not word or word[0].isspace() or word[-1].isspace():
+                raise ValueError(word)
+            else:
+                known = self._merged(" " + word)
+        if len(self.memo) >= MEMO:
+            self.older, self.memo = self.memo, {}
+        self.memo[word] = known
+        return known
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if self.ODD.search(text) or "<|" in text:
-            return self._encode([text])[0]
-        parts = text.split(" ")
-        parts[1:] = [" " + x for x in parts[1:]]
-        memo = self.memo
-        missing = [x for x in set(parts) if x not in memo]
-        if missing:
-            if len(memo) > MEMO:
-                memo.clear()
-                missing = list(set(parts))
-            memo.update(zip(missing, self._encode(missing)))
-        return b"".join(map(memo.__getitem__, parts))
+        first, *rest = text.split(" ")
+        try:
+            if "<|" in text or not first or first[0].isspace() or first[-1].isspace():
+                raise ValueError(first)
+            get, new = self.memo.get, self._new
+            return b"".join([self._merged(first), *[get(w) or new(w) for w in rest]])
+        except ValueError:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str | None) -> WordEncoder:
     if path is None:
         import public_tokenizers
-        path = public_tokenizers.path("byte_bpe_50k.json")
+        return WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                           public_tokenizers.PATTERN)
     return WordEncoder(path)
 
 
