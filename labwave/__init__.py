@@ -3,5 +3,5 @@
 Packages: ``functions`` (column expressions), ``sources`` (scans, SQL, sinks,
 catalog), ``operators`` (cleaning, reshaping, attribution, runs, diagnostics,
 roll-ups, codebooks), ``plans`` (driver-table adapters, registered queries,
-SQL oracles), ``streaming`` (none needed).
+SQL oracles).
 """

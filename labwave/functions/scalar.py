@@ -13,6 +13,19 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def nan_to_null(col) -> Column:
+    """A number, with NaN as null: no measurement."""
+    return F.when(~F.isnan(_c(col)), _c(col))
+
+
+def text_to_timestamp(col, *formats: str) -> Column:
+    """Text to timestamp_ntz by the first format that fits; without formats by the
+    usual ISO forms. Text that fits none gives null."""
+    if not formats:
+        return _c(col).try_cast("timestamp_ntz")
+    return F.coalesce(*[F.try_to_timestamp(_c(col), F.lit(f)).cast("timestamp_ntz") for f in formats])
+
+
 def day_start(ts) -> Column:
     """Midnight of a timestamp_ntz, still timestamp_ntz (date_trunc would give a zoned type)."""
     return F.to_date(_c(ts)).cast("timestamp_ntz")

@@ -42,7 +42,9 @@ def _per_infusion(infusions: DataFrame, on_duplicate: str) -> DataFrame:
         raise ValueError("on_duplicate must be 'error' or 'drop_patient'")
     per = inf.groupBy(N.PATIENT, N.INFNO).agg(
         F.min(N.INF_START).alias("_s_min"), F.max(N.INF_START).alias("_s_max"),
-        F.collect_set(N.STOP).alias("_stops"), F.collect_set(N.SEX).alias("_sexes"))
+        # Structs, since a set of plain values leaves nulls out.
+        F.transform(F.collect_set(F.struct(N.STOP)), lambda x: x[N.STOP]).alias("_stops"),
+        F.collect_set(N.SEX).alias("_sexes"))
     # Two different starts for one treatment number cannot be attributed.
     start = F.when(F.col("_s_min") != F.col("_s_max"),
                    F.raise_error(F.concat(F.lit("repeated treatment number for patient "),

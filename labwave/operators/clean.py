@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import names as N
-from ..functions.scalar import combine_date_time, normalize_name
+from ..functions.scalar import combine_date_time, nan_to_null, normalize_name, text_to_timestamp
 
 
 def normalize_columns(df: DataFrame, case: str = "upper") -> DataFrame:
@@ -59,7 +59,9 @@ def declared_casts(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.select(*cols)
 
 
-_EDGE_SPACE = r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$"
+# The characters that count as white space at the ends of a text.
+EDGE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+              "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def clean_strings(df: DataFrame, fill: str | None = "", trim: bool = True) -> DataFrame:
@@ -69,36 +71,55 @@ def clean_strings(df: DataFrame, fill: str | None = "", trim: bool = True) -> Da
         col = F.col(f"`{c}`")
         if t == "string":
             if trim:
-                col = F.regexp_replace(col, F.lit(_EDGE_SPACE), F.lit(""))
+                col = F.btrim(col, F.lit(EDGE_SPACE))
             if fill is not None:
                 col = F.coalesce(col, F.lit(fill))
         cols.append(col.alias(c))
     return df.select(*cols)
 
 
-def cleaning_report(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows and columns before and after cleaning, as one row."""
-    sides = (before.select(F.lit(0).alias("_side"))
-             .unionByName(after.select(F.lit(1).alias("_side"))))
-    return sides.agg(
-        F.count(F.when(F.col("_side") == 0, 1)).alias("rows_before"),
+def cleaning_report(before: DataFrame, required: list[str], cols_after: int) -> DataFrame:
+    """Rows and columns before and after dropping the rows that miss a required
+    column, as one row from one scan."""
+    kept = F.lit(True)
+    for c in required:
+        kept = kept & F.col(f"`{c}`").isNotNull()
+    return before.agg(
+        F.count(F.lit(1)).alias("rows_before"),
         F.lit(len(before.columns)).cast("long").alias("cols_before"),
-        F.count(F.when(F.col("_side") == 1, 1)).alias("rows_after"),
-        F.lit(len(after.columns)).cast("long").alias("cols_after"))
+        F.count_if(kept).alias("rows_after"),
+        F.lit(cols_after).cast("long").alias("cols_after"))
+
+
+SAMPLE_KEYS = [N.PATIENT, N.PL_DATE, N.PL_TIME]
+INFUSION_KEYS = [N.PATIENT, N.INF_DATE, N.INF_TIME]
+
+
+def _as_times(df: DataFrame, *cols: str) -> DataFrame:
+    """Date and time columns that are text become timestamps."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: text_to_timestamp(c) for c in cols if kinds.get(c) == "string"})
+
+
+def _measured(df: DataFrame) -> DataFrame:
+    """NaN in a number column is no measurement."""
+    return df.withColumns({c: nan_to_null(c).alias(c) for c, t in df.dtypes if t in ("double", "float")})
 
 
 def clean_samples(plasma: DataFrame) -> DataFrame:
-    """Plasma table: drop rows without date or time, build the sample time from
-    the date and the time of day, drop the two source columns."""
-    d = drop_null_rows(plasma, [N.PL_DATE, N.PL_TIME])
+    """Plasma table: drop rows without patient, date or time, build the sample time
+    from the date and the time of day, drop the two source columns. Dates and times
+    may be text; a measured NaN becomes null."""
+    d = drop_null_rows(_as_times(_measured(plasma), N.PL_DATE, N.PL_TIME), SAMPLE_KEYS)
     d = d.withColumn(N.SAMPLE_TIME, combine_date_time(N.PL_DATE, N.PL_TIME))
     return d.drop(N.PL_DATE, N.PL_TIME)
 
 
 def clean_infusions(treatments: DataFrame) -> DataFrame:
-    """Treatment table: drop rows without start date or time, build the start
-    time, keep patient, infusion number, sex, stop flag and start."""
-    d = drop_null_rows(treatments, [N.INF_DATE, N.INF_TIME])
+    """Treatment table: drop rows without patient, start date or time, build the
+    start time, keep patient, infusion number, sex, stop flag and start. Dates and
+    times may be text."""
+    d = drop_null_rows(_as_times(treatments, N.INF_DATE, N.INF_TIME), INFUSION_KEYS)
     d = d.withColumn(N.INF_START, combine_date_time(N.INF_DATE, N.INF_TIME))
     keep = [N.PATIENT, N.INFNO, N.SEX, N.STOP, N.INF_START]
     return d.select(*[c for c in keep if c in d.columns])

@@ -3,8 +3,8 @@
 A codebook *sheet* in long form has one row per cell: (column_name,
 description, row_no, cell) where a cell reads ``"code | label"``. A
 *description sheet* has (variable, question, detail_value, row_no) in sheet
-order. Everything is grouped per codebook column; one column's codes are
-gathered into one map, so ``codebook_maps`` checks that bound in the plan.
+order. ``codebook_entries`` gives one row per code; ``codebook_maps`` writes a
+column's entries as one record, which is what the JSON codebook files hold.
 """
 
 from __future__ import annotations
@@ -15,21 +15,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import Column
 
 from .joins import DEFAULT_ROWS_PER_TASK, hot_from_counts, split_hot_keys_join
-from .sequence import ordered_prefix_sums, streaks
+from .sequence import streaks
 
-MAX_CODES_PER_COLUMN = 10_000
 CELL_SEPARATOR = " | "
 
 
 def codebook_split(sheet: DataFrame, column: str = "column_name", row: str = "row_no",
-                   cell: str = "cell", bucket_rows: float = 4096.0) -> DataFrame:
+                   cell: str = "cell", rows_per_task: int = DEFAULT_ROWS_PER_TASK) -> DataFrame:
     """Cells to (code, label); a column's codes stop at its first empty cell, and
-    a column whose first cell is empty has no codes. "Stopped" is a running
-    count of empty cells along the sheet order (one bucketed prefix scan)."""
-    empty = (F.col(cell).isNull() | (F.trim(cell) == "")).cast("long")
-    scanned = ordered_prefix_sums(sheet, [column], row, row, {"_empties": empty},
-                                  bucket_hours=bucket_rows, numeric=True)
-    kept = scanned.filter(F.col("_empties") == 0).drop("_empties")
+    a column whose first cell is empty has no codes. The first empty row of each
+    column is one grouped aggregate, joined back to the cells; a column without a name
+    has no codes."""
+    empty = F.col(cell).isNull() | (F.trim(cell) == "")
+    stop = sheet.groupBy(column).agg(F.min(F.when(empty, F.col(row))).alias("_stop"), F.count(F.lit(1)).alias("_n"))
+    hot = hot_from_counts(stop, [column], "_n", rows_per_task)
+    kept = split_hot_keys_join(sheet, stop.drop("_n"), [column], "inner", row, hot=hot)
+    kept = kept.filter(F.col("_stop").isNull() | (F.col(row) < F.col("_stop"))).drop("_stop")
     parts = F.split(F.col(cell), r" \| ", 2)
     return kept.select(*[c for c in kept.columns if c != cell],
                        F.element_at(parts, 1).alias("code"),
@@ -45,25 +46,24 @@ def _to_map(entries: Column) -> Column:
     return F.map_from_entries(F.transform(F.array_sort(entries), lambda e: F.struct(e["k"], e["v"])))
 
 
-def codebook_maps(codes: DataFrame, column: str = "column_name", row: str = "row_no",
-                  description: str = "description",
-                  max_codes: int = MAX_CODES_PER_COLUMN) -> DataFrame:
-    """One row per codebook column: description and its code -> label map in
-    sheet order (a repeated code keeps its first place and its last label, as a
-    dict update does). A column with more than ``max_codes`` codes fails the
-    job before its codes are gathered into one map: codes are counted per
-    column first (a partial aggregate, skew-safe), and the check runs on that
-    small table before the collecting aggregate."""
-    per_key = codes.filter(F.col("code").isNotNull()).groupBy(column, "code").agg(
+def codebook_entries(codes: DataFrame, column: str = "column_name", row: str = "row_no",
+                     description: str = "description") -> DataFrame:
+    """One row per (column, code): its first row, its last label and the column's
+    description there (a repeated code keeps its first place and its last label, as a
+    dict update does)."""
+    return codes.filter(F.col("code").isNotNull()).groupBy(column, "code").agg(
         F.min(row).alias("_r"),
         F.max(F.struct(F.col(row).alias("p"), F.col("label").alias("v"))).getField("v").alias("_v"),
         F.min(F.struct(F.col(row).alias("p"), F.col(description).alias("d"))).alias("_d"))
-    too_many = F.raise_error(F.concat(F.lit("codebook column too large: "), F.col(column)))
-    counts = (per_key.groupBy(column).agg(F.count(F.lit(1)).alias("n_codes"))
-                     .filter(F.when(F.col("n_codes") > max_codes, too_many).otherwise(F.lit(True))))
-    per = per_key.join(counts, on=column, how="inner").groupBy(column).agg(
+
+
+def codebook_maps(codes: DataFrame, column: str = "column_name", row: str = "row_no",
+                  description: str = "description") -> DataFrame:
+    """One row per codebook column: description and its code -> label map in sheet
+    order, whatever the number of codes (for rows, see ``codebook_entries``)."""
+    per = codebook_entries(codes, column, row, description).groupBy(column).agg(
         F.min("_d").getField("d").alias(description),
-        F.max("n_codes").alias("n_codes"),
+        F.count(F.lit(1)).alias("n_codes"),
         F.collect_list(_entry(F.col("_r"), "code", F.col("_v"))).alias("_entries"))
     return per.select(column, description, "n_codes", _to_map(F.col("_entries")).alias("details"))
 

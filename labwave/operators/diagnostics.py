@@ -3,7 +3,7 @@
 Each diagnostic is a pure function ``DataFrame -> DataFrame``: it keeps the rows
 of its analyte codes and adds a boolean ``detection``. Thresholds and analyte
 codes are keyword arguments; their defaults are the clinical defaults.
-Comparisons with null count as false.
+Comparisons with null count as false, and NaN is null: no measurement.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import names as N
-from ..session import ensure_checkpoint_dir
-from ..functions.scalar import coalesce_false, epoch_micros, parse_limit_text
+from ..session import shared_dir
+from ..functions.scalar import coalesce_false, epoch_micros, nan_to_null, parse_limit_text
 from .joins import DEFAULT_ROWS_PER_TASK, hot_from_counts, split_hot_keys_join
 from .sequence import ordered_lag
 from .streaks import streak_flag
@@ -40,7 +40,12 @@ MTX_36H, MTX_42H, MTX_48H = 20.0, 10.0, 5.0
 
 def _subset(df: DataFrame, codes, extra=()) -> DataFrame:
     cols = [c for c in OUT_COLS + list(extra) if c in df.columns]
-    return df.filter(F.col(N.CODE).isin(list(codes))).select(*cols)
+    return measured(df.filter(F.col(N.CODE).isin(list(codes))).select(*cols))
+
+
+def measured(df: DataFrame) -> DataFrame:
+    """The samples with NaN values as null."""
+    return df.withColumn(N.VALUE, nan_to_null(N.VALUE))
 
 
 def dx_renal(df: DataFrame, code: str = CREATININE, above: float = 150.0) -> DataFrame:
@@ -138,8 +143,8 @@ def _baseline(code: str):
 def baseline_value(df: DataFrame, code: str = CREATININE) -> DataFrame:
     """Per patient, the value of the pre-treatment (INFNO 0) sample closest to
     infusion 1: greatest hour difference, then earliest time, then sample id."""
-    rows = df.filter((F.col(N.CODE) == code) & (F.col(N.INFNO) == 0) & F.col(N.VALUE).isNotNull()
-                     & F.col(N.HOURS).isNotNull())
+    rows = measured(df.filter(F.col(N.CODE) == code))
+    rows = rows.filter((F.col(N.INFNO) == 0) & F.col(N.VALUE).isNotNull() & F.col(N.HOURS).isNotNull())
     return rows.groupBy(N.PATIENT).agg(_baseline(code).alias("baseline_crea"))
 
 
@@ -154,23 +159,28 @@ def dx_delayed_elimination(df: DataFrame, crea: str = CREATININE, mtx: str = MET
                            crea_fold: float = CREA_FOLD_OVER_BASELINE,
                            mtx_36h: float = MTX_36H, mtx_42h: float = MTX_42H,
                            mtx_48h: float = MTX_48H, bucket_hours: float = 24.0,
-                           rows_per_task: int = DEFAULT_ROWS_PER_TASK) -> DataFrame:
+                           rows_per_task: int = DEFAULT_ROWS_PER_TASK,
+                           baseline_from: DataFrame | None = None) -> DataFrame:
     """Delayed elimination: per (patient, treatment), some creatinine criterion AND
     some methotrexate criterion; the verdict goes to every row of the treatment.
 
     Creatinine: rise over the previous sample > ``crea_rise``, or value over the
     patient's baseline > ``crea_fold``. Methotrexate (floored hours): [36,42) >
     ``mtx_36h``, [42,48) > ``mtx_42h``, > 48 > ``mtx_48h``. Treatment 0 never
-    counts; patients without a baseline leave the result.
+    counts; patients without a baseline leave the result. ``baseline_from`` gives
+    other attributed samples for the baseline, such as those before a choice of
+    treatments.
     """
-    d = (df.filter(F.col(N.CODE).isin(crea, mtx) & F.col(N.INFNO).isNotNull()
-                   & F.col(N.VALUE).isNotNull())
+    d = measured(df.filter(F.col(N.CODE).isin(crea, mtx) & F.col(N.INFNO).isNotNull()))
+    d = (d.filter(F.col(N.VALUE).isNotNull())
            .select(*[c for c in OUT_COLS + [N.HOURS] if c in df.columns]))
     # One per-patient aggregate gives the baseline and the row count that marks
     # hot patients for the join back.
     per_patient = d.groupBy(N.PATIENT).agg(_baseline(crea).alias("baseline_crea"),
                                            F.count(F.lit(1)).alias("_n"))
     hot = hot_from_counts(per_patient, [N.PATIENT], "_n", rows_per_task)
+    if baseline_from is not None:
+        per_patient = baseline_value(baseline_from, crea)
     d = value_delta(d, bucket_hours=bucket_hours)
     v, h = F.col(N.VALUE), F.col(N.HOURS)
     treated = F.col(N.INFNO) != 0
@@ -182,17 +192,16 @@ def dx_delayed_elimination(df: DataFrame, crea: str = CREATININE, mtx: str = MET
     per_treatment = d.groupBy(N.PATIENT, N.INFNO).agg(
         F.bool_or(coalesce_false(crea_row & rise)).alias("_rise"),
         F.max(F.when(crea_row, v)).alias("_vmax"), F.min(F.when(crea_row, v)).alias("_vmin"),
-        F.bool_or(coalesce_false(crea_row & F.isnan(v))).alias("_vnan"),
         F.bool_or(coalesce_false(mtx_row & c345)).alias("_mtx"))
     # The baseline joins the small per-treatment table, not the rows. For a
     # fixed baseline, value / baseline is monotonic in the value, so "some row
     # over the fold" is the largest value's test (positive baseline) or the
-    # smallest's (negative); a NaN value compares true, as it does per row.
+    # smallest's (negative).
     base = F.col("baseline_crea")
     fold = (F.when(base == 0, F.col("_vmax") > 0)
              .when(base > 0, F.col("_vmax") / base > F.lit(crea_fold))
              .otherwise(F.col("_vmin") / base > F.lit(crea_fold)))
-    crea_hit = coalesce_false(F.col("_rise") | F.col("_vnan") | coalesce_false(fold))
+    crea_hit = coalesce_false(F.col("_rise") | coalesce_false(fold))
     verdict = per_treatment.join(
         per_patient.filter(base.isNotNull()).select(N.PATIENT, "baseline_crea"), on=N.PATIENT,
         how="inner").select(N.PATIENT, N.INFNO, "baseline_crea",
@@ -202,6 +211,7 @@ def dx_delayed_elimination(df: DataFrame, crea: str = CREATININE, mtx: str = MET
     return split_hot_keys_join(d, verdict, [N.PATIENT, N.INFNO], "inner", N.SAMPLE_ID, hot=hot)
 
 
+# --- fixed values: display names -------------------------------------------------
 # Registry: display name -> function (the extension point; add entries to extend).
 DIAGNOSTICS: dict[str, Callable[..., DataFrame]] = {
     "Neutropenia (NPU02902) Neutrofilocytter": dx_neutropenia,
@@ -213,6 +223,7 @@ DIAGNOSTICS: dict[str, Callable[..., DataFrame]] = {
     "DME": dx_delayed_elimination,
     "HDM": dx_delayed_elimination,
 }
+# --- end fixed values -----------------------------------------------------------
 
 COMMON_COLS = [N.PATIENT, N.SAMPLE_ID, N.SAMPLE_TIME, N.CODE, N.VALUE, N.INFNO, N.DETECTION]
 
@@ -222,14 +233,15 @@ def run_diagnostics(df: DataFrame, selected: list[tuple[str, dict]],
     """Run the chosen diagnostics on the same samples; one long result with the
     diagnostic's name on each row (UNION ALL of the per-diagnostic results).
 
-    With several diagnostics the input is computed once and checkpointed to the
-    cluster's shared checkpoint folder (reliable storage, so a lost executor
-    does not force a recompute of the whole lineage); every diagnostic then
-    reads that copy instead of re-deriving it.
+    With several diagnostics the input is computed once and written as Parquet,
+    sorted by analyte code, to the cluster's shared folder. Every diagnostic then
+    reads the row groups of its codes and its own columns from that copy, and a lost
+    executor does not force a recompute of the lineage.
     """
     if share_input and len(selected) > 1:
-        ensure_checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
+        path = shared_dir(df.sparkSession, "samples-by-code")
+        df.sortWithinPartitions(N.CODE).write.parquet(path)
+        df = df.sparkSession.read.schema(df.schema).parquet(path)
     # Names that run the same rule with the same parameters (DME and HDM) are
     # computed once; each result row is emitted once per name.
     groups: dict[tuple, tuple] = {}

@@ -6,15 +6,17 @@ not qualify. So hot keys are split explicitly:
 
 1. rows per key are counted on the large side (a partial aggregate over the
    key columns only);
-2. keys with more than ``rows_per_task`` rows are *hot*; there are at most
-   ``rows / rows_per_task`` of them, a proven bound, so that list is broadcast;
+2. keys with more than ``rows_per_task`` rows are *hot*; the list of them is joined
+   without a hint, so the planner broadcasts it only when it has measured it small;
 3. a hot key's large-side rows get a salt in ``[0, fanout)`` from a hash of a
    unique row column (deterministic, so a retried task salts identically),
    with ``fanout = ceil(rows / rows_per_task)``; its small-side rows are
    repeated once per salt. Cold keys keep salt 0 and are not repeated;
 4. the join runs on (keys, salt).
 
-A key holding a third of all rows is thereby spread over ``fanout`` tasks.
+A key holding a third of all rows is thereby spread over ``fanout`` tasks. Rows
+with a null key match nothing, so any salt will do: they are spread over
+``NULL_FANOUT`` salts.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 SALT, FANOUT = "_hk_salt", "_hk_fanout"
 DEFAULT_ROWS_PER_TASK = 4_000_000
+NULL_FANOUT = 512
 
 
 def hot_keys(big: DataFrame, on: Sequence[str], rows_per_task: int) -> DataFrame:
@@ -63,10 +66,13 @@ def split_hot_keys_join(big: DataFrame, small: DataFrame, on: Sequence[str], how
         raise ValueError(f"unsupported join type {how}")
     hot = hot_keys(big, on, rows_per_task) if hot is None else hot
     hot_on = [c for c in hot.columns if c != FANOUT]
-    hot = F.broadcast(hot)
     salt_src = [F.col(salt_col)] if salt_col else [F.col(f"`{c}`") for c in big.columns]
+    matchless = F.lit(False)
+    for c in on:
+        matchless = matchless | F.col(f"`{c}`").isNull()
+    spread = F.pmod(F.xxhash64(*salt_src), F.lit(NULL_FANOUT)).cast("int")
     b = big.join(hot, on=hot_on, how="left").withColumn(
-        SALT, F.when(F.col(FANOUT).isNull(), F.lit(0))
+        SALT, F.when(matchless, spread).when(F.col(FANOUT).isNull(), F.lit(0))
                .otherwise(F.pmod(F.xxhash64(*salt_src), F.col(FANOUT)).cast("int"))).drop(FANOUT)
     s = small.join(hot, on=hot_on, how="left").withColumn(
         SALT, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(FANOUT), F.lit(1)) - 1))).drop(FANOUT)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import names as N
-from ..functions.scalar import TIME_BINS, UNBINNED, exact_hours, time_bin_label
+from ..functions.scalar import TIME_BINS, UNBINNED, exact_hours, nan_to_null, time_bin_label
 from .diagnostics import CREATININE, METHOTREXATE
 from .joins import split_hot_keys_join
 
@@ -21,7 +21,7 @@ def melt_samples(wide: DataFrame, measures=DEFAULT_MEASURES, code_map: dict | No
     code_map = MEASURE_CODES if code_map is None else code_map
     measures = list(measures)
     ids = ids if ids is not None else [c for c in wide.columns if c not in measures]
-    long = wide.unpivot(ids, measures, N.MEASURE, N.VALUE)
+    long = wide.unpivot(ids, measures, N.MEASURE, N.VALUE).withColumn(N.VALUE, nan_to_null(N.VALUE))
     code = None
     for m, c in code_map.items():
         code = F.when(F.col(N.MEASURE) == m, F.lit(c)) if code is None \
@@ -52,6 +52,7 @@ def time_bin_pivot(plasma: DataFrame, infusions: DataFrame, measures=DEFAULT_MEA
     rows = plasma.filter(F.col(N.PATIENT).isNotNull() & F.col(N.INFNO).isNotNull())
     salt = N.SAMPLE_ID if N.SAMPLE_ID in rows.columns else None
     m = split_hot_keys_join(rows, inf, [N.PATIENT, N.INFNO], "left", salt, hot=hot)
+    m = m.withColumns({c: nan_to_null(c) for c in measures})
     m = m.withColumn("_bin", time_bin_label(exact_hours("_inf_start", N.SAMPLE_TIME), bins, unbinned))
     aggs, present = [], []
     for meas, label, name in bin_columns(measures, bins, unbinned):

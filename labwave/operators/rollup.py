@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .. import names as N
 from .joins import DEFAULT_ROWS_PER_TASK, hot_from_counts, split_hot_keys_join
 
+# --- fixed values: labels
 POSITIVE = "patients with one positive diagnostic"
 NEGATIVE = "patients with all negative diagnostic"
+# --- end fixed values
 
 
 def detected_patients(dx: DataFrame) -> DataFrame:

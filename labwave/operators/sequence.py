@@ -43,6 +43,17 @@ def _bucket(time_col: str, bucket_hours: float, numeric: bool = False) -> Column
     return F.coalesce(b, F.lit(_NULL_TIME_BUCKET).cast("long"))
 
 
+def _join_back(rows: DataFrame, info: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with their bucket's summary. Null-safe on the keys: a null key is a group
+    like any other, and every row of ``rows`` stays."""
+    on, renamed = F.lit(True), info
+    for c in [*keys, BUCKET]:
+        renamed = renamed.withColumnRenamed(c, f"_jb_{c}")
+    for c in [*keys, BUCKET]:
+        on = on & F.col(f"`{c}`").eqNullSafe(F.col(f"`_jb_{c}`"))
+    return rows.join(renamed, on, "inner").drop(*[f"_jb_{c}" for c in [*keys, BUCKET]])
+
+
 def _row_window(keys, time_col, id_col):
     return Window.partitionBy(*keys, BUCKET).orderBy(
         F.col(time_col).asc_nulls_last(), F.col(id_col).asc())
@@ -79,7 +90,7 @@ def ordered_lag(df: DataFrame, keys: Sequence[str], time_col: str, id_col: str,
         F.max(F.when(F.col("_seq_last_row"), F.col(value_col))).alias("_seq_last"))
     info = summ.select(*keys, BUCKET,
                        F.lag("_seq_last").over(_bucket_window(keys)).alias("_seq_carry"))
-    out = rows.join(info, on=keys + [BUCKET], how="inner")
+    out = _join_back(rows, info, keys)
     prev = F.when(F.col("_seq_first"), F.col("_seq_carry")).otherwise(F.col("_seq_local_prev"))
     return out.select(*[F.col(f"`{c}`") for c in df.columns], prev.alias(out_col))
 
@@ -101,7 +112,7 @@ def ordered_prefix_sums(df: DataFrame, keys: Sequence[str], time_col: str, id_co
     info = summ.select(*keys, BUCKET, *[
         F.coalesce(F.sum(f"_ps_b{i}").over(before), F.lit(0)).alias(f"_ps_o{i}")
         for i in range(len(vals))])
-    out = rows.join(info, on=keys + [BUCKET], how="inner")
+    out = _join_back(rows, info, keys)
     return out.select(*[F.col(f"`{c}`") for c in df.columns], *[
         (F.col(f"_ps_o{i}") + F.col(f"_ps_l{i}")).alias(name) for i, name in enumerate(sums)])
 
@@ -181,7 +192,7 @@ def streaks(df: DataFrame, flag_col: str, keys: Sequence[str], time_col: str, id
         F.min(F.least("_b_fet", F.when(F.col("_b_le"), F.col("_b_lt")))).over(later)
          .alias("_b_cet"),
     )
-    out = rows.join(info, on=keys + [BUCKET], how="inner")
+    out = _join_back(rows, info, keys)
     return out.select(
         *[F.col(f"`{c}`") for c in df.columns],
         (F.col("_b_base") + F.col("_b_fs").cast("long") + F.col("_seq_nstart")).alias(id_out),

@@ -8,32 +8,26 @@ from pyspark.sql import functions as F
 
 def chunk_text(df: DataFrame, id_col: str, text_col: str, size: int = 4096) -> DataFrame:
     """Every text cut into consecutive pieces of ``size`` characters (the last may
-    be shorter); an empty or null text has no piece. Whole texts, row-parallel."""
-    n = F.ceil(F.length(text_col) / F.lit(size)).cast("int")
-    pieces = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    exploded = df.select(id_col, text_col, F.explode(pieces).alias("chunk_no"))
-    return exploded.select(
-        id_col, "chunk_no",
-        F.substring(F.col(text_col), F.col("chunk_no") * size + 1, size).alias("chunk"))
+    be shorter); an empty or null text has no piece. Whole texts, row-parallel, cut in
+    one pass over each text."""
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{int(size)}}}"), F.lit(0))
+    return df.select(id_col, F.posexplode(pieces).alias("chunk_no", "chunk"))
 
 
 def concat_group_text(df: DataFrame, group: str = "conv_id", order: str = "turn",
                       role: str = "role", text: str = "text", sep: str = "\n",
-                      piece_width: int = 4096) -> DataFrame:
-    """One text per group: its ``role: text`` lines in ``order``, joined by ``sep``.
-
-    Two levels, so a group with a huge share of the rows is not concatenated in
-    one task: lines are first joined per (group, range of ``piece_width``
-    order values) in parallel, then each group's few pieces are joined in
-    order. ``order`` is numeric (a turn number). The result is the whole text.
+                      piece_width: int = 1024) -> DataFrame:
+    """Each group's ``role: text`` lines in ``order``, joined by ``sep``, as pieces:
+    (group, piece_no, joined_text, n_lines). A piece holds ``piece_width`` values of
+    ``order`` (a turn number), so the text of a group with a huge share of the rows is
+    not gathered in one row; the pieces in order, joined by ``sep``, are the whole.
+    A null order comes last, in a piece of its own (number null); equal orders go by
+    role, then text.
     """
     line = F.concat_ws(": ", F.col(role), F.col(text)).alias("_line")
-    piece = F.floor(F.col(order) / F.lit(piece_width)).alias("_piece")
-    d = df.select(group, order, piece, line)
+    piece = F.floor(F.col(order) / F.lit(piece_width)).alias("piece_no")
+    d = df.select(group, order, role, text, piece, line)
     sep_sql = sep.encode("unicode_escape").decode().replace("'", "\\'")
-    pieces = d.groupBy(group, "_piece").agg(
-        F.expr(f"listagg(_line, '{sep_sql}') WITHIN GROUP (ORDER BY `{order}`)").alias("_part"),
-        F.count(F.lit(1)).alias("_n"))
-    return pieces.groupBy(group).agg(
-        F.expr(f"listagg(_part, '{sep_sql}') WITHIN GROUP (ORDER BY _piece)").alias("joined_text"),
-        F.sum("_n").alias("n_lines"))
+    return d.groupBy(group, "piece_no").agg(
+        F.expr(f"listagg(_line, '{sep_sql}') WITHIN GROUP (ORDER BY struct(`{order}`, `{role}`, `{text}`))").alias("joined_text"),
+        F.count(F.lit(1)).alias("n_lines"))

@@ -42,12 +42,14 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def treatment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def treatment_table(spark: SparkSession, sf_dir: str, patients=None) -> DataFrame:
     """Raw per-infusion table (the treatment source's shape): date and a time
-    column whose date part is the spreadsheet epoch, as such sources deliver."""
+    column whose date part is the spreadsheet epoch, as such sources deliver.
+    ``patients`` is a condition on the patient column, applied to the scan."""
     e = load(spark, sf_dir, "events").filter(F.col("event_type") == SIGNUP)
     rows = e.select(F.col("user_id").alias(N.PATIENT), F.col("event_id").alias(N.SAMPLE_ID),
                     "ts", "value")
+    rows = rows if patients is None else rows.filter(patients)
     rows = ordered_row_number(rows, [N.PATIENT], "ts", N.SAMPLE_ID, N.INFNO)
     cust = load(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias(N.PATIENT), (F.col("c_custkey") % 3).cast("int").alias(N.SEX))
@@ -64,14 +66,16 @@ def treatment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plasma_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw wide plasma table: one row per sample with a date and a time column and
-    the two measures (creatinine from clicks, methotrexate from purchases)."""
+    the two measures (creatinine from clicks, methotrexate from purchases). Events
+    whose ``k`` is 0 have no time of day, so cleaning has rows to drop."""
     e = load(spark, sf_dir, "events").filter(F.col("event_type").isin(CREA_EVENT, MTX_EVENT))
     excel_epoch = F.lit("1899-12-30 00:00:00").cast("timestamp_ntz")
     return e.select(
         F.col("user_id").alias(N.PATIENT),
         F.col("event_id").alias(N.SAMPLE_ID),
         F.to_date("ts").alias(N.PL_DATE),
-        (excel_epoch + (F.col("ts") - day_start("ts"))).alias(N.PL_TIME),
+        F.when(~F.get_json_object("props", "$.k").eqNullSafe("0"),
+               excel_epoch + (F.col("ts") - day_start("ts"))).alias(N.PL_TIME),
         F.when(F.col("event_type") == CREA_EVENT, F.col("value")).alias(N.CREA_MEASURE),
         F.when(F.col("event_type") == MTX_EVENT, F.col("value")).alias(N.MTX_MEASURE),
     )
@@ -93,7 +97,7 @@ def codebook_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # Sheet row: position within the column by line, then part and supplier.
     rows = ordered_row_number(rows, ["column_name"], "l_linenumber", "_tb", "row_no",
-                              bucket_hours=1024, numeric=True)
+                              bucket_hours=4, numeric=True)
     return rows.select("column_name", "description", "row_no", "cell")
 
 
@@ -119,8 +123,8 @@ def part_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second description table (an update file) for the parts priced over 1500."""
-    p = load(spark, sf_dir, "part").filter(F.col("p_retailprice") > 1500)
+    """A second description table (an update file): all parts."""
+    p = load(spark, sf_dir, "part")
     return p.select(
         F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("column_name"),
         F.col("p_name").alias("description"),

@@ -1,18 +1,37 @@
 """DuckDB oracle SQL for every registered query that SQL can express.
 
 Written from the rules, not from the Spark code: plain per-patient windows,
-equi-joins and grouped aggregates over the pre-registered driver views.
+equi-joins and grouped aggregates over the pre-registered driver views. Thresholds
+and bins are written out here, so a wrong value in the code cannot match itself.
 """
 
 from __future__ import annotations
 
-from ..functions.scalar import TIME_BINS, UNBINNED
-from ..operators import diagnostics as X
-from ..operators.reshape import bin_columns
-from ..sources.sql import DRIVER_TABLES
-from .queries import ADHOC_SQL, CHART_PATIENT, DX_PARAMS, PARAM_SQL, PARAM_VALUES
-
-WS = r"[ \t\n\x0B\f\r]"
+from .queries import ADHOC_SQL, CHART_PATIENT, PARAM_SQL, PARAM_VALUES
+
+# --- fixed values: rules on the driver data ------------------------------------
+DX = {
+    "dx_neutropenia": ("Neutropenia (NPU02902) Neutrofilocytter", dict(code="click", below=100.0, days=2)),
+    "dx_infection": ("Severe infection (NPU19748)", dict(code="error", above=200.0, days=1)),
+    "dx_hepatic": ("Severe hepatic effects elevated liver enzyme (NPU19651)",
+                   dict(liver="view", coagulation="click", bilirubin="purchase", liver_above=45.0,
+                        coagulation_below=20.0, bilirubin_above=40.0, at="PL_DAY")),
+    "dx_renal": ("Renal toxicity (NPU18016)", dict(code="click", above=150.0)),
+    "dx_thrombocytopenia": ("Thrombocytopenia (NPU03568)", dict(code="view", below=30.0, hours=24)),
+    "dx_pancreatitis": ("Pankreatit", dict(limits={"view": 20.0, "click": 20.0, "purchase": 20.0}, times=3.0,
+                                           crp="error", crp_above=50.0, at="PL_DAY")),
+    "dx_delayed_elimination": ("DME", dict(crea="click", mtx="purchase")),
+}
+# Hours after the start, lower < h <= upper: one bin before, one of 18 hours, one of 12
+# named Time23, six-hour bins from 36 to 96, twelve-hour bins from 102 to 306.
+BINS = ([(-7, 0, "Before"), (0, 18, "Time0"), (18, 30, "Time23")]
+        + [(t, t + 6, f"Time{t}") for t in range(36, 96, 6)]
+        + [(t, t + 12, f"Time{t}") for t in range(102, 306, 12)])
+NO_BIN = "nan"
+MEASURES = ("PL_MTX", "PL_PC")
+# --- end fixed values ------------------------------------------------------------
+#: White space that a cleaned text has at neither end, as Python's str.strip has it.
+SPACES = " || ".join(f"chr({ord(c)})" for c in map(chr, range(0x3001)) if c.isspace())
 
 SAMPLES = """SELECT user_id AS NOPHO_NR, event_id AS SAMPLE_ID, ts AS PL_DATETIME,
   event_type AS IUPAC_CODE, value AS PL_Value,
@@ -33,7 +52,8 @@ PLASMA = """SELECT user_id AS NOPHO_NR, event_id AS SAMPLE_ID,
   CASE WHEN event_type = 'click' THEN value END AS PL_PC,
   CASE WHEN event_type = 'purchase' THEN value END AS PL_MTX,
   ts AS PL_DATETIME
-FROM events WHERE event_type IN ('click', 'purchase')"""
+FROM events WHERE event_type IN ('click', 'purchase')
+  AND json_extract_string(props, '$.k') IS DISTINCT FROM '0'"""
 
 BLOCK_INFUSIONS = """SELECT user_id AS NOPHO_NR,
   CAST(dense_rank() OVER (PARTITION BY user_id ORDER BY date_trunc('hour', ts)) AS INTEGER) AS INFNO,
@@ -89,7 +109,7 @@ def _long(hours: float) -> str:
 
 
 def dx_sql(key: str) -> str:
-    _, p = DX_PARAMS[key]
+    _, p = DX[key]
     if key == "dx_renal":
         return f"""SELECT {OUT}, coalesce(PL_Value > {_f(p['above'])}, false) AS detection
 FROM ({ATT}) a WHERE IUPAC_CODE = '{p['code']}'"""
@@ -121,7 +141,7 @@ FROM ({s}) q"""
         rule = f"""({enzyme}) AND coalesce(avg(CASE WHEN IUPAC_CODE = '{p['crp']}' THEN PL_Value END)
   > {_f(p['crp_above'])}, false)"""
         return _coincident_sql(tuple(lim) + (p["crp"],), rule, p["at"], drop_null=True)
-    if key in ("dx_delayed_elimination", "dx_delayed_elimination_alias"):
+    if key == "dx_delayed_elimination":
         return dme_sql(p["crea"], p["mtx"])
     raise KeyError(key)
 
@@ -153,13 +173,13 @@ d3 AS (SELECT d.*, b.baseline_crea, lag(d.PL_Value) OVER (PARTITION BY d.NOPHO_N
     ORDER BY d.PL_DATETIME, d.SAMPLE_ID) AS prev_value FROM d JOIN b ON b.NOPHO_NR = d.NOPHO_NR),
 d4 AS (SELECT *,
   coalesce(INFNO <> 0 AND IUPAC_CODE = '{crea}' AND (
-      (prev_value IS NOT NULL AND {v} - prev_value > {_f(X.CREA_RISE_FROM_PREVIOUS)})
-      OR (CASE WHEN baseline_crea = 0 THEN {v} > 0 ELSE {v} / baseline_crea > {_f(X.CREA_FOLD_OVER_BASELINE)} END)),
+      (prev_value IS NOT NULL AND {v} - prev_value > {_f(0.3 * 88.42)})
+      OR (CASE WHEN baseline_crea = 0 THEN {v} > 0 ELSE {v} / baseline_crea > {_f(1.5)} END)),
     false) AS cc,
   coalesce(INFNO <> 0 AND IUPAC_CODE = '{mtx}' AND (
-      ({h} >= 36 AND {h} < 42 AND {v} > {_f(X.MTX_36H)})
-      OR ({h} >= 42 AND {h} < 48 AND {v} > {_f(X.MTX_42H)})
-      OR ({h} > 48 AND {v} > {_f(X.MTX_48H)})), false) AS mc
+      ({h} >= 36 AND {h} < 42 AND {v} > {_f(20.0)})
+      OR ({h} >= 42 AND {h} < 48 AND {v} > {_f(10.0)})
+      OR ({h} > 48 AND {v} > {_f(5.0)})), false) AS mc
   FROM d3),
 t AS (SELECT NOPHO_NR, INFNO, bool_or(cc) AND bool_or(mc) AS det FROM d4 GROUP BY NOPHO_NR, INFNO)
 SELECT d4.{OUT.replace(', ', ', d4.')}, d4.{h}, d4.baseline_crea, d4.prev_value,
@@ -169,22 +189,22 @@ FROM d4 LEFT JOIN t ON t.NOPHO_NR = d4.NOPHO_NR AND t.INFNO = d4.INFNO"""
 
 def all_dx_sql() -> str:
     parts = []
-    for key, (name, _) in DX_PARAMS.items():
+    for key, name in [*((k, name) for k, (name, _) in DX.items()), ("dx_delayed_elimination", "HDM")]:
         parts.append(f"""SELECT '{name}' AS name, NOPHO_NR, SAMPLE_ID, PL_DATETIME, IUPAC_CODE,
   PL_Value, INFNO, detection FROM ({dx_sql(key)}) q_{key}""")
     return "\nUNION ALL\n".join(parts)
 
 
 def _bin_case(h: str) -> str:
-    whens = " ".join(f"WHEN {h} > {lo} AND {h} <= {hi} THEN '{label}'" for lo, hi, label in TIME_BINS)
-    return f"CASE {whens} ELSE '{UNBINNED}' END"
+    whens = " ".join(f"WHEN {h} > {lo} AND {h} <= {hi} THEN '{label}'" for lo, hi, label in BINS)
+    return f"CASE {whens} ELSE '{NO_BIN}' END"
 
 
 def time_bin_pivot_sql() -> str:
     h = "((epoch_us(m.PL_DATETIME) - epoch_us(m._inf_start)) / 3600000000.0)"
     cols = ",\n  ".join(
-        f"arg_min({meas}, PL_DATETIME) FILTER (WHERE _bin = '{label}' AND {meas} IS NOT NULL) AS {name}"
-        for meas, label, name in bin_columns())
+        f"arg_min({meas}, PL_DATETIME) FILTER (WHERE _bin = '{label}' AND {meas} IS NOT NULL) AS {meas}_{label}"
+        for meas in MEASURES for label in [b[2] for b in BINS] + [NO_BIN])
     return f"""WITH p AS ({ATT_PLASMA}), inf AS ({INFUSIONS}),
 m AS (SELECT p.*, i.INF_START_DATETIME AS _inf_start FROM p
   LEFT JOIN inf i ON i.NOPHO_NR = p.NOPHO_NR AND i.INFNO = p.INFNO
@@ -201,7 +221,7 @@ def _flagged(code="click", below=100.0) -> str:
   coalesce(PL_Value < {_f(below)}, false) AS detection FROM ({SAMPLES}) s WHERE IUPAC_CODE = '{code}'"""
 
 
-DOCS_LABELS = """SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic
+DOCS_LABELS = """SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
 
 
@@ -258,10 +278,7 @@ SELECT cols.column_name, coalesce(per.d, cols.column_name) AS description, per.d
 FROM cols LEFT JOIN per ON per.variable = cols.column_name"""
 
 PART_DESCRIPTIONS = """SELECT 'P' || CAST(p_partkey AS VARCHAR) AS column_name, p_name AS description,
-  to_json(map(['size'], [CAST(p_size AS VARCHAR)])) AS details_json FROM part WHERE p_retailprice > 1500"""
-
-LINK_COLUMNS = f"""SELECT DISTINCT table_name, column_name FROM information_schema.columns
-WHERE table_name IN ({", ".join(f"'{t}'" for t in DRIVER_TABLES)})"""
+  to_json(map(['size'], [CAST(p_size AS VARCHAR)])) AS details_json FROM part"""
 
 
 def _bind(text: str, values: dict) -> str:
@@ -291,10 +308,6 @@ SELECT column_name, code, label FROM e""",
 UNION ALL
 SELECT column_name, description, CAST(json_array_length(json_keys(CAST(details_json AS JSON))) AS BIGINT)
 FROM ({DESCRIBED}) d""",
-        "list_columns": LINK_COLUMNS,
-        "key_links": f"""SELECT column_name, string_agg(table_name, ',' ORDER BY table_name) AS tables,
-  count(*) AS n_tables FROM ({LINK_COLUMNS}) c WHERE upper(column_name) LIKE '%ID%'
-GROUP BY column_name HAVING count(*) > 1""",
         "key_containment": """WITH k AS (
   SELECT DISTINCT 'doc_id' AS column_name, 'documents' AS table_name, CAST(doc_id AS VARCHAR) AS key
     FROM documents WHERE doc_id IS NOT NULL
@@ -305,14 +318,13 @@ SELECT k.column_name, k.table_name, count(*) AS n_keys, count(*) FILTER (WHERE p
 FROM k JOIN pk ON pk.column_name = k.column_name AND pk.key = k.key GROUP BY k.column_name, k.table_name""",
         "sql_adhoc": ADHOC_SQL,
         "sql_params": _bind(PARAM_SQL, PARAM_VALUES),
-        "csv_roundtrip": f"""SELECT NOPHO_NR, SAMPLE_ID, PL_DATETIME, IUPAC_CODE, PL_Value, INFNO, SEX,
-  MP6_POST_STOP, detection FROM ({dx_sql('dx_renal')}) q""",
+        "csv_roundtrip": "SELECT doc_id, lang, source, text FROM documents",
         "table_append": INFUSIONS,
     }
 
 
 def _dx_oracles() -> dict[str, str]:
-    return {k: dx_sql(k) for k in DX_PARAMS}
+    return {k: dx_sql(k) for k in DX}
 
 
 def oracles() -> dict[str, str]:
@@ -330,12 +342,11 @@ FROM ({all_dx_sql()}) u GROUP BY NOPHO_NR"""
                              + " FROM part",
         "drop_null_rows": f"SELECT * FROM ({DOCS_LABELS}) q WHERE quality IS NOT NULL AND toxic IS NOT NULL",
         "drop_null_columns": DOCS_LABELS,
-        "drop_sparse_columns": "SELECT doc_id, lang, source, n_chars FROM documents",
+        "drop_sparse_columns": "SELECT doc_id, text, lang, source, n_chars FROM documents",
         "declared_casts": """SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS props_k,
   TRY_CAST(event_type AS INTEGER) AS kind FROM events""",
-        "clean_strings": f"""SELECT conv_id, turn,
-  coalesce(regexp_replace(role, '^{WS}+|{WS}+$', '', 'g'), '') AS role,
-  coalesce(regexp_replace(text, '^{WS}+|{WS}+$', '', 'g'), '') AS text FROM conversations""",
+        "clean_strings": f"""SELECT conv_id, turn, CASE WHEN turn = 0 THEN '' ELSE coalesce(trim(role, {SPACES}), '') END AS role,
+  coalesce(trim(text, {SPACES}), '') AS text FROM conversations""",
         "combine_date_time": """SELECT o_orderkey,
   CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + (t - CAST(CAST(t AS DATE) AS TIMESTAMP)) AS combined
 FROM (SELECT o_orderkey, o_orderdate, o_orderdate + to_seconds(o_orderkey) AS t FROM orders) q""",
@@ -403,9 +414,10 @@ SELECT name, 'patients with one positive diagnostic', n_pos FROM c""",
         "patients_in_scope": f"""SELECT count(DISTINCT NOPHO_NR) AS n_patients,
   count(DISTINCT CASE WHEN IUPAC_CODE = 'purchase' THEN NOPHO_NR END) AS n_patients_with_code
 FROM ({ATT}) a WHERE INFNO IN (1, 2, 3, 4)""",
-        "cleaning_report": f"""SELECT count(*) AS rows_before, CAST(6 AS BIGINT) AS cols_before,
-  count(*) FILTER (WHERE PL_DATETIME IS NOT NULL) AS rows_after, CAST(5 AS BIGINT) AS cols_after
-FROM ({PLASMA}) p""",
+        "cleaning_report": """SELECT count(*) AS rows_before, CAST(6 AS BIGINT) AS cols_before,
+  count(*) FILTER (WHERE json_extract_string(props, '$.k') IS DISTINCT FROM '0') AS rows_after,
+  CAST(5 AS BIGINT) AS cols_after
+FROM events WHERE event_type IN ('click', 'purchase')""",
         "sorted_samples": SAMPLES,
         "sample_rows": f"""SELECT * EXCLUDE (PL_DAY) FROM ({ATT}) a WHERE INFNO IS NOT NULL
 ORDER BY md5(CAST(SAMPLE_ID AS VARCHAR) || '42'), SAMPLE_ID LIMIT 100""",
@@ -419,8 +431,14 @@ WHERE IUPAC_CODE = 'purchase' AND NOPHO_NR = {CHART_PATIENT} AND PL_Value IS NOT
   AND INFNO IS NOT NULL""",
         "chunk_text": """SELECT doc_id, CAST(g.i AS INTEGER) AS chunk_no, substring(text, CAST(g.i * 4096 + 1 AS BIGINT), 4096) AS chunk
 FROM documents, generate_series(0, CAST(ceil(length(text) / 4096.0) AS BIGINT) - 1) AS g(i)""",
-        "concat_group_text": """SELECT conv_id, string_agg(concat_ws(': ', role, text), chr(10) ORDER BY turn) AS joined_text,
-  count(*) AS n_lines FROM conversations GROUP BY conv_id""",
+        "concat_group_text": """SELECT conv_id, CAST(floor(turn / 1024) AS BIGINT) AS piece_no,
+  string_agg(concat_ws(': ', role, text), chr(10) ORDER BY turn, role, text) AS joined_text,
+  count(*) AS n_lines FROM conversations GROUP BY conv_id, piece_no""",
+        "sample_with_replacement": f"""WITH r AS (SELECT * EXCLUDE (PL_DAY),
+    row_number() OVER (ORDER BY md5(coalesce(CAST(SAMPLE_ID AS VARCHAR), '') || '42'), SAMPLE_ID) - 1 AS spot,
+    count(*) OVER () AS total FROM ({ATT}) a),
+w AS (SELECT i AS draw_no, CAST('0x' || substr(md5(i || '|42'), 1, 12) AS BIGINT) AS h FROM range(1, 101) t(i))
+SELECT r.* EXCLUDE (spot, total), w.draw_no FROM w JOIN r ON w.h % r.total = r.spot""",
     }
     o.update(_dx_oracles())
     o.update(_extra_oracles())

@@ -46,8 +46,9 @@ DX_PARAMS: dict[str, tuple[str, dict]] = {
     "dx_pancreatitis": ("Pankreatit", dict(limits={"view": 20.0, "click": 20.0, "purchase": 20.0},
                                            times=3.0, crp="error", crp_above=50.0, at=PL_DAY)),
     "dx_delayed_elimination": ("DME", dict(crea=D.CREA_EVENT, mtx=D.MTX_EVENT)),
-    "dx_delayed_elimination_alias": ("HDM", dict(crea=D.CREA_EVENT, mtx=D.MTX_EVENT)),
 }
+#: run_diagnostics also gives the delayed-elimination verdicts under their second name.
+ALL_DX = [*DX_PARAMS.values(), ("HDM", dict(crea=D.CREA_EVENT, mtx=D.MTX_EVENT))]
 
 
 # ---------------------------------------------------------------- shared inputs
@@ -92,7 +93,7 @@ def dx(spark, d, key) -> DataFrame:
 
 
 def all_dx(spark, d) -> DataFrame:
-    return X.run_diagnostics(attributed(spark, d), [DX_PARAMS[k] for k in DX_PARAMS])
+    return X.run_diagnostics(attributed(spark, d), ALL_DX)
 
 
 # ---------------------------------------------------------------- queries
@@ -106,20 +107,25 @@ def q_normalize_columns(spark, d):
 
 
 def _docs_labels(spark, d):
-    return D.load(spark, d, "documents").select("doc_id", "lang", "source", "n_chars") \
+    return D.load(spark, d, "documents") \
         .join(D.load(spark, d, "labels"), on="doc_id", how="left")
 
 
+def _unused(df: DataFrame) -> DataFrame:
+    """A column without any value, as wide clinical exports have them."""
+    return df.withColumn("unused", F.lit(None).cast("string"))
+
+
 def q_drop_null_rows(spark, d):
     return C.drop_null_rows(_docs_labels(spark, d), ["quality", "toxic"])
 
 
 def q_drop_null_columns(spark, d):
-    return C.drop_null_columns(_docs_labels(spark, d))
+    return C.drop_null_columns(_unused(_docs_labels(spark, d)))
 
 
 def q_drop_sparse_columns(spark, d):
-    return C.drop_sparse_columns(_docs_labels(spark, d), min_share=0.5)
+    return C.drop_sparse_columns(_unused(_docs_labels(spark, d)), min_share=0.5)
 
 
 def q_declared_casts(spark, d):
@@ -130,7 +136,10 @@ def q_declared_casts(spark, d):
 
 
 def q_clean_strings(spark, d):
-    return C.clean_strings(D.load(spark, d, "conversations"))
+    c = D.load(spark, d, "conversations")
+    return C.clean_strings(c.withColumns({
+        "text": F.concat(F.lit("\u00a0 "), "text", F.lit(" \t\u2003")),
+        "role": F.when(F.col("turn") > 0, F.concat(F.lit("\n"), "role"))}))
 
 
 def q_combine_date_time(spark, d):
@@ -201,7 +210,8 @@ def q_drop_duplicate_patients(spark, d):
 
 
 def q_distinct_treatments(spark, d):
-    return A.distinct_treatments(block_infusions(spark, d))
+    loaded = block_infusions(spark, d)
+    return A.distinct_treatments(loaded.unionByName(loaded))  # as from two loads
 
 
 def _flagged(spark, d, code="click", below=100.0):
@@ -262,7 +272,7 @@ def q_patients_in_scope(spark, d):
 
 def q_cleaning_report(spark, d):
     raw = D.plasma_table(spark, d)
-    return C.cleaning_report(raw, C.clean_samples(raw))
+    return C.cleaning_report(raw, C.SAMPLE_KEYS, len(C.clean_samples(raw).columns))
 
 
 def q_sorted_samples(spark, d):
@@ -286,12 +296,20 @@ def q_detected_samples(spark, d):
     return U.detected_samples(dx(spark, d, "dx_neutropenia"))
 
 
+def _one_patient(spark, d) -> DataFrame:
+    """One patient's attributed samples: both tables are cut down before attribution."""
+    one = F.col(N.PATIENT) == CHART_PATIENT
+    s = D.samples(spark, d).filter(one).withColumn(PL_DAY, S.day_start(N.SAMPLE_TIME))
+    return A.attribute_samples(s, C.clean_infusions(D.treatment_table(spark, d, one)))
+
+
 def q_patient_samples(spark, d):
-    return U.patient_samples(dx(spark, d, "dx_neutropenia"), CHART_PATIENT)
+    name, params = DX_PARAMS["dx_neutropenia"]
+    return U.patient_samples(X.DIAGNOSTICS[name](_one_patient(spark, d), **params), CHART_PATIENT)
 
 
 def q_elimination_curve(spark, d):
-    return U.elimination_curve(attributed(spark, d), CHART_PATIENT, D.MTX_EVENT)
+    return U.elimination_curve(_one_patient(spark, d), CHART_PATIENT, D.MTX_EVENT)
 
 
 def q_chunk_text(spark, d):
@@ -364,18 +382,10 @@ def q_codebook_combine(spark, d):
 
 
 # ---------------------------------------------------------------- catalog, SQL, sinks
-def q_list_columns(spark, d):
-    return CAT.list_columns(spark, d, SQ.DRIVER_TABLES)
-
-
-def q_key_links(spark, d):
-    return CAT.key_links(CAT.list_columns(spark, d, SQ.DRIVER_TABLES))
-
-
 def q_key_containment(spark, d):
     # The link list is catalog metadata (a handful of rows), not data.
-    links = [(r["column_name"], r["tables"].split(","))
-             for r in q_key_links(spark, d).collect()]
+    linked = CAT.key_links(CAT.list_columns(spark, d, SQ.DRIVER_TABLES))
+    links = [(r["column_name"], r["tables"].split(",")) for r in linked.collect()]
     return CAT.key_containment(spark, d, links)
 
 
@@ -400,7 +410,8 @@ def q_sql_params(spark, d):
 
 
 def q_csv_roundtrip(spark, d):
-    return FS.csv_roundtrip(spark, U.chart_samples(dx(spark, d, "dx_renal")), "renal-export")
+    docs = D.load(spark, d, "documents").select("doc_id", "lang", "source", "text")
+    return FS.csv_roundtrip(spark, docs, "documents-export")
 
 
 def q_table_append(spark, d):
@@ -468,8 +479,6 @@ QUERIES = {
     "codebook_write": q_codebook_write,
     "codebook_scan": q_codebook_scan,
     "codebook_combine": q_codebook_combine,
-    "list_columns": q_list_columns,
-    "key_links": q_key_links,
     "key_containment": q_key_containment,
     "sql_adhoc": q_sql_adhoc,
     "sql_params": q_sql_params,

@@ -26,15 +26,20 @@ _TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    """CSV export with a header line, UTF-8, written by every task in parallel."""
+    """CSV export with a header line, UTF-8, written by every task in parallel. Quotes
+    are doubled; text may hold line breaks; an empty text is quoted, a null is not."""
     (df.write.mode("errorifexists").option("header", True).option("encoding", "UTF-8")
+       .option("escape", '"').option("emptyValue", '""').option("nullValue", "\\N")
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
        .option("timestampNTZFormat", _TS_FORMAT).option("timestampFormat", _TS_FORMAT).csv(path))
     return path
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV scan with a declared schema (no inference pass over the data)."""
+    """CSV scan with a declared schema (no inference pass over the data). A file with
+    line breaks in a text is read by one task; the writer cuts the files."""
     return (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")
+            .option("escape", '"').option("multiLine", True).option("emptyValue", "").option("nullValue", "\\N")
             .option("timestampNTZFormat", _TS_FORMAT).option("timestampFormat", _TS_FORMAT)
             .csv(path))
 

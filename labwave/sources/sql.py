@@ -12,7 +12,8 @@ DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "
                  "events", "documents", "embeddings", "pages", "benchmark", "labels",
                  "conversations"]
 
-_PLACEHOLDER = re.compile(r"\[(.*?)\]")
+# Literals, quoted names, comments and subscripts, which are skipped, or a placeholder.
+_SQL_PART = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/|(?<=[\w\])`])\[[^\]]*\]|\[(?P<name>[^\]]*)\]""", re.S)
 
 
 def register_tables(spark: SparkSession, sf_dir: str, tables=DRIVER_TABLES) -> list[str]:
@@ -29,24 +30,27 @@ def sql_adhoc(spark: SparkSession, text: str) -> DataFrame:
 
 def placeholder_names(text: str) -> list[str]:
     """Names of ``[...]`` placeholders in order of first appearance."""
-    seen = []
-    for m in _PLACEHOLDER.findall(text):
-        if m not in seen:
-            seen.append(m)
-    return seen
-
-
-def _marker(name: str) -> str:
-    return "p_" + re.sub(r"\W+", "_", name).strip("_").lower()
+    return list(dict.fromkeys(m["name"] for m in _SQL_PART.finditer(text) if m["name"] is not None))
 
 
 def sql_params(spark: SparkSession, text: str, values: dict) -> DataFrame:
     """SQL whose ``[name]`` placeholders become named parameter markers bound to
-    ``values`` (keyed by placeholder name): values never enter the SQL text."""
-    args = {}
-    for name in placeholder_names(text):
+    ``values`` (keyed by placeholder name): values never enter the SQL text.
+
+    Markers are numbered, so two names never share one. Bracketed text inside a
+    quoted literal or comment, and a subscript (brackets after a name, a closing
+    bracket or a closing parenthesis), are left as they are; any other bracketed name
+    must have a value.
+    """
+    markers: dict[str, str] = {}
+
+    def bind(m: re.Match) -> str:
+        name = m.group("name")
+        if name is None:
+            return m.group(0)
         if name not in values:
             raise KeyError(f"no value for placeholder [{name}]")
-        args[_marker(name)] = values[name]
-    bound = _PLACEHOLDER.sub(lambda m: ":" + _marker(m.group(1)), text)
-    return spark.sql(bound, args=args)
+        return ":" + markers.setdefault(name, f"p{len(markers)}")
+
+    bound = _SQL_PART.sub(bind, text)
+    return spark.sql(bound, args={marker: values[name] for name, marker in markers.items()})

@@ -109,7 +109,8 @@ def test_registered_diagnostics_have_both_classes(spark):
 
 def test_delayed_elimination_baseline_signs_and_nan(spark):
     """Fold over baseline decided per treatment from its largest / smallest value:
-    same verdicts as the per-row rule for negative, zero and NaN cases."""
+    same verdicts as the per-row rule for negative and zero cases; a NaN is no
+    measurement, so its row leaves, as a value and as a baseline."""
     nan = float("nan")
     crea, mtx = X.CREATININE, X.METHOTREXATE
     rows = []
@@ -118,8 +119,8 @@ def test_delayed_elimination_baseline_signs_and_nan(spark):
         rows.append((p, len(rows), hours(h + 100 * infno), code, value, infno, float(h)))
 
     for p, base, creas, want in [(1, -10.0, [-20.0], True), (2, -10.0, [-12.0, -5.0], False),
-                                 (3, 0.0, [0.0], False), (4, 50.0, [nan], True),
-                                 (5, -10.0, [nan, -5.0], True), (6, 50.0, [74.0, 76.0], True),
+                                 (3, 0.0, [0.0], False), (4, 50.0, [nan], False),
+                                 (5, -10.0, [nan, -5.0], False), (6, 50.0, [74.0, 76.0], True),
                                  (7, 50.0, [75.0], False)]:
         add(p, crea, base, 0, -5)
         for i, c in enumerate(creas):
@@ -133,6 +134,28 @@ def test_delayed_elimination_baseline_signs_and_nan(spark):
     for r in X.dx_delayed_elimination(df).collect():
         got.setdefault((r[N.PATIENT], r[N.INFNO]), set()).add(r[N.DETECTION])
     assert got == {(1, 0): {False}, (1, 1): {True}, (2, 0): {False}, (2, 1): {False},
-                   (3, 0): {False}, (3, 1): {False}, (3, 2): {True}, (4, 0): {False}, (4, 1): {True},
-                   (5, 0): {False}, (5, 1): {True}, (6, 0): {False}, (6, 1): {True},
+                   (3, 0): {False}, (3, 1): {False}, (3, 2): {True}, (4, 0): {False}, (4, 1): {False},
+                   (5, 0): {False}, (5, 1): {False}, (6, 0): {False}, (6, 1): {True},
                    (7, 0): {False}, (7, 1): {False}}
+
+
+def test_nan_is_no_detection(spark, samples):
+    nan = float("nan")
+    rows = [(p, None, hours(h), code, nan, "<8,0") for p in (1, 2) for h in (0, 100, 400)
+            for code in (X.CREATININE, X.NEUTROPHILS, X.THROMBOCYTES, X.CRP, X.LIVER_ENZYME, X.BILIRUBIN, "NPU19652")]
+    df = samples(rows).withColumns({N.INFNO: F.lit(0), N.HOURS: F.lit(-1.0)})
+    for rule in (X.dx_renal, X.dx_neutropenia, X.dx_thrombocytopenia, X.dx_infection, X.dx_hepatic, X.dx_pancreatitis):
+        assert rule(df).filter(N.DETECTION).count() == 0, rule.__name__
+    assert X.baseline_value(df).count() == 0
+
+
+def test_baseline_from_other_samples(spark):
+    crea, mtx = X.CREATININE, X.METHOTREXATE
+    schema = (f"{N.PATIENT} long, {N.SAMPLE_ID} long, {N.SAMPLE_TIME} timestamp_ntz, {N.CODE} string, "
+              f"{N.VALUE} double, {N.INFNO} int, {N.HOURS} double")
+    every = spark.createDataFrame([(1, 1, hours(0), crea, 50.0, 0, -5.0), (1, 2, hours(10), crea, 76.0, 1, 1.0),
+                                   (1, 3, hours(50), mtx, 25.0, 1, 37.0)], schema)
+    chosen = every.filter(F.col(N.INFNO) == 1)
+    assert X.dx_delayed_elimination(chosen).count() == 0
+    got = X.dx_delayed_elimination(chosen, baseline_from=every).collect()
+    assert len(got) == 2 and all(r[N.DETECTION] for r in got)

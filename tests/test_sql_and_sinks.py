@@ -34,3 +34,14 @@ def test_table_append_creates_and_appends(spark):
     name = f"t_{uuid.uuid4().hex[:8]}"
     assert FS.table_append(spark, df, table=name).count() == df.count()
     assert FS.table_append(spark, df, table=name).count() == 2 * df.count()
+
+
+def test_parameters_keep_apart(spark):
+    got = SQ.sql_params(spark, "SELECT [a b] AS x, [a-b] AS y, array(1, 2)[0] AS z, '[a b]' AS q -- [c]", {"a b": 1, "a-b": 2}).first()
+    assert tuple(got) == (1, 2, 1, "[a b]")
+
+
+def test_csv_keeps_any_text(spark):
+    rows = [(1, "line\nbreak"), (2, 'a "quoted" word'), (3, "back\\slash\\"), (4, ""), (5, None), (6, " spaces "), (7, "c,omma\r\nx"), (8, '"')]
+    df = spark.createDataFrame(rows, "id long, text string")
+    assert sorted(map(tuple, FS.csv_roundtrip(spark, df, "texts").collect())) == rows
