@@ -16,7 +16,9 @@ Instead each scan runs in two levels:
 The rows are shuffled once (on keys + bucket); the bucket summaries are tiny.
 ``bucket_hours`` is the knob: a bucket should hold a few thousand rows at most.
 With no keys (one global order) the bucket summaries are scanned in a single
-task, so the bucket width must keep the number of buckets modest (< ~1e6).
+task, so there the width grows with the range of the order column: there are never
+more than ``MAX_BUCKETS`` summaries. Rows without a time come last and are bucketed
+by their id.
 """
 
 from __future__ import annotations
@@ -29,18 +31,24 @@ from pyspark.sql import functions as F
 from ..functions.scalar import MICROS_PER_HOUR, epoch_micros
 
 BUCKET = "_seq_bucket"
-_NULL_TIME_BUCKET = 2**62  # rows without a time sort last, in a bucket of their own
+_NULL_TIME_BUCKET = 2**62  # rows without a time sort last, in buckets of their own
+_NULL_TIME_IDS = 4096  # ids in each of these
+MAX_BUCKETS = 100_000  # of a scan without keys
 
 
-def _bucket(time_col: str, bucket_hours: float, numeric: bool = False) -> Column:
+def _bucket(df: DataFrame, keys: Sequence[str], time_col: str, id_col: str, bucket_hours: float,
+            numeric: bool = False) -> Column:
     """Bucket of the order column: ``bucket_hours`` wide for timestamps, or that
-    many units wide for a numeric order column."""
-    if numeric:
-        b = F.floor(F.col(time_col) / F.lit(float(bucket_hours)))
-    else:
-        width = int(bucket_hours * MICROS_PER_HOUR)
-        b = F.floor(epoch_micros(time_col) / F.lit(width))
-    return F.coalesce(b, F.lit(_NULL_TIME_BUCKET).cast("long"))
+    many units wide for a numeric order column; wider where ``MAX_BUCKETS`` asks for it."""
+    at = F.col(time_col).cast("double") if numeric else epoch_micros(time_col).cast("double")
+    width = F.lit(float(bucket_hours if numeric else int(bucket_hours * MICROS_PER_HOUR)))
+    if not keys:
+        spread = df.agg(F.coalesce((F.max(at) - F.min(at)) / MAX_BUCKETS, F.lit(0.0))).scalar()
+        width = F.greatest(width, F.ceil(spread).cast("double"))
+    last = F.lit(_NULL_TIME_BUCKET).cast("long")
+    if dict(df.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint"):
+        last = last + F.coalesce(F.floor(F.col(id_col) / _NULL_TIME_IDS).cast("long"), F.lit(-(2**61)))
+    return F.coalesce(F.floor(at / width).cast("long"), last)
 
 
 def _join_back(rows: DataFrame, info: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -81,7 +89,7 @@ def ordered_lag(df: DataFrame, keys: Sequence[str], time_col: str, id_col: str,
     """Previous row's ``value_col`` within ``keys`` ordered by (time, id)."""
     keys = list(keys)
     w = _row_window(keys, time_col, id_col)
-    rows = df.withColumn(BUCKET, _bucket(time_col, bucket_hours, numeric)).withColumns({
+    rows = df.withColumn(BUCKET, _bucket(df, keys, time_col, id_col, bucket_hours, numeric)).withColumns({
         "_seq_local_prev": F.lag(value_col).over(w),
         "_seq_first": F.lag(F.lit(1)).over(w).isNull(),
         "_seq_last_row": F.lead(F.lit(1)).over(w).isNull(),
@@ -104,7 +112,7 @@ def ordered_prefix_sums(df: DataFrame, keys: Sequence[str], time_col: str, id_co
     w = _row_window(keys, time_col, id_col)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     vals = {f"_ps_v{i}": e for i, e in enumerate(sums.values())}
-    rows = df.withColumns({BUCKET: _bucket(time_col, bucket_hours, numeric), **vals})
+    rows = df.withColumns({BUCKET: _bucket(df, keys, time_col, id_col, bucket_hours, numeric), **vals})
     rows = rows.withColumns({f"_ps_l{i}": F.sum(f"_ps_v{i}").over(upto) for i in range(len(vals))})
     summ = rows.groupBy(*keys, BUCKET).agg(
         *[F.sum(f"_ps_v{i}").alias(f"_ps_b{i}") for i in range(len(vals))])
@@ -149,7 +157,7 @@ def streaks(df: DataFrame, flag_col: str, keys: Sequence[str], time_col: str, id
     after = _row_window_desc(keys, time_col, id_col).rowsBetween(Window.unboundedPreceding,
                                                                  Window.currentRow)
     t = F.col(time_col)
-    rows = df.withColumns({BUCKET: _bucket(time_col, bucket_hours, numeric),
+    rows = df.withColumns({BUCKET: _bucket(df, keys, time_col, id_col, bucket_hours, numeric),
                            f: _run_value(df, flag_col)})
     has_prev = F.lag(F.lit(1)).over(w).isNotNull()
     has_next = F.lead(F.lit(1)).over(w).isNotNull()
