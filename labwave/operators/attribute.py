@@ -122,9 +122,10 @@ def attach_sex(samples: DataFrame, infusions: DataFrame) -> DataFrame:
     return split_hot_keys_join(base, sexes, [N.PATIENT], "left", salt)
 
 
-def attach_stop_flag(samples: DataFrame, infusions: DataFrame) -> DataFrame:
-    """Left join the stop flag of the sample's (patient, infusion number)."""
+def attach_stop_flag(samples: DataFrame, infusions: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """Left join the stop flag of the sample's (patient, infusion number). ``hot`` may
+    pass patient row counts taken upstream (``joins.hot_keys``)."""
     stops = infusions.select(N.PATIENT, F.col(N.INFNO).cast("int").alias(N.INFNO), N.STOP).distinct()
     base = samples.drop(N.STOP)
     salt = N.SAMPLE_ID if N.SAMPLE_ID in base.columns else None
-    return split_hot_keys_join(base, stops, [N.PATIENT, N.INFNO], "left", salt)
+    return split_hot_keys_join(base, stops, [N.PATIENT, N.INFNO], "left", salt, hot=hot)

@@ -198,7 +198,9 @@ def q_attach_sex(spark, d):
 
 def q_attach_stop_flag(spark, d):
     a = attributed(spark, d).select(N.PATIENT, N.SAMPLE_ID, N.INFNO)
-    return A.attach_stop_flag(a, infusions(spark, d))
+    # The same count that attribution takes, so Spark reuses it.
+    hot = hot_keys(D.samples(spark, d).withColumn(PL_DAY, S.day_start(N.SAMPLE_TIME)), [N.PATIENT], DEFAULT_ROWS_PER_TASK)
+    return A.attach_stop_flag(a, infusions(spark, d), hot)
 
 
 def q_duplicate_treatments(spark, d):

@@ -49,6 +49,12 @@ def test_rules_read_their_codes_from_the_shared_copy(spark):
     assert not any("REFTEXT" in x.split("ReadSchema")[1] for x in scans if "error" not in x)
 
 
+def test_time_matrix_is_a_hash_aggregate(spark):
+    for key in ("time_bin_pivot", "matrix_join"):
+        plan = _plan(QUERIES[key](spark, SF_SMALL))
+        assert "SortAggregate" not in plan and "HashAggregate" in plan, key
+
+
 def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.columns == ["NOPHO_NR"]
