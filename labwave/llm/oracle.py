@@ -62,4 +62,34 @@ SELECT s.doc_id, CASE WHEN s.text IS NULL THEN NULL ELSE coalesce(t.text, '') EN
 FROM s LEFT JOIN t ON s.doc_id = t.doc_id
 """
 
-ORACLES = {"op8_line_dedup": OP8, "op1_mix_sources": OP1}
+_VECTORS = """SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+# Every query against every row.
+OP2 = f"""
+WITH v AS (SELECT vec_id, list_transform(e, lambda x: floor(64 * x)) AS e FROM ({_VECTORS}) t),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+# All pairs of a label, and what can be reached over links.
+OP9 = f"""
+WITH RECURSIVE n AS (
+  SELECT *, sqrt(list_inner_product(e, e)) AS norm FROM ({_VECTORS}) t
+  WHERE label IS NOT NULL AND len(e) > 0 AND list_inner_product(e, e) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON b.label = a.label AND len(b.e) = len(a.e) AND b.vec_id <> a.vec_id
+  WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a, count(*) AS n_links FROM l GROUP BY a),
+m AS (SELECT a, min(b) AS low FROM r GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN m ON m.a = vec_id
+"""
+
+ORACLES = {"op2_topk_search": OP2, "op9_embedding_near_dedup": OP9, "op8_line_dedup": OP8, "op1_mix_sources": OP1}
