@@ -1,6 +1,5 @@
 from datetime import date, datetime
 
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labwave.functions import scalar as S

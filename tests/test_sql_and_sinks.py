@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from labwave.sources import files as FS
 from labwave.sources import sql as SQ

@@ -1,5 +1,5 @@
 import random
-from datetime import timedelta
+
 
 import pytest
 from pyspark.sql import Window
