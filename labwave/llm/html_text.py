@@ -42,9 +42,14 @@ _SILENT = frozenset("script style noscript template iframe svg canvas object hea
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored promo promotion cookie cookies consent "
                    "gdpr notice notices alert popup modal overlay newsletter subscribe subscription sidebar side aside menu menus nav "
-                   "navbar navigation breadcrumb breadcrumbs footer header masthead topbar share sharing social related recommended "
+                   "navbar navigation breadcrumb breadcrumbs footer share sharing social related recommended "
                    "recommendations comment comments commentlist reply replies respond disqus discussion form search login signup widget "
                    "widgets pagination pager toolbar copyright".split())
+#: Headers, and the names that make one part of an article; "with-sidebar" names a layout.
+_HEADERS = frozenset("header masthead topbar".split())
+_OWN = frozenset("article entry post story content".split())
+_ARTICLE = re.compile(r"\b(?:article|main|entry|post|story)\b")
+_LAYOUT = re.compile(r"(?:^|[-_])(?:with|has|no|without)[-_]", re.I)
 
 
 class PageReader(HTMLParser):
@@ -75,12 +80,13 @@ class PageReader(HTMLParser):
             self._flush()
             values = dict(attrs)
             classes = re.findall(r"[^\s.]+", values.get("class") or "")
-            names = {n.lower() for x in [*classes, values.get("id") or ""] for n in re.split(r"[^A-Za-z]+", x)}
+            marks = [x for x in [*classes, values.get("id") or ""] if not _LAYOUT.search(x)]
+            names = {n.lower() for x in marks for n in re.split(r"[^A-Za-z]+", x)}
             parent = self.open[-1] if self.open else ("", "", False, False)
             step = ".".join([tag, *(re.sub(r"\d+", "#", c) for c in sorted(classes))])
             silent = parent[2] or tag in _SILENT or bool(names & _NAMES and tag not in ("html", "body", "article", "main"))
-            inside = "/article" in parent[1] or "/main" in parent[1]
-            head = parent[3] or tag == "header" and not silent
+            inside = parent[3] or bool(names & _OWN) or bool(_ARTICLE.search(parent[1]))
+            head = parent[3] or not silent and (tag == "header" or bool(names & _HEADERS) and tag not in ("html", "body", "article", "main"))
             self.open.append((tag, f"{parent[1]}/{step}", silent or head and not inside, head))
         elif tag in _BLOCKS:
             self._flush()

@@ -45,6 +45,13 @@ def test_article_header_keeps_its_heading(spark):
     assert got[1] == "Title\nText here."
 
 
+def test_headers_and_layout_names(spark):
+    page = ("<body class='has-sidebar'><div id='top-header'><p>Logo and slogan</p><h1>Site</h1></div><div class='wrap with-sidebar'>"
+            "<div class='post'><div class='post-header'><span>by someone</span><div><h2>Title</h2></div></div><p>Words of the post.</p>"
+            "<div class='related-posts'><p>Other posts</p></div></div></div></body>")
+    assert texts(spark, [(1, "http://x/", page)])[1] == "Title\nWords of the post."
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 3000 + "<p>deep</p>"
     long = "<article>" + "<p>word word</p>" * 30_000 + "</article>"
