@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
-import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, table_path
@@ -22,18 +20,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package: as a zip file, unless their path has it."""
-    package = Path(__file__).resolve().parents[1]
-    on_path = os.environ.get("PYTHONPATH", "").split(os.pathsep)
-    marker = f"_{package.name}_shipped"
-    if str(package.parent) in on_path or getattr(spark.sparkContext, marker, False):
-        return
-    target = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(target))
-    setattr(spark.sparkContext, marker, True)
+    """Put the folder that this package was imported from on the path of Python workers.
+    A cluster whose machines don't have it there gets it by ``--py-files``."""
+    root, workers = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in workers.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        workers["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -75,7 +67,6 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // 4)
     parts = staged(df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()), name)
     counts = parts.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("_pid").orderBy(*order)
