@@ -187,9 +187,11 @@ SELECT d4.{OUT.replace(', ', ', d4.')}, d4.{h}, d4.baseline_crea, d4.prev_value,
 FROM d4 LEFT JOIN t ON t.NOPHO_NR = d4.NOPHO_NR AND t.INFNO = d4.INFNO"""
 
 
-def all_dx_sql() -> str:
+def all_dx_sql(only: tuple = ()) -> str:
     parts = []
     for key, name in [*((k, name) for k, (name, _) in DX.items()), ("dx_delayed_elimination", "HDM")]:
+        if only and key not in only:
+            continue
         parts.append(f"""SELECT '{name}' AS name, NOPHO_NR, SAMPLE_ID, PL_DATETIME, IUPAC_CODE,
   PL_Value, INFNO, detection FROM ({dx_sql(key)}) q_{key}""")
     return "\nUNION ALL\n".join(parts)
@@ -335,6 +337,7 @@ def oracles() -> dict[str, str]:
     streak_src = streak_rows(_flagged(), "detection")
     phen = f"""SELECT NOPHO_NR, CAST(max(CAST(detection AS INTEGER)) AS INTEGER) AS PHONOTYPE
 FROM ({all_dx_sql()}) u GROUP BY NOPHO_NR"""
+    rare = phen.replace(all_dx_sql(), all_dx_sql(("dx_pancreatitis", "dx_delayed_elimination")))
     o = {
         "scan_uppercase": "SELECT " + ", ".join(f'{c} AS "{c.upper()}"' for c in order_cols)
                           + " FROM orders",
@@ -410,7 +413,7 @@ UNION ALL
 SELECT name, 'patients with one positive diagnostic', n_pos FROM c""",
         "phenotype_counts": f"""SELECT count(*) AS n_patients,
   count(*) FILTER (WHERE PHONOTYPE = 1) AS n_positive,
-  count(*) FILTER (WHERE PHONOTYPE = 0) AS n_negative FROM ({phen}) p""",
+  count(*) FILTER (WHERE PHONOTYPE = 0) AS n_negative FROM ({rare}) p""",
         "patients_in_scope": f"""SELECT count(DISTINCT NOPHO_NR) AS n_patients,
   count(DISTINCT CASE WHEN IUPAC_CODE = 'purchase' THEN NOPHO_NR END) AS n_patients_with_code
 FROM ({ATT}) a WHERE INFNO IN (1, 2, 3, 4)""",

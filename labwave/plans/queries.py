@@ -265,7 +265,9 @@ def q_summary_detection(spark, d):
 
 
 def q_phenotype_counts(spark, d):
-    return U.phenotype_counts(U.patient_phenotype(all_dx(spark, d)))
+    # The two rarer diagnostics, so that some patients are negative.
+    rare = [DX_PARAMS["dx_pancreatitis"], DX_PARAMS["dx_delayed_elimination"]]
+    return U.phenotype_counts(U.patient_phenotype(X.run_diagnostics(attributed(spark, d), rare)))
 
 
 def q_patients_in_scope(spark, d):
