@@ -81,7 +81,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     key = F.md5(F.concat(F.lit(f"{SEED}#"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))))
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        F.col(f"`{source_col}`").alias("source"), size.alias("size"), key.alias("h"))
-    base = base.withColumn("class", size_class(F.col("size")))
+    # Written once: the passes below then read sizes, not texts.
+    base = staged(base.withColumn("class", size_class(F.col("size"))), "mix-rows")
     classes = staged(base.groupBy("source", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")), "mix-classes")
     plan = staged(targets(classes.groupBy("source").agg(F.sum("s").alias("source_size")), weights, share, most), "mix-targets")
     earlier = Window.partitionBy("source").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
