@@ -95,7 +95,10 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float] | None
     random = _counts(docs.select(F.explode(F.concat(*values)).alias("token")))
     if not random:
         return None
-    sample = docs.select("doc_id", text.alias("text")).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample_docs)
+    # The documents with the smallest hashes: found by hash, so only their texts travel.
+    hashed = docs.select(F.xxhash64("doc_id", "text").alias("h"), text.alias("text"))
+    limit = hashed.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    sample = hashed.filter(F.col("h") <= F.lit(limit)).groupBy("h").agg(F.min("text").alias("text"))
     plain = text
     for _, pattern, _, _ in KINDS:
         plain = F.regexp_replace(plain, pattern, " ")
