@@ -9,7 +9,11 @@ again and gives the blocks under the host's first path that it has. A page that
 has none of the host's ``PATHS`` first paths uses its own best container.
 
 Whatever stands in menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments, by tag or by class or id name, is left out.
+scripts, styles and reader comments, by tag or by class or id name, is left out. A
+name counts as a whole (``sidebar``, ``related-posts``, not ``related-work``). A form,
+a header or a container with such a name stays where it holds ``MOST`` of the page's
+text that is not links (not so cookie notices and reader comments), or articles with at least as
+much of that text as the articles outside it.
 
 Defined cases: a null html is empty and has no text; a null or odd url belongs to
 the host without a name; a page without any container is read as a whole; broken
@@ -37,19 +41,32 @@ MOST = 0.7
 # Elements by their part in a page.
 _CONTAINERS = frozenset("html body main article section div nav header footer aside form table tbody ul ol dl center".split())
 _BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption caption hr address summary details figure".split())
-_SILENT = frozenset("script style noscript template iframe svg canvas object head title button select textarea nav footer aside form "
+_SILENT = frozenset("script style noscript template iframe svg canvas object head title button select textarea nav footer aside "
                     "audio video map menu dialog".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored promo promotion cookie cookies consent "
-                   "gdpr notice notices alert popup modal overlay newsletter subscribe subscription sidebar side aside menu menus nav "
-                   "navbar navigation breadcrumb breadcrumbs footer share sharing social related recommended "
-                   "recommendations comment comments commentlist reply replies respond disqus discussion form search login signup widget "
-                   "widgets pagination pager toolbar copyright".split())
-#: Headers, and the names that make one part of an article; "with-sidebar" names a layout.
+_READERS = frozenset("cookie cookies consent gdpr comment comments commentlist reply replies respond disqus".split())
+_NAMES = _READERS | frozenset("ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored promo promotion "
+                              "notice notices alert popup modal overlay newsletter subscribe subscription sidebar side aside menu menus nav "
+                              "navbar navigation breadcrumb breadcrumbs footer share sharing social related recommended "
+                              "recommendations form search login signup widget widgets pagination pager toolbar copyright".split())
 _HEADERS = frozenset("header masthead topbar".split())
+#: Words that leave a name what it is: "related-posts", "site-footer".
+_PLAIN = frozenset("site page main post posts article articles entry story stories list box block area bar buttons links slot thread top bottom".split())
+#: Names that make a header one part of an article; "with-sidebar" names a layout.
 _OWN = frozenset("article entry post story content".split())
 _ARTICLE = re.compile(r"\b(?:article|main|entry|post|story)\b")
 _LAYOUT = re.compile(r"(?:^|[-_])(?:with|has|no|without)[-_]", re.I)
+_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+_WHOLE = frozenset("html body article main".split())
+
+
+def _words(name: str) -> list[str]:
+    return [w.lower() for w in _WORDS.findall(name) if len(w) > 1]
+
+
+def _named(marks: list[list[str]], names: frozenset[str]) -> bool:
+    """Whether a name consists of ``names`` and plain words."""
+    return any(any(w in names for w in m) and all(w in names or w in _PLAIN for w in m) for m in marks)
 
 
 class PageReader(HTMLParser):
@@ -58,17 +75,24 @@ class PageReader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, str, int]] = []
-        self.open: list[tuple[str, str, bool, bool]] = []  # tag, path, silent, a header whose headings count
+        self.open: list[tuple] = []  # tag, path, silent, a header whose headings count, doubt, doubt of all but headings, article's doubt
         self.words: list[str] = []
         self.linked, self.links, self.heading = 0, 0, False
+        self.doubt: list[tuple[int, bool]] = []  # a doubtful container: the one around it, whether its amount of text may keep it
+        self.where: list[tuple[int, int]] = []  # of a block: the innermost doubtful container around it, and around its article (-2: no article)
 
     def _flush(self) -> None:
         text = " ".join("".join(self.words).split())
         if text:
-            path = self.open[-1][1] if self.open else ""
-            self.blocks.append((path, text, self.linked))
+            top = self.open[-1] if self.open else ("", "", False, False, -1, -1, -2)
+            self.blocks.append((top[1], text, self.linked))
+            self.where.append((top[4] if self.heading else top[5], top[6]))
         self.words, self.linked = [], 0
 
+    def _doubtful(self, around: int, amount: bool) -> int:
+        self.doubt.append((around, amount))
+        return len(self.doubt) - 1
+
     def handle_starttag(self, tag, attrs):
         if tag in _VOID and tag != "hr":
             if tag == "br":
@@ -80,14 +104,22 @@ class PageReader(HTMLParser):
             self._flush()
             values = dict(attrs)
             classes = re.findall(r"[^\s.]+", values.get("class") or "")
-            marks = [x for x in [*classes, values.get("id") or ""] if not _LAYOUT.search(x)]
-            names = {n.lower() for x in marks for n in re.split(r"[^A-Za-z]+", x)}
-            parent = self.open[-1] if self.open else ("", "", False, False)
+            marks = [_words(x) for x in [*classes, values.get("id") or ""] if not _LAYOUT.search(x)]
+            parent = self.open[-1] if self.open else ("", "", False, False, -1, -1, -2)
             step = ".".join([tag, *(re.sub(r"\d+", "#", c) for c in sorted(classes))])
-            silent = parent[2] or tag in _SILENT or bool(names & _NAMES and tag not in ("html", "body", "article", "main"))
-            inside = parent[3] or bool(names & _OWN) or bool(_ARTICLE.search(parent[1]))
-            head = parent[3] or not silent and (tag == "header" or bool(names & _HEADERS) and tag not in ("html", "body", "article", "main"))
-            self.open.append((tag, f"{parent[1]}/{step}", silent or head and not inside, head))
+            path, silent, (doubt, rest) = f"{parent[1]}/{step}", parent[2] or tag in _SILENT, parent[4:6]
+            named = tag not in _WHOLE and not silent
+            out = named and (tag == "form" or _named(marks, _NAMES))
+            amount = not any(w in _READERS for m in marks for w in m)
+            inside = parent[3] or any(w in _OWN for m in marks for w in m) or bool(_ARTICLE.search(parent[1]))
+            head = parent[3] or named and not out and (tag == "header" or _named(marks, _HEADERS))
+            if out or head and not parent[3] and not inside:
+                doubt = self._doubtful(doubt, amount)
+                rest = doubt if rest == parent[4] else self._doubtful(rest, amount)
+            elif head and not parent[3]:
+                rest = self._doubtful(rest, True)
+            article = doubt if tag in ("article", "main") and not any(m and m[0] in _READERS for m in marks) else parent[6]
+            self.open.append((tag, path, silent, head, doubt, rest, article))
         elif tag in _BLOCKS:
             self._flush()
             self.heading = tag[0] == "h" and tag[1:].isdigit()
@@ -111,17 +143,50 @@ class PageReader(HTMLParser):
             self.links, self.heading = 0, False
 
     def handle_data(self, data):
-        if self.open and (self.open[-1][2] or self.open[-1][3] and not self.heading):
+        if self.open and self.open[-1][2]:
             return
         self.words.append(data)
         if self.links:
             self.linked += len(data)
 
+    def _kept(self) -> list[bool]:
+        """Whether each doubtful container, and all around it, stays."""
+        n = len(self.doubt)
+        text, article, own, total, sure = [0] * n, [0] * n, [0] * n, 0, 0
+        for (_, words, linked), (at, opened) in zip(self.blocks, self.where):
+            score = max(0, len(words) - 2 * linked)
+            total += score
+            if at >= 0:
+                text[at] += score
+            if opened >= 0:
+                article[opened] += score
+            if opened >= -1 and at >= 0:
+                own[at] += score
+            elif opened >= -1:
+                sure += score
+        most: dict[int, int] = {}
+        for i in range(n - 1, -1, -1):
+            around = self.doubt[i][0]
+            if around >= 0:
+                text[around] += text[i]
+                article[around] += article[i]
+            most[around] = max(most.get(around, 0), article[i])
+        kept = [False] * n
+        for i, (around, amount) in enumerate(self.doubt):
+            if around >= 0 and not kept[around]:
+                continue
+            # Side by side with another, a teaser's article doesn't count.
+            kept[i] = amount and 0 < MOST * total <= text[i] or article[i] > 0 and article[i] >= sure and 2 * article[i] >= most[around]
+            if kept[i]:
+                sure += own[i]
+        return kept
+
     def read(self, html: str | None) -> list[tuple[str, str, int]]:
         self.feed(html or "")
         self.close()
         self._flush()
-        return self.blocks
+        kept = self._kept()
+        return [b for b, (at, _) in zip(self.blocks, self.where) if at < 0 or kept[at]]
 
 
 def blocks_of(html: str | None) -> list[tuple[str, str, int]]:

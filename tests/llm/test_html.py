@@ -67,6 +67,22 @@ def test_odd_pages(spark):
     assert html_text.main_text(pages(spark, [])).count() == 0
 
 
+def test_wrappers_with_boilerplate_names_keep_the_article(spark):
+    """A form or name around the article doesn't silence it; names count as a whole."""
+    article = "<article><h1>Title</h1><p>Words of the article.</p></article>"
+    wrappers = ["<form action='x'>{}</form>", "<div class='content-sidebar-wrap'>{}</div>", "<div class='sidebar-right'>{}</div>",
+                "<div class='elementor-widget-container'>{}</div>", "<div class='sidebar'>{}</div>", "<div id='header'>{}</div>",
+                "<form><div class='widget'><p>side note</p></div>{}<div class='sidebar'><article>Tease</article></div></form>"]
+    rows = [(i, f"http://w{i}.org/", f"<body><p>Skip</p>{w.format(article)}<footer>f</footer></body>") for i, w in enumerate(wrappers)]
+    parts = "".join(f"<section {x}><p>Part {k}.</p></section>" for k, x in enumerate(
+        ["id='side-effects'", "class='related-work'", "id='discussion'", "id='menu-planning'"]))
+    rows.append((50, "http://p.org/", f"<article>{parts}<div class='related-posts'>x</div><section class='comments'>{'no ' * 99}</section></article>"))
+    rows.append((51, "http://q.org/", f"<form><div><p>{'long text ' * 30}</p></div></form><div class='menu'>m</div>"))
+    got = texts(spark, rows)
+    assert {got[i] for i in range(len(wrappers))} == {"Title\nWords of the article."}
+    assert got[50] == "Part 0.\nPart 1.\nPart 2.\nPart 3." and got[51] == ("long text " * 30).strip()
+
+
 def test_query_equals_the_articles(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.page_id: r for r in op7_html_text(spark, sf).collect()}
