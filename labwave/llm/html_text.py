@@ -4,7 +4,10 @@ Each page is read into blocks of text, every block under the path of its
 containers: tag and classes, with digits generalised (``div.post-17`` is
 ``div.post-#``). A page scores its containers by the text below them that is not
 links, and votes for the smallest one that holds most of it, or the article around
-that. The votes are summed for each host and path in Spark; every page is then read
+that. Without an article tag the vote climbs to the container that holds the rest of
+the article: while the parent adds text beside it, but to a parent with menus,
+sidebars, headers or footers of the page, and to the body, only for a heading before it.
+Lists and tables get no votes. The votes are summed for each host and path in Spark; every page is then read
 again and gives the blocks under the host's first path that it has. A page that
 has none of the host's ``PATHS`` first paths uses its own best container.
 
@@ -56,6 +59,10 @@ _PLAIN = frozenset("site page main post posts article articles entry story stori
 _OWN = frozenset("article entry post story content".split())
 _ARTICLE = re.compile(r"\b(?:article|main|entry|post|story)\b")
 _LAYOUT = re.compile(r"(?:^|[-_])(?:with|has|no|without)[-_]", re.I)
+#: Parts of a page, unless they stand in a post.
+_FRAME = frozenset("nav navbar navigation menu menus sidebar side aside footer breadcrumb breadcrumbs".split())
+_POST = re.compile(r"\b(?:article|entry|post|story)\b")
+_LISTS = frozenset("ul ol dl table tbody".split())
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _WHOLE = frozenset("html body article main".split())
 
@@ -70,11 +77,12 @@ def _named(marks: list[list[str]], names: frozenset[str]) -> bool:
 
 
 class PageReader(HTMLParser):
-    """Collects (path, text, characters of links) of a page's blocks."""
+    """Collects (path, text, characters of links, whether a heading) of a page's blocks."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, str, int]] = []
+        self.blocks: list[tuple[str, str, int, bool]] = []
+        self.frame: set[str] = set()  # paths of the page's menus, sidebars, headers and footers
         self.open: list[tuple] = []  # tag, path, silent, a header whose headings count, doubt, doubt of all but headings, article's doubt
         self.words: list[str] = []
         self.linked, self.links, self.heading = 0, 0, False
@@ -85,7 +93,7 @@ class PageReader(HTMLParser):
         text = " ".join("".join(self.words).split())
         if text:
             top = self.open[-1] if self.open else ("", "", False, False, -1, -1, -2)
-            self.blocks.append((top[1], text, self.linked))
+            self.blocks.append((top[1], text, self.linked, self.heading))
             self.where.append((top[4] if self.heading else top[5], top[6]))
         self.words, self.linked = [], 0
 
@@ -119,6 +127,9 @@ class PageReader(HTMLParser):
             elif head and not parent[3]:
                 rest = self._doubtful(rest, True)
             article = doubt if tag in ("article", "main") and not any(m and m[0] in _READERS for m in marks) else parent[6]
+            if not silent or tag in _FRAME:
+                if (tag in _FRAME or head and not inside or named and _named(marks, _FRAME)) and not _POST.search(parent[1]):
+                    self.frame.add(path)
             self.open.append((tag, path, silent, head, doubt, rest, article))
         elif tag in _BLOCKS:
             self._flush()
@@ -153,7 +164,7 @@ class PageReader(HTMLParser):
         """Whether each doubtful container, and all around it, stays."""
         n = len(self.doubt)
         text, article, own, total, sure = [0] * n, [0] * n, [0] * n, 0, 0
-        for (_, words, linked), (at, opened) in zip(self.blocks, self.where):
+        for (_, words, linked, _), (at, opened) in zip(self.blocks, self.where):
             score = max(0, len(words) - 2 * linked)
             total += score
             if at >= 0:
@@ -181,7 +192,7 @@ class PageReader(HTMLParser):
                 sure += own[i]
         return kept
 
-    def read(self, html: str | None) -> list[tuple[str, str, int]]:
+    def read(self, html: str | None) -> list[tuple[str, str, int, bool]]:
         self.feed(html or "")
         self.close()
         self._flush()
@@ -189,31 +200,67 @@ class PageReader(HTMLParser):
         return [b for b, (at, _) in zip(self.blocks, self.where) if at < 0 or kept[at]]
 
 
-def blocks_of(html: str | None) -> list[tuple[str, str, int]]:
-    return PageReader().read(html)
+def page_of(html: str | None) -> tuple[list[tuple[str, str, int, bool]], set[str]]:
+    reader = PageReader()
+    return reader.read(html), reader.frame
 
 
-def best_path(blocks: list[tuple[str, str, int]]) -> str:
-    """The path that a page votes for."""
+def blocks_of(html: str | None) -> list[tuple[str, str, int, bool]]:
+    return page_of(html)[0]
+
+
+def _tag(path: str) -> str:
+    return path.rpartition("/")[2].partition(".")[0]
+
+
+def _under(at: str, path: str) -> bool:
+    return at == path or at.startswith(path + "/")
+
+
+def scores(blocks: list[tuple[str, str, int, bool]]) -> dict[str, int]:
+    """Characters that are not links below each path; every path comes after those around it."""
+    here: dict[str, int] = {}
+    for path, text, linked, _ in blocks:
+        here[path] = here.get(path, 0) + max(0, len(text) - 2 * linked)
     below: dict[str, int] = {}
-    for path, text, linked in blocks:
-        score = max(0, len(text) - 2 * linked)
+    for path, score in here.items():
         while True:
             below[path] = below.get(path, 0) + score
             if not path:
                 break
             path = path.rpartition("/")[0]
+    return dict(sorted(below.items(), key=lambda x: x[0].count("/")))
+
+
+def best_path(blocks: list[tuple[str, str, int, bool]], frame: set[str] = frozenset(), below: dict[str, int] | None = None) -> str:
+    """The path that a page votes for."""
+    below = scores(blocks) if below is None else below
     total = below.get("", 0)
-    large = [p for p, n in below.items() if n >= MOST * total]
+    large = [p for p, n in below.items() if n >= MOST * total and _tag(p) not in _LISTS]
     path = max(large, key=lambda p: (p.count("/"), below[p], p), default="")
     around = re.match(r"(.*?/(?:article|main)(?:\.[^/]*)?)(?=/|$)", path)
-    return around[1] if around else path
+    return around[1] if around else _climbed(path, blocks, frame, below)
+
+
+def _climbed(path: str, blocks: list[tuple[str, str, int, bool]], frame: set[str], below: dict[str, int]) -> str:
+    first, up = path, path
+    while up:
+        up = up.rpartition("/")[0]
+        if _tag(up) in _LISTS or below[up] == below[path]:
+            continue
+        if _tag(up) in ("", "html", "body") or any(_under(f, up) and not _under(f, path) for f in frame):
+            start = next((i for i, b in enumerate(blocks) if _under(b[0], first)), 0)
+            # A heading before the path, directly in a container around it.
+            if not any(b[3] and _under(path, b[0]) and _under(b[0], up) and b[0] != path for b in blocks[:start]):
+                break
+        path = up
+    return path
 
 
-def extract(blocks: list[tuple[str, str, int]], paths: list[str]) -> str:
+def extract(blocks: list[tuple[str, str, int, bool]], frame: set[str], paths: list[str]) -> str:
     """The text below the first path that has any, or below the page's own best."""
-    for path in [*paths, best_path(blocks)]:
-        found = [text for at, text, _ in blocks if at == path or at.startswith(path + "/")]
+    for path in [*paths, best_path(blocks, frame)]:
+        found = [text for at, text, _, _ in blocks if _under(at, path)]
         if found:
             return "\n".join(found)
     return ""
@@ -229,7 +276,7 @@ def winning_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html"
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(host, best_path(blocks)) for host, html in zip(batch["host"], batch["html"]) if (blocks := blocks_of(html))]
+            rows = [(host, best_path(*page)) for host, html in zip(batch["host"], batch["html"]) if (page := page_of(html))[0]]
             yield pd.DataFrame(rows, columns=["host", "path"])
 
     seen = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").alias("html"))
@@ -246,7 +293,7 @@ def main_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html",
 
     @F.pandas_udf("string")
     def text(htmls: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series([extract(blocks_of(h), [] if p is None else list(p)) for h, p in zip(htmls, paths)], dtype=object)
+        return pd.Series([extract(*page_of(h), [] if p is None else list(p)) for h, p in zip(htmls, paths)], dtype=object)
 
     named = pages.withColumn(host, host_of(F.col(f"`{url_col}`")))
     return (named.join(winners.withColumnRenamed("host", host).withColumnRenamed("paths", tried), host, "left")

@@ -83,6 +83,19 @@ def test_wrappers_with_boilerplate_names_keep_the_article(spark):
     assert got[50] == "Part 0.\nPart 1.\nPart 2.\nPart 3." and got[51] == ("long text " * 30).strip()
 
 
+def test_pages_without_article_tags_keep_titles_and_leads(spark):
+    body = "Words of the text. " * 20
+    bodies = ["<div class='post'><h1>Title</h1><div class='entry'><p>{}</p></div><div class='share'>Share</div></div><div class='extra'>Tease</div>",
+              "<div class='page'><nav>m</nav><div class='inner'><div class='lead'><p>Title</p></div><div class='body'><p>{}</p></div></div><div class='extra'>Tease</div></div>",
+              "<div class='text'><h1>Title</h1><ul><li>{}</li></ul></div><div class='extra'>Tease</div>",
+              "<div class='text'><h1>Title</h1><table><tbody><tr><td>{}</td></tr></tbody></table></div>",
+              "<div class='hull'><div class='menu'>m</div><h1>Title</h1><div class='a'><div class='b'><p>{}</p></div></div></div>",
+              "<h1>Title</h1><div class='entry'><p>{}</p></div><div class='sidebar'>side</div>"]
+    rows = [(10 * k + i, f"http://h{k}.org/{i}", f"<html><body>{b.format(body)}</body></html>") for k, b in enumerate(bodies) for i in range(3)]
+    got = texts(spark, rows)
+    assert {k: t for k, t in got.items() if t != "Title\n" + body.strip()} == {}
+
+
 def test_query_equals_the_articles(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.page_id: r for r in op7_html_text(spark, sf).collect()}
