@@ -7,9 +7,11 @@ links, and votes for the smallest one that holds most of it, or the article arou
 that. Without an article tag the vote climbs to the container that holds the rest of
 the article: while the parent adds text beside it, but to a parent with menus,
 sidebars, headers or footers of the page, and to the body, only for a heading before it.
-Lists and tables get no votes. The votes are summed for each host and path in Spark; every page is then read
-again and gives the blocks under the host's first path that it has. A page that
-has none of the host's ``PATHS`` first paths uses its own best container.
+Lists and tables get no votes. Every page is read once, into its blocks and paths,
+and written. The votes are summed for each host and path and joined to the paths that
+each page has. A page gives the blocks under the path with the most votes of other
+pages among those that hold ``SHARE`` of its text that is not links, or else among
+all it has; a page without such a path, or without a host, uses its own best container.
 
 Whatever stands in menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments, by tag or by class or id name, is left out. A
@@ -18,26 +20,28 @@ a header or a container with such a name stays where it holds ``MOST`` of the pa
 text that is not links (not so cookie notices and reader comments), or articles with at least as
 much of that text as the articles outside it.
 
-Defined cases: a null html is empty and has no text; a null or odd url belongs to
-the host without a name; a page without any container is read as a whole; broken
+Defined cases: a null html is empty and has no text; a null or odd url
+has no host; a page without any container is read as a whole; broken
 markup is read as far as it goes; repeated rows vote and are extracted each; an
 empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+import zlib
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, ship_package, staged
 
-#: Voted paths that a host's pages try before their own.
-PATHS = 20
+#: A voted path that holds this part of a page's text goes before those that hold less.
+SHARE = 0.3
 #: A container that holds this part of a page's text is large enough.
 MOST = 0.7
 
@@ -257,44 +261,77 @@ def _climbed(path: str, blocks: list[tuple[str, str, int, bool]], frame: set[str
     return path
 
 
-def extract(blocks: list[tuple[str, str, int, bool]], frame: set[str], paths: list[str]) -> str:
-    """The text below the first path that has any, or below the page's own best."""
-    for path in [*paths, best_path(blocks, frame)]:
-        found = [text for at, text, _, _ in blocks if _under(at, path)]
-        if found:
-            return "\n".join(found)
-    return ""
+def _key(path: str) -> int:
+    return int.from_bytes(hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def host_of(url):
-    return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+def parsed(html: str | None) -> tuple:
+    """Keys of a page's paths, those around others first, their text that is not links,
+    the number of the best one, and the blocks, packed for ``extract``."""
+    blocks, frame = page_of(html)
+    below = scores(blocks)
+    number = {path: i for i, path in enumerate(below)}
+    around = [number[path.rpartition("/")[0]] if path else -1 for path in below]
+    best = number.get(best_path(blocks, frame, below), -1)
+    numbers = np.array([len(around), len(blocks), *around, *(number[b[0]] for b in blocks)], "<i4").tobytes()
+    body = zlib.compress(numbers + "\n".join(b[1] for b in blocks).encode("utf-8", "replace"))
+    return np.array([_key(path) for path in below], "int64"), np.array(list(below.values()), "int64"), best, body
 
 
-def winning_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host -> its most voted paths, first the most voted."""
-    ship_package(pages.sparkSession)
+_PARSED = "keys array<bigint>, scores array<bigint>, best int, body binary"
+
+
+def extract(body: bytes, number: int) -> str:
+    """The text below the path with this number."""
+    if number < 0:
+        return ""
+    body = zlib.decompress(body)
+    n, blocks = np.frombuffer(body, "<i4", 2).tolist()
+    numbers = np.frombuffer(body, "<i4", n + blocks, 8).tolist()
+    inside: list[bool] = []
+    for i, up in enumerate(numbers[:n]):
+        inside.append(i == number or up >= 0 and inside[up])
+    lines = body[8 + 4 * (n + blocks):].decode().split("\n")
+    return "\n".join(text for text, at in zip(lines, numbers[n:]) if inside[at])
+
+
+def host_of(url):
+    return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
-    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(host, best_path(*page)) for host, html in zip(batch["host"], batch["html"]) if (page := page_of(html))[0]]
-            yield pd.DataFrame(rows, columns=["host", "path"])
 
-    seen = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").alias("html"))
-    votes = seen.mapInPandas(vote, "host string, path string").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("host").orderBy(F.desc("n"), "path")
-    first = votes.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PATHS)
-    return first.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
+def winning_paths(pages: DataFrame, uid: str, host: str, page: str) -> DataFrame:
+    """uid -> number of the path that other pages of the host vote for, of those the page has."""
+    named = pages.filter(F.col(host) != "").select(F.col(uid).alias("uid"), F.col(host).alias("host"), F.col(f"{page}.keys").alias("keys"),
+                                                   F.col(f"{page}.scores").alias("scores"), F.col(f"{page}.best").alias("best"))
+    named = named.filter(F.col("best") >= 0).withColumn("own", F.get("keys", F.col("best")))
+    # Paths are in order from the whole page, which gets no votes: it holds all a page has.
+    votes = named.filter(F.col("best") > 0).groupBy("host", F.col("own").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    votes = staged(votes.filter(F.col("n") > 1), "html-votes")  # a page's own vote doesn't count for it
+    has = named.select("uid", "host", "own", F.get("scores", F.lit(0)).alias("total"), F.posexplode(F.arrays_zip("keys", "scores")).alias("number", "p"))
+    has = has.select("uid", "host", "own", "total", "number", F.col("p.keys").alias("key"), F.col("p.scores").alias("score"))
+    others = F.col("n") - F.when(F.col("key") == F.col("own"), 1).otherwise(0)
+    order = F.struct((F.col("score") >= SHARE * F.col("total")).alias("enough"), others.alias("others"), "score", "key", "number")
+    return has.join(votes, ["host", "key"]).groupBy("uid").agg(F.max(order)["number"].alias("number"))
 
 
 def main_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``pages`` without the html, with the main text in ``text_col`` (replaced if there)."""
-    host, tried = fresh("host"), fresh("paths")
-    winners = staged(winning_paths(pages, url_col, html_col), "html-paths")
+    host, uid, page, number, body = fresh("host"), fresh("uid"), fresh("page"), fresh("number"), fresh("body")
+    ship_package(pages.sparkSession)
 
-    @F.pandas_udf("string")
-    def text(htmls: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series([extract(*page_of(h), [] if p is None else list(p)) for h, p in zip(htmls, paths)], dtype=object)
+    @F.pandas_udf(_PARSED)
+    def parse(htmls: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parsed(h) for h in htmls], columns=["keys", "scores", "best", "body"])
 
-    named = pages.withColumn(host, host_of(F.col(f"`{url_col}`")))
-    return (named.join(winners.withColumnRenamed("host", host).withColumnRenamed("paths", tried), host, "left")
-                 .withColumn(text_col, text(F.col(f"`{html_col}`"), F.col(tried))).drop(host, tried, html_col))
+    @F.pandas_udf("string")
+    def text(bodies: pd.Series, numbers: pd.Series) -> pd.Series:
+        return pd.Series([extract(b, n) for b, n in zip(bodies, numbers)], dtype=object)
+
+    read = pages.withColumn(host, host_of(F.col(f"`{url_col}`"))).withColumn(page, parse(F.col(f"`{html_col}`")))
+    read = staged(read.withColumn(uid, F.monotonically_increasing_id()).drop(html_col), "html-pages")
+    best = staged(winning_paths(read, uid, host, page), "html-paths")
+    best = best.select(F.col("uid").alias(uid), F.col("number").alias(number))
+    # Only the packed blocks travel to the join.
+    read = read.withColumn(body, F.col(f"{page}.body")).withColumn(host, F.col(f"{page}.best")).drop(page)
+    out = read.join(best, uid, "left").withColumn(text_col, text(F.col(body), F.coalesce(number, host)))
+    return out.drop(host, uid, number, body)

@@ -96,6 +96,25 @@ def test_pages_without_article_tags_keep_titles_and_leads(spark):
     assert {k: t for k, t in got.items() if t != "Title\n" + body.strip()} == {}
 
 
+def test_votes_of_other_templates_and_pages_without_a_host(spark):
+    """A caption under the most voted path doesn't stand for the article under another."""
+    a = "<body><div class='news'><p>{0}</p></div><div class='x'>{1}</div></body>"
+    b = "<body><div class='blog'><p>{0}</p></div><div class='news'><p>Caption</p></div><div class='x'>{1}</div></body>"
+    rows = [(i, "http://h.org/a", a.format("news " * 50, "tease")) for i in range(6)]
+    rows += [(10 + i, "http://h.org/b", b.format("blog " * 50, "tease")) for i in range(3)]
+    for k in range(25):  # 25 templates of one host, all above with a caption under the first
+        c = "<body><div class='t{0}'><p>{1}</p></div><div class='s'><p>Caption</p></div></body>"
+        rows += [(100 + 3 * k + i, "http://many.org/", c.format("abcdefghijklmnopqrstuvwxyz"[k], "text " * 50)) for i in range(2)]
+        rows += [(102 + 3 * k, "http://many.org/", c.format("abcdefghijklmnopqrstuvwxyz"[k], "short " * 4))]
+    rows += [(300 + i, u, a.format("news " * 50, "tease")) for i, u in enumerate([None, "/rel", "x:y", None])]
+    rows += [(310, None, "<body><div class='news'>cap</div><div class='own'><p>" + "own " * 50 + "</p></div></body>")]
+    got = texts(spark, rows)
+    assert {got[i] for i in range(6)} == {got[i] for i in range(300, 304)} == {("news " * 50).strip()}
+    assert {got[10 + i] for i in range(3)} == {("blog " * 50).strip()}
+    assert {got[102 + 3 * k] for k in range(25)} == {("short " * 4).strip()}
+    assert got[310] == ("own " * 50).strip()
+
+
 def test_query_equals_the_articles(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.page_id: r for r in op7_html_text(spark, sf).collect()}
