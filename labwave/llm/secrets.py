@@ -3,7 +3,7 @@
 The patterns give the base spans. Two models of which character follows which are
 counted from labelled samples: random strings are the values that the patterns
 found in all documents, ordinary identifiers are the words that at least two
-documents of a bounded sample have. A run of token characters outside the base spans whose log-likelihood
+documents have. A run of token characters outside the base spans whose log-likelihood
 ratio between the two models is high, in sum and for each character, is a span of
 kind ``random``.
 
@@ -34,8 +34,6 @@ KINDS = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 1
 #: Runs that the models judge, and the characters they know (others count as one).
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
-#: Documents whose words are the sample of ordinary identifiers.
-SAMPLE_DOCS = 8192
 #: Least log-likelihood ratio of a run, in all and for each character, in nats.
 LEAST_SUM, LEAST_MEAN = 12.0, 0.5
 #: Pairs' worth of belief in a character's overall frequency.
@@ -87,7 +85,7 @@ def _counts(tokens: DataFrame) -> dict[int, int]:
     return {r["pair"]: r["count"] for r in pairs.groupBy("pair").count().collect()}
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float] | None:
+def train(docs: DataFrame) -> list[float] | None:
     """Log-likelihood ratio of each pair: random strings against ordinary identifiers."""
     text = F.coalesce(F.col("text"), F.lit(""))
     values = [F.filter(F.regexp_extract_all(text, F.lit(p), F.lit(g)), lambda v, n=n: F.length(v) >= n) for _, p, g, n in KINDS]
@@ -95,16 +93,14 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float] | None
     random = _counts(docs.select(F.explode(F.concat(*values)).alias("token")))
     if not random:
         return None
-    # The documents with the smallest hashes: found by hash, so only their texts travel.
-    hashed = docs.select(F.xxhash64("doc_id", "text").alias("h"), text.alias("text"))
-    limit = hashed.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
-    sample = hashed.filter(F.col("h") <= F.lit(limit)).groupBy("h").agg(F.min("text").alias("text"))
     plain = text
     for _, pattern, _, _ in KINDS:
         plain = F.regexp_replace(plain, pattern, " ")
     words = F.array_distinct(F.regexp_extract_all(plain, F.lit(r"[A-Za-z_][A-Za-z0-9_-]{3,}"), F.lit(0)))
-    words = sample.select(F.explode(words).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    ordinary = _counts(words.filter("n > 1"))  # a random string hardly occurs in two documents
+    # Two hashes are enough to tell whether a word is in two documents, repeated rows being one.
+    words = docs.select(F.xxhash64("doc_id", "text").alias("h"), F.explode(words).alias("token"))
+    words = words.groupBy("token").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    ordinary = _counts(words.filter("low < high"))  # a random string hardly occurs in two documents
 
     def logs(counts: dict[int, int]) -> list[float]:
         """log P(b after a), drawn towards P(b) where a is rare."""

@@ -62,6 +62,21 @@ def test_models_add_random_strings(spark):
     assert all(not r.more for i, r in got.items() if i < 300)
 
 
+def test_words_of_all_documents_are_learned(spark):
+    """A style that stands only in documents beyond the 8192 smallest hashes is ordinary too."""
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    common = [(i, f"plain words of document number {i} token={''.join(rng.choice(letters, 32))}") for i in range(9000)]
+    style = ["".join(rng.choice(["QX", "ZK", "VJ", "WQ"], 10)) for _ in range(60)]
+    rare = [(20_000 + i, f"{' '.join(style)} {i}") for i in range(200)]
+    hashes = lambda rows: {r.doc_id: r.h for r in documents(spark, rows).selectExpr("doc_id", "xxhash64(doc_id, text) h").collect()}
+    limit, at = sorted(hashes(common).values())[8191], hashes(rare)
+    rare = [r for r in rare if at[r[0]] > limit]
+    assert len(rare) > 2
+    got = scanned(spark, common + rare + [(50_000, "Q7xZk2Vb9LmT4wRj8NcY")] * 2)
+    assert all(not got[i].more for i, _ in rare) and len(got[50_000].more) == 1
+
+
 def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in op10_secret_scan(spark, sf).collect()}
