@@ -51,7 +51,7 @@ class Words(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > MEMO:
             self.clear()
-        low = zlib.crc32(shape(word[:64]).encode("utf-8", "surrogatepass"))
+        low = zlib.crc32(shape(word).encode("utf-8", "surrogatepass"))
         value = self[word] = (zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) >> 1) << 32 | low
         return value
 

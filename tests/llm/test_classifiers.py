@@ -45,6 +45,12 @@ def test_ftrl_learns_and_stays_sparse():
     assert (Ftrl(5, 1, 1, 0, 0, positive=True).weights() == 0).all()
 
 
+def test_quality_shape_reads_the_whole_word():
+    """Words alike in 64 characters, different after, have different shapes."""
+    one, other = (quality.Words()["a" * 64 + end] & 0xFFFFFFFF for end in ("A9!b", "b"))
+    assert one != other and one == quality.Words()["b" * 100 + "C0!d"] & 0xFFFFFFFF
+
+
 def test_quality_features():
     assert quality.shape("Thend,") == "Aa," and quality.shape("THE!!") == "A!" and quality.shape("ab12$$$") == "a0$"
     ids, values = quality.features("a b a b")
