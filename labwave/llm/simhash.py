@@ -17,7 +17,7 @@ half's four bytes equal.
 
 Defined cases: a null text is empty; a text without words has fingerprint zero,
 linked like any other; equal texts and repeated rows share a fingerprint and so a
-component; a row with a null id keeps its fingerprint, has a null component and
+component; texts that share an id are not linked by it; a row with a null id keeps its fingerprint, has a null component and
 links nothing; an empty table gives an empty result; other columns are not read.
 """
 
@@ -210,28 +210,41 @@ def link(distinct: DataFrame, max_bits: int = MAX_BITS, crowd: int = CROWD) -> D
     return edges
 
 
+def _groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, crowd: int = CROWD) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (its smallest id), root (its smallest fingerprint)."""
+    rows = staged(fingerprints(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+                                           F.col(f"`{text_col}`").alias("text"))).drop("text"), "simhash-rows")
+    # Fingerprints are the nodes: an id that two texts have must not link them.
+    classes = staged(rows.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-classes")
+    linked = components(link(classes.select("fp", F.col("fp").alias("node")), max_bits, crowd), "simhash")
+    rooted = staged(classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
+                    .select("fp", "low", F.coalesce("component", "fp").alias("root")), "simhash-rooted")
+    least = staged(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-least")
+    named = staged(rooted.join(least, "root").select("fp", "root", "component_id"), "simhash-named")
+    of = lambda c: F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c)
+    return rows.join(named, "fp", "left").select("doc_id", "fp", of("component_id"), of("root"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     max_bits: int = MAX_BITS, crowd: int = CROWD) -> DataFrame:
     """One row per document: doc_id, fp (signed long), component_id."""
-    rows = staged(fingerprints(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-                                           F.col(f"`{text_col}`").alias("text"))).drop("text"), "simhash-rows")
-    classes = staged(rows.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-classes")
-    linked = components(link(classes, max_bits, crowd), "simhash")
-    named = staged(classes.join(linked, "node", "left")
-                   .select(F.col("fp"), F.coalesce("component", "node").alias("component_id")), "simhash-named")
-    return rows.join(named, "fp", "left").select(
-        "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return _groups(docs, id_col, text_col, max_bits, crowd).drop("root")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay: of each component the one with the smallest id, once
-    even if its row is repeated; rows with a null id stay. Columns unchanged."""
-    groups = near_duplicates(docs, **options)
-    kept = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    n = fresh("n")
-    kept = staged(kept.withColumnRenamed("n", n), "simhash-kept")
+    even if its row is repeated; rows with a null id stay. Columns unchanged. Texts
+    that share an id are documents of their own."""
+    groups = _groups(docs, **options)
+    stays = F.col("doc_id") == F.col("component_id")
+    kept = groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(stays).alias("stays"))
+    n, fp = fresh("n"), fresh("fp")
+    kept = staged(kept.filter("stays").select("doc_id", F.col("n").alias(n)), "simhash-kept")
+    repeats = kept.filter(F.col(n) > 1)
+    picked = (groups.filter(stays).join(repeats, "doc_id", "left_semi").groupBy("doc_id", "root").agg(F.min("fp").alias(fp))
+              .select("doc_id", fp))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    chosen = docs.join(kept, "doc_id", "inner")
-    single = chosen.filter(F.col(n) == 1).select(columns)
-    repeated = chosen.filter(F.col(n) > 1).groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.xxhash64("text")).alias("_row"))
+    single = docs.join(kept.filter(F.col(n) == 1), "doc_id", "left_semi").select(columns)
+    repeated = fingerprints(docs.join(repeats, "doc_id", "left_semi"), fp).join(staged(picked, "simhash-picked"), ["doc_id", fp], "left_semi")
+    repeated = repeated.groupBy("doc_id", fp).agg(F.min_by(F.struct(*columns), F.xxhash64("text")).alias("_row"))
     return single.unionByName(repeated.select("_row.*")).unionByName(docs.filter("doc_id is null"))

@@ -130,6 +130,13 @@ def test_odd_rows(spark):
     assert [r.doc_id for r in repeated.collect()] == [7]
 
 
+def test_texts_that_share_an_id_stay_apart(spark):
+    one, other = "one two three four five six", "seven eight nine ten eleven twelve"
+    docs = documents(spark, [(7, one), (7, other), (7, other), (8, one), (9, other), (3, "a b c d"), (10, "a b c d"), (10, "k l m n"), (11, "k l m n")])
+    got = sorted((r.doc_id, r.text) for r in simhash.one_of_each(docs).collect())
+    assert got == sorted([(7, one), (7, other), (3, "a b c d"), (10, "k l m n")])
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
     assert simhash.one_of_each(documents(spark, [])).count() == 0
