@@ -37,7 +37,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def deleted(*copies: DataFrame) -> None:
+    """Remove copies that ``staged`` wrote, once nothing lazy reads them any more."""
+    for df in copies:
+        if path := df.__dict__.get("_staged_at"):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fresh(prefix: str) -> str:

@@ -92,4 +92,69 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low, vec_
 FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN m ON m.a = vec_id
 """
 
-ORACLES = {"op2_topk_search": OP2, "op9_embedding_near_dedup": OP9, "op8_line_dedup": OP8, "op1_mix_sources": OP1}
+# Every term of an item against every document that holds it.
+OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS uid, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+c AS (SELECT count(*)::BIGINT AS nd, sum(len(ws))::BIGINT AS nt FROM d WHERE len(ws) > 0),
+t AS (SELECT uid, w, count(*)::BIGINT AS tf FROM (SELECT uid, unnest(ws) AS w FROM d) x GROUP BY uid, w),
+f AS (SELECT w, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM t, c GROUP BY w, nd),
+q AS (
+  SELECT DISTINCT iid, item_id, w FROM (
+    SELECT row_number() OVER () AS iid, item_id,
+           unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark) y),
+s AS (
+  SELECT iid, item_id, d.uid, doc_id,
+         sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(ws) * nd) // nt))))::BIGINT AS score
+  FROM q JOIN t USING (w) JOIN f USING (w) JOIN d ON d.uid = t.uid, c GROUP BY iid, item_id, d.uid, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST, uid)::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+# Windows and lines as rows; hosts' failure rates shrunk by a beta prior from the variance between hosts.
+OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT uid, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i
+  FROM (SELECT uid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d) x),
+g AS (SELECT uid, i, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY uid ORDER BY i)),
+h AS (SELECT uid, i, w, w3 IS NOT NULL AND count(*) OVER (PARTITION BY uid, w, w2, w3) > 1 AS again FROM g),
+r AS (SELECT uid, w, bool_or(again) OVER (PARTITION BY uid ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS covered FROM h),
+a AS (SELECT uid, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (covered) AS n_repeat_words FROM r GROUP BY uid),
+l AS (
+  SELECT uid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT uid, unnest(string_split(text, chr(10))) AS line FROM d) x
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY uid),
+m AS (
+  SELECT d.uid, doc_id, source, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_lines, 0)::BIGINT AS n_lines,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN a USING (uid) LEFT JOIN l USING (uid)),
+x AS (
+  SELECT uid, source, unnest(['short', 'repeated', 'symbols', 'dup_lines', 'word_length']) AS rule,
+         unnest([n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > n_words, 10 * n_dup_lines > 3 * n_lines,
+                 word_chars < 3 * n_words OR word_chars > 10 * n_words]) AS bad FROM m),
+p AS (SELECT source, rule, count(*)::BIGINT AS n, count(*) FILTER (bad)::BIGINT AS k FROM x GROUP BY source, rule),
+t AS (
+  SELECT rule, count(*)::DOUBLE AS hosts, sum(n)::DOUBLE AS docs, sum(n::DOUBLE * n) AS sq, sum(k)::DOUBLE AS f, sum(k::DOUBLE * k / n) AS fs
+  FROM p GROUP BY rule),
+v AS (
+  SELECT rule, f / docs AS mean, CASE WHEN hosts > 1 AND docs > hosts THEN greatest(0, fs - f * (f / docs)) / (hosts - 1) END AS between_,
+         CASE WHEN hosts > 1 AND docs > hosts THEN greatest(0, f - fs) / (docs - hosts) END AS within_,
+         CASE WHEN hosts > 1 THEN (docs - sq / docs) / (hosts - 1) END AS typical FROM t),
+u AS (
+  SELECT rule, mean, CASE WHEN between_ > within_
+         THEN least(1000, greatest(2, (between_ + (typical - 1) * within_) / (between_ - within_) - 1)) ELSE 1000 END AS worth FROM v),
+e AS (SELECT p.source, p.rule, (k + mean * worth) / (n + worth) AS rate FROM p JOIN u USING (rule)),
+y AS (
+  SELECT x.uid, bool_or(bad AND x.rule IN ('short', 'repeated')) AS base_failed, bool_or(rate >= 0.5 OR bad AND rate >= 0.2) AS goes
+  FROM x JOIN e ON x.source IS NOT DISTINCT FROM e.source AND x.rule = e.rule GROUP BY x.uid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT goes AS kept
+FROM m JOIN y USING (uid)
+"""
+
+ORACLES = {"op2_topk_search": OP2, "op9_embedding_near_dedup": OP9, "op8_line_dedup": OP8, "op1_mix_sources": OP1,
+           "op11_lexical_search": OP11, "op12_quality_rules": OP12}
