@@ -6,130 +6,206 @@ streak id, streak start and end) is a prefix scan along (time, id). A plain
 so a patient holding a third of the data would hold a third of the work.
 Instead each scan runs in two levels:
 
-1. rows are windowed within (keys, time bucket); every bucket also yields a
+1. rows are windowed within (keys, segment); every segment also yields a
    one-row summary (first/last values, counts, times) by a grouped aggregate
    that reuses the same hash partitioning;
-2. the small per-bucket summaries are scanned per patient (one row per bucket)
-   to get what each bucket must carry in from its neighbours, and joined back
-   to the rows on (keys, bucket).
-
-The rows are shuffled once (on keys + bucket); the bucket summaries are tiny.
-``bucket_hours`` is the knob: a bucket should hold a few thousand rows at most.
-With no keys (one global order) the bucket summaries are scanned in a single
-task, so there the width grows with the range of the order column: there are never
-more than ``MAX_BUCKETS`` summaries. Rows without a time come last and are bucketed
-by their id.
+2. the small summaries are scanned per patient (one row per segment) to get what
+   each segment must carry in from its neighbours, and joined back to the rows.
+
+The rows are shuffled once; the summaries are tiny. Segments are
+
+* with keys: time buckets of ``bucket_hours``. Where a bucket of a patient holds
+  more than ``ROWS_PER_RANGE`` rows (many samples at one instant, say), its rows are
+  cut into ranges of about equal size along (time, id), with boundaries that Spark
+  samples, so no number of rows at one time meets in one task. Inputs of less than
+  ``LOOK_BYTES`` are not searched for such buckets: one task holds them;
+* without keys (one global order): ranges of about equal size from the start. Their
+  summaries are swept up and down a tree of ``FAN`` summaries a node, so no task sees
+  all of them either.
+
+Rows without a time come last and are bucketed by their id.
 """
 
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import MICROS_PER_HOUR, epoch_micros
+from ..session import shared_dir
 
-BUCKET = "_seq_bucket"
+BUCKET, RANGE = "_seq_bucket", "_seq_range"
 _NULL_TIME_BUCKET = 2**62  # rows without a time sort last, in buckets of their own
 _NULL_TIME_IDS = 4096  # ids in each of these
-MAX_BUCKETS = 100_000  # of a scan without keys
+ROWS_PER_RANGE = 1_000_000
+LOOK_BYTES = 1 << 30
+FAN = 1024
 
 
-def _bucket(df: DataFrame, keys: Sequence[str], time_col: str, id_col: str, bucket_hours: float,
-            numeric: bool = False) -> Column:
+def _bucket(df: DataFrame, time_col: str, id_col: str, bucket_hours: float, numeric: bool = False) -> Column:
     """Bucket of the order column: ``bucket_hours`` wide for timestamps, or that
-    many units wide for a numeric order column; wider where ``MAX_BUCKETS`` asks for it."""
+    many units wide for a numeric order column."""
     at = F.col(time_col).cast("double") if numeric else epoch_micros(time_col).cast("double")
     width = F.lit(float(bucket_hours if numeric else int(bucket_hours * MICROS_PER_HOUR)))
-    if not keys:
-        spread = df.agg(F.coalesce((F.max(at) - F.min(at)) / MAX_BUCKETS, F.lit(0.0))).scalar()
-        width = F.greatest(width, F.ceil(spread).cast("double"))
     last = F.lit(_NULL_TIME_BUCKET).cast("long")
     if dict(df.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint"):
         last = last + F.coalesce(F.floor(F.col(id_col) / _NULL_TIME_IDS).cast("long"), F.lit(-(2**61)))
     return F.coalesce(F.floor(at / width).cast("long"), last)
 
 
-def _join_back(rows: DataFrame, info: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows with their bucket's summary. Null-safe on the keys: a null key is a group
+def _input_bytes(df: DataFrame) -> int:
+    """Size of the tables that ``df`` reads, as far as Spark knows it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def _ranges(rows: DataFrame, order: list[Column], n: int, out: str) -> DataFrame:
+    """``rows`` in ``n`` ranges of about equal size along ``order``, numbered from 0 in
+    ``out``. Written, so that a range has one number however often it is read."""
+    path = shared_dir(rows.sparkSession, "ranges")
+    rows = rows.repartitionByRange(max(1, n), *order).withColumn(out, F.spark_partition_id().cast("long"))
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _segments(df: DataFrame, keys: list[str], time_col: str, id_col: str, bucket_hours: float, numeric: bool,
+              rows_per_range: int | None) -> tuple[DataFrame, list[str], int]:
+    """``df`` with the columns that number its segments, their names, and the number of
+    segments of a scan without keys."""
+    order = [F.col(time_col).asc_nulls_last(), F.col(id_col).asc()]
+    if not keys:
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        if rows_per_range:
+            n = max(n, -(-df.count() // rows_per_range))
+        return _ranges(df, order, n, BUCKET), [BUCKET], n
+    rows = df.withColumn(BUCKET, _bucket(df, time_col, id_col, bucket_hours, numeric))
+    if rows_per_range is None and _input_bytes(df) < LOOK_BYTES:
+        return rows, [BUCKET], 0
+    most = rows_per_range or ROWS_PER_RANGE
+    path = shared_dir(df.sparkSession, "crowded")
+    counts = rows.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("_seq_n"))
+    counts.filter(F.col("_seq_n") > most).write.parquet(path)
+    crowded = df.sparkSession.read.schema(counts.schema).parquet(path)  # a row for each ``most`` rows at the most
+    total = crowded.agg(F.sum("_seq_n")).first()[0]
+    if not total:
+        return rows, [BUCKET], 0
+    crowded, same = _renamed(crowded.drop("_seq_n"), [*keys, BUCKET])
+    cut = _ranges(rows.join(crowded, same, "left_semi"), [*[F.col(f"`{k}`") for k in keys], F.col(BUCKET), *order], math.ceil(total / most) + 1, RANGE)
+    return rows.join(crowded, same, "left_anti").withColumn(RANGE, F.lit(-1).cast("long")).unionByName(cut), [BUCKET, RANGE], 0
+
+
+def _renamed(info: DataFrame, on: Sequence[str]) -> tuple[DataFrame, Column]:
+    """``info`` with its join columns renamed, and the null-safe condition on them."""
+    same = F.lit(True)
+    for c in on:
+        info = info.withColumnRenamed(c, f"_jb_{c}")
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"`_jb_{c}`"))
+    return info, same
+
+
+def _join_back(rows: DataFrame, info: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows with their segment's summary. Null-safe on the keys: a null key is a group
     like any other, and every row of ``rows`` stays."""
-    on, renamed = F.lit(True), info
-    for c in [*keys, BUCKET]:
-        renamed = renamed.withColumnRenamed(c, f"_jb_{c}")
-    for c in [*keys, BUCKET]:
-        on = on & F.col(f"`{c}`").eqNullSafe(F.col(f"`_jb_{c}`"))
-    return rows.join(renamed, on, "inner").drop(*[f"_jb_{c}" for c in [*keys, BUCKET]])
+    info, same = _renamed(info, on)
+    return rows.join(info, same, "inner").drop(*[f"_jb_{c}" for c in on])
+
+
+def _carried(summ: DataFrame, keys: list[str], at: list[str], n: int, specs: dict[str, tuple[str, str]]) -> DataFrame:
+    """``summ`` with ``specs`` (output -> (kind, column)) over the summaries in order: the
+    value before (``lag``) or after (``lead``), the sum or maximum of all before, the
+    minimum of all after. Without keys the summaries are swept in a tree: within groups
+    of ``FAN``, over the groups, and down again."""
+    group = "_seq_group"
+    if not keys:
+        summ = summ.withColumn(group, F.floor(F.col(at[0]) / FAN).cast("long"))
+    by = keys or [group]
+    up = Window.partitionBy(*by).orderBy(*at)
+    before = up.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*by).orderBy(*[F.col(c).desc() for c in at]).rowsBetween(Window.unboundedPreceding, -1)
+    scan = {"lag": lambda c: F.lag(c).over(up), "lead": lambda c: F.lead(c).over(up), "sum": lambda c: F.sum(c).over(before),
+            "max": lambda c: F.max(c).over(before), "min": lambda c: F.min(c).over(after)}
+    if keys or n <= FAN:
+        return summ.withColumns({out: scan[kind](c) for out, (kind, c) in specs.items()}).drop(group)
+    whole = {"lag": F.max_by, "lead": F.min_by, "sum": None, "max": None, "min": None}
+    total = {"sum": F.sum, "max": F.max, "min": F.min}
+    first, last = "_seq_first_of", "_seq_last_of"
+    summ = summ.withColumns({first: F.lag(F.lit(1)).over(up).isNull(), last: F.lead(F.lit(1)).over(up).isNull(),
+                             **{out: scan[kind](c) for out, (kind, c) in specs.items()}})
+    groups = summ.groupBy(group).agg(*[(whole[kind](F.struct(c), at[0]).getField(c) if whole[kind] else total[kind](c)).alias(f"{out}_g")
+                                       for out, (kind, c) in specs.items()])
+    groups = _carried(groups.withColumnRenamed(group, at[0]), [], at, -(-n // FAN),
+                      {f"{out}_c": (kind, f"{out}_g") for out, (kind, _) in specs.items()})
+    groups = groups.select(F.col(at[0]).alias(group), *[f"{out}_c" for out in specs])
+    joined = _join_back(summ, groups, [group])
+    merged = {}
+    for out, (kind, _) in specs.items():
+        mine, carry = F.col(out), F.col(f"{out}_c")
+        merged[out] = {"lag": F.when(F.col(first), carry).otherwise(mine), "lead": F.when(F.col(last), carry).otherwise(mine),
+                       "sum": F.when(mine.isNull(), carry).when(carry.isNull(), mine).otherwise(mine + carry),
+                       "max": F.greatest(mine, carry), "min": F.least(mine, carry)}[kind]
+    return joined.withColumns(merged).drop(group, first, last, *[f"{out}_c" for out in specs])
 
 
-def _row_window(keys, time_col, id_col):
-    return Window.partitionBy(*keys, BUCKET).orderBy(
+def _row_window(keys, at, time_col, id_col):
+    return Window.partitionBy(*keys, *at).orderBy(
         F.col(time_col).asc_nulls_last(), F.col(id_col).asc())
 
 
-def _row_window_desc(keys, time_col, id_col):
+def _row_window_desc(keys, at, time_col, id_col):
     """The row order reversed. "Everything after this row" is a running frame
     over this order: Spark computes running frames incrementally, while a frame
     ending at unbounded following is recomputed for every row (quadratic)."""
-    return Window.partitionBy(*keys, BUCKET).orderBy(
+    return Window.partitionBy(*keys, *at).orderBy(
         F.col(time_col).desc_nulls_first(), F.col(id_col).desc())
 
 
-def _bucket_window(keys):
-    return Window.partitionBy(*keys).orderBy(BUCKET)
-
-
-def _bucket_window_desc(keys):
-    return Window.partitionBy(*keys).orderBy(F.col(BUCKET).desc())
-
-
 def ordered_lag(df: DataFrame, keys: Sequence[str], time_col: str, id_col: str,
                 value_col: str, out_col: str, bucket_hours: float = 24.0,
-                numeric: bool = False) -> DataFrame:
+                numeric: bool = False, rows_per_range: int | None = None) -> DataFrame:
     """Previous row's ``value_col`` within ``keys`` ordered by (time, id)."""
     keys = list(keys)
-    w = _row_window(keys, time_col, id_col)
-    rows = df.withColumn(BUCKET, _bucket(df, keys, time_col, id_col, bucket_hours, numeric)).withColumns({
+    rows, at, n = _segments(df, keys, time_col, id_col, bucket_hours, numeric, rows_per_range)
+    w = _row_window(keys, at, time_col, id_col)
+    rows = rows.withColumns({
         "_seq_local_prev": F.lag(value_col).over(w),
         "_seq_first": F.lag(F.lit(1)).over(w).isNull(),
         "_seq_last_row": F.lead(F.lit(1)).over(w).isNull(),
     })
-    summ = rows.groupBy(*keys, BUCKET).agg(
+    summ = rows.groupBy(*keys, *at).agg(
         F.max(F.when(F.col("_seq_last_row"), F.col(value_col))).alias("_seq_last"))
-    info = summ.select(*keys, BUCKET,
-                       F.lag("_seq_last").over(_bucket_window(keys)).alias("_seq_carry"))
-    out = _join_back(rows, info, keys)
+    info = _carried(summ, keys, at, n, {"_seq_carry": ("lag", "_seq_last")}).drop("_seq_last")
+    out = _join_back(rows, info, [*keys, *at])
     prev = F.when(F.col("_seq_first"), F.col("_seq_carry")).otherwise(F.col("_seq_local_prev"))
     return out.select(*[F.col(f"`{c}`") for c in df.columns], prev.alias(out_col))
 
 
 def ordered_prefix_sums(df: DataFrame, keys: Sequence[str], time_col: str, id_col: str,
                         sums: dict[str, Column], bucket_hours: float = 24.0,
-                        numeric: bool = False) -> DataFrame:
+                        numeric: bool = False, rows_per_range: int | None = None) -> DataFrame:
     """Running sums (rows up to and including the current one) within ``keys``
     ordered by (time, id): ``sums`` maps output name -> numeric expression."""
     keys = list(keys)
-    w = _row_window(keys, time_col, id_col)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     vals = {f"_ps_v{i}": e for i, e in enumerate(sums.values())}
-    rows = df.withColumns({BUCKET: _bucket(df, keys, time_col, id_col, bucket_hours, numeric), **vals})
+    rows, at, n = _segments(df.withColumns(vals), keys, time_col, id_col, bucket_hours, numeric, rows_per_range)
+    upto = _row_window(keys, at, time_col, id_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumns({f"_ps_l{i}": F.sum(f"_ps_v{i}").over(upto) for i in range(len(vals))})
-    summ = rows.groupBy(*keys, BUCKET).agg(
+    summ = rows.groupBy(*keys, *at).agg(
         *[F.sum(f"_ps_v{i}").alias(f"_ps_b{i}") for i in range(len(vals))])
-    before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    info = summ.select(*keys, BUCKET, *[
-        F.coalesce(F.sum(f"_ps_b{i}").over(before), F.lit(0)).alias(f"_ps_o{i}")
-        for i in range(len(vals))])
-    out = _join_back(rows, info, keys)
+    info = _carried(summ, keys, at, n, {f"_ps_o{i}": ("sum", f"_ps_b{i}") for i in range(len(vals))})
+    out = _join_back(rows, info.drop(*[f"_ps_b{i}" for i in range(len(vals))]), [*keys, *at])
     return out.select(*[F.col(f"`{c}`") for c in df.columns], *[
-        (F.col(f"_ps_o{i}") + F.col(f"_ps_l{i}")).alias(name) for i, name in enumerate(sums)])
+        (F.coalesce(F.col(f"_ps_o{i}"), F.lit(0)) + F.col(f"_ps_l{i}")).alias(name) for i, name in enumerate(sums)])
 
 
 def ordered_row_number(df: DataFrame, keys: Sequence[str], time_col: str, id_col: str,
-                       out_col: str, bucket_hours: float = 24.0, numeric: bool = False) -> DataFrame:
+                       out_col: str, bucket_hours: float = 24.0, numeric: bool = False,
+                       rows_per_range: int | None = None) -> DataFrame:
     """1-based position within ``keys`` ordered by (time, id), as int."""
     out = ordered_prefix_sums(df, keys, time_col, id_col, {"_seq_rn": F.lit(1).cast("long")},
-                              bucket_hours, numeric)
+                              bucket_hours, numeric, rows_per_range)
     return out.withColumnRenamed("_seq_rn", out_col).withColumn(out_col, F.col(out_col).cast("int"))
 
 
@@ -142,7 +218,7 @@ def _run_value(df: DataFrame, col: str) -> Column:
 def streaks(df: DataFrame, flag_col: str, keys: Sequence[str], time_col: str, id_col: str,
             bucket_hours: float = 24.0, id_out: str = "streak_id",
             start_out: str = "streak_start", end_out: str = "streak_end",
-            numeric: bool = False) -> DataFrame:
+            numeric: bool = False, rows_per_range: int | None = None) -> DataFrame:
     """Gaps and islands: runs of equal ``flag_col`` per ``keys`` along (time, id).
 
     Adds the 1-based run number (a new run starts at the first row and wherever
@@ -152,17 +228,17 @@ def streaks(df: DataFrame, flag_col: str, keys: Sequence[str], time_col: str, id
     """
     keys = list(keys)
     f = "_seq_flag"
-    w = _row_window(keys, time_col, id_col)
+    rows, at, n = _segments(df.withColumn(f, _run_value(df, flag_col)), keys, time_col, id_col, bucket_hours, numeric,
+                            rows_per_range)
+    w = _row_window(keys, at, time_col, id_col)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = _row_window_desc(keys, time_col, id_col).rowsBetween(Window.unboundedPreceding,
-                                                                 Window.currentRow)
+    after = _row_window_desc(keys, at, time_col, id_col).rowsBetween(Window.unboundedPreceding,
+                                                                     Window.currentRow)
     t = F.col(time_col)
-    rows = df.withColumns({BUCKET: _bucket(df, keys, time_col, id_col, bucket_hours, numeric),
-                           f: _run_value(df, flag_col)})
     has_prev = F.lag(F.lit(1)).over(w).isNotNull()
     has_next = F.lead(F.lit(1)).over(w).isNotNull()
-    # Run boundaries strictly inside a bucket; a bucket's first/last row is
-    # settled later from the neighbouring buckets' summaries.
+    # Run boundaries strictly inside a segment; a segment's first/last row is
+    # settled later from the neighbouring segments' summaries.
     rows = rows.withColumns({
         "_seq_hp": has_prev,
         "_seq_hn": has_next,
@@ -174,9 +250,9 @@ def streaks(df: DataFrame, flag_col: str, keys: Sequence[str], time_col: str, id
         "_seq_st": F.max(F.when(F.col("_seq_ls"), t)).over(upto),
         "_seq_et": F.min(F.when(F.col("_seq_le"), t)).over(after),
     })
-    # The bucket's first and last value come from the rows the window marked
+    # The segment's first and last value come from the rows the window marked
     # as first and last, so no ordered aggregate is needed.
-    summ = rows.groupBy(*keys, BUCKET).agg(
+    summ = rows.groupBy(*keys, *at).agg(
         F.max(F.lit(1)).alias("_b_one"),
         F.max(F.when(~F.col("_seq_hp"), F.col(f))).alias("_b_ff"),
         F.max(F.when(~F.col("_seq_hn"), F.col(f))).alias("_b_lf"),
@@ -185,22 +261,16 @@ def streaks(df: DataFrame, flag_col: str, keys: Sequence[str], time_col: str, id
         F.max(F.when(F.col("_seq_ls"), t)).alias("_b_lst"),
         F.min(F.when(F.col("_seq_le"), t)).alias("_b_fet"),
     )
-    wb = _bucket_window(keys)
-    before = wb.rowsBetween(Window.unboundedPreceding, -1)
-    later = _bucket_window_desc(keys).rowsBetween(Window.unboundedPreceding, -1)
-    fs = F.lag("_b_one").over(wb).isNull() | ~F.col("_b_ff").eqNullSafe(F.lag("_b_lf").over(wb))
-    le = F.lead("_b_one").over(wb).isNull() | ~F.col("_b_lf").eqNullSafe(F.lead("_b_ff").over(wb))
-    summ = summ.withColumns({"_b_fs": fs, "_b_le": le})
-    info = summ.select(
-        *keys, BUCKET, "_b_fs", "_b_le", "_b_ft", "_b_lt",
-        F.coalesce(F.sum(F.col("_b_ns") + F.col("_b_fs").cast("long")).over(before),
-                   F.lit(0)).alias("_b_base"),
-        F.max(F.greatest("_b_lst", F.when(F.col("_b_fs"), F.col("_b_ft")))).over(before)
-         .alias("_b_cst"),
-        F.min(F.least("_b_fet", F.when(F.col("_b_le"), F.col("_b_lt")))).over(later)
-         .alias("_b_cet"),
-    )
-    out = _join_back(rows, info, keys)
+    summ = _carried(summ, keys, at, n, {"_b_hp": ("lag", "_b_one"), "_b_pf": ("lag", "_b_lf"), "_b_hn": ("lead", "_b_one"), "_b_nf": ("lead", "_b_ff")})
+    summ = summ.withColumns({"_b_fs": F.col("_b_hp").isNull() | ~F.col("_b_ff").eqNullSafe(F.col("_b_pf")),
+                             "_b_le": F.col("_b_hn").isNull() | ~F.col("_b_lf").eqNullSafe(F.col("_b_nf"))})
+    summ = summ.withColumns({
+        "_b_starts": F.col("_b_ns") + F.col("_b_fs").cast("long"),
+        "_b_start": F.greatest("_b_lst", F.when(F.col("_b_fs"), F.col("_b_ft"))),
+        "_b_end": F.least("_b_fet", F.when(F.col("_b_le"), F.col("_b_lt")))})
+    info = _carried(summ, keys, at, n, {"_b_base": ("sum", "_b_starts"), "_b_cst": ("max", "_b_start"), "_b_cet": ("min", "_b_end")})
+    info = info.select(*keys, *at, "_b_fs", "_b_le", "_b_ft", "_b_lt", F.coalesce("_b_base", F.lit(0)).alias("_b_base"), "_b_cst", "_b_cet")
+    out = _join_back(rows, info, [*keys, *at])
     return out.select(
         *[F.col(f"`{c}`") for c in df.columns],
         (F.col("_b_base") + F.col("_b_fs").cast("long") + F.col("_seq_nstart")).alias(id_out),
