@@ -51,6 +51,13 @@ def epoch_micros(ts) -> Column:
     return diff_micros(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
+def time_then_id(ts, number) -> Column:
+    """One number that orders by time, then by a whole number: a buffer of fixed width
+    keeps ``min_by`` a hash aggregate, where a struct would have every row sorted first."""
+    wide = epoch_micros(ts).cast("decimal(19,0)") * F.lit("2" + "0" * 19).cast("decimal(20,0)")  # more than any two ids differ
+    return (wide + _c(number).cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def floor_hours(start, end) -> Column:
     """Whole hours from start to end, floored (-90 min is -2), as double."""
     return F.floor(diff_micros(start, end) / F.lit(MICROS_PER_HOUR)).cast("double")

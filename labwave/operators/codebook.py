@@ -120,12 +120,11 @@ def describe_columns(columns: DataFrame, sheet: DataFrame, name: str = "column_n
 
 
 def merge_descriptions(first: DataFrame, second: DataFrame, name: str = "column_name") -> DataFrame:
-    """Union of two description tables; where both describe a column, the second wins."""
-    tagged = (first.withColumn("_prio", F.lit(0))
-              .unionByName(second.withColumn("_prio", F.lit(1)), allowMissingColumns=True))
-    payload = [c for c in tagged.columns if c not in (name, "_prio")]
-    best = F.max_by(F.struct(*[F.col(c) for c in payload]), F.col("_prio"))
-    return tagged.groupBy(name).agg(best.alias("_b")).select(name, "_b.*")
+    """Union of two description tables that each name a column once; where both describe
+    a column, the second wins: the first table's other columns join the whole second."""
+    named = second.select(F.col(f"`{name}`").alias("_named"))
+    rest = first.join(named, F.col(f"`{name}`").eqNullSafe(F.col("_named")), "left_anti")
+    return rest.unionByName(second, allowMissingColumns=True)
 
 
 DESCRIPTION_SCHEMA = ("map<string, map<string, struct<description: string, "

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import names as N
 from ..session import shared_dir
-from ..functions.scalar import coalesce_false, epoch_micros, nan_to_null, parse_limit_text
+from ..functions.scalar import coalesce_false, nan_to_null, parse_limit_text, time_then_id
 from .joins import DEFAULT_ROWS_PER_TASK, hot_from_counts, split_hot_keys_join
 from .sequence import ordered_lag
 from .streaks import streak_flag
@@ -129,23 +129,28 @@ def dx_pancreatitis(df: DataFrame, limits: dict | None = None, times: float = 3.
     return _coincident(d, rule, at, rows_per_task)
 
 
-def _baseline(code: str):
-    """Aggregate: value of the pre-treatment (INFNO 0) ``code`` sample closest to
-    infusion 1 (greatest hour difference, then earliest time, then sample id);
-    null when the group has none. A max over a struct key: partial, skew-safe."""
-    qualifies = ((F.col(N.CODE) == code) & (F.col(N.INFNO) == 0) & F.col(N.VALUE).isNotNull()
-                 & F.col(N.HOURS).isNotNull())
-    key = F.struct(F.col(N.HOURS).alias("h"), (-epoch_micros(N.SAMPLE_TIME)).alias("t"),
-                   (-F.col(N.SAMPLE_ID)).alias("i"), F.col(N.VALUE).alias("v"))
-    return F.max(F.when(qualifies, key)).getField("v")
+def _before_treatment(code: str):
+    return ((F.col(N.CODE) == code) & (F.col(N.INFNO) == 0) & F.col(N.VALUE).isNotNull()
+            & F.col(N.HOURS).isNotNull())
+
+
+def _closest(rows: DataFrame, extremes: DataFrame) -> DataFrame:
+    """Baseline of each patient from the rows at its greatest hour difference (``_h`` of
+    ``extremes``): the value of the earliest time, then smallest sample id."""
+    at = extremes.filter(F.col("_h").isNotNull()).select(F.col(N.PATIENT).alias("_p"), "_h")
+    rows = rows.join(at, rows[N.PATIENT].eqNullSafe(F.col("_p")) & (rows[N.HOURS] == F.col("_h")), "left_semi")
+    return rows.groupBy(N.PATIENT).agg(
+        F.min_by(N.VALUE, time_then_id(N.SAMPLE_TIME, N.SAMPLE_ID)).alias("baseline_crea"))
 
 
 def baseline_value(df: DataFrame, code: str = CREATININE) -> DataFrame:
     """Per patient, the value of the pre-treatment (INFNO 0) sample closest to
-    infusion 1: greatest hour difference, then earliest time, then sample id."""
-    rows = measured(df.filter(F.col(N.CODE) == code))
-    rows = rows.filter((F.col(N.INFNO) == 0) & F.col(N.VALUE).isNotNull() & F.col(N.HOURS).isNotNull())
-    return rows.groupBy(N.PATIENT).agg(_baseline(code).alias("baseline_crea"))
+    infusion 1: greatest hour difference, then earliest time, then sample id.
+
+    Two hash aggregates: the greatest difference, then among the rows that have it
+    (semi join) the first by one number made of time and id. No row is sorted."""
+    rows = measured(df.filter(F.col(N.CODE) == code)).filter(_before_treatment(code))
+    return _closest(rows, rows.groupBy(N.PATIENT).agg(F.max(N.HOURS).alias("_h")))
 
 
 def value_delta(df: DataFrame, keys=(N.PATIENT, N.INFNO, N.CODE), out: str = "prev_value",
@@ -174,13 +179,16 @@ def dx_delayed_elimination(df: DataFrame, crea: str = CREATININE, mtx: str = MET
     d = measured(df.filter(F.col(N.CODE).isin(crea, mtx) & F.col(N.INFNO).isNotNull()))
     d = (d.filter(F.col(N.VALUE).isNotNull())
            .select(*[c for c in OUT_COLS + [N.HOURS] if c in df.columns]))
-    # One per-patient aggregate gives the baseline and the row count that marks
+    # One per-patient aggregate gives the baseline's hour and the row count that marks
     # hot patients for the join back.
-    per_patient = d.groupBy(N.PATIENT).agg(_baseline(crea).alias("baseline_crea"),
+    before = _before_treatment(crea)
+    per_patient = d.groupBy(N.PATIENT).agg(F.max(F.when(before, F.col(N.HOURS))).alias("_h"),
                                            F.count(F.lit(1)).alias("_n"))
     hot = hot_from_counts(per_patient, [N.PATIENT], "_n", rows_per_task)
     if baseline_from is not None:
         per_patient = baseline_value(baseline_from, crea)
+    else:
+        per_patient = _closest(d.filter(before), per_patient)
     d = value_delta(d, bucket_hours=bucket_hours)
     v, h = F.col(N.VALUE), F.col(N.HOURS)
     treated = F.col(N.INFNO) != 0

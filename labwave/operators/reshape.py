@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import names as N
-from ..functions.scalar import TIME_BINS, UNBINNED, epoch_micros, exact_hours, nan_to_null, time_bin_label
+from ..functions.scalar import TIME_BINS, UNBINNED, exact_hours, nan_to_null, time_bin_label, time_then_id
 from .diagnostics import CREATININE, METHOTREXATE
 from .joins import split_hot_keys_join
 
@@ -54,11 +54,9 @@ def time_bin_pivot(plasma: DataFrame, infusions: DataFrame, measures=DEFAULT_MEA
     m = split_hot_keys_join(rows, inf, [N.PATIENT, N.INFNO], "left", salt, hot=hot)
     m = m.withColumns({c: nan_to_null(c) for c in measures})
     m = m.withColumn("_bin", time_bin_label(exact_hours("_inf_start", N.SAMPLE_TIME), bins, unbinned))
-    # (time, id) as one number: a buffer of fixed width keeps this a hash aggregate, where
-    # a struct would have every row sorted first.
-    order = (epoch_micros(N.SAMPLE_TIME).cast("decimal(19,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)")
-             + F.col(N.SAMPLE_ID).cast("decimal(19,0)"))
-    m = m.withColumn("_order", order.cast("decimal(38,0)"))
+    # A sample without an id keeps its value: it comes before those of its time that have one.
+    sample = F.coalesce(F.col(N.SAMPLE_ID).cast("long"), F.lit(-(2**63)))
+    m = m.withColumn("_order", time_then_id(N.SAMPLE_TIME, sample))
     aggs, present = [], []
     for meas, label, name in bin_columns(measures, bins, unbinned):
         hit = (F.col("_bin") == label) & F.col(meas).isNotNull()
