@@ -108,8 +108,16 @@ def _long(hours: float) -> str:
     return f"((epoch_us(_et) - epoch_us(_st)) / 3600000000.0 > {_f(hours)})"
 
 
-def dx_sql(key: str) -> str:
+# Limits of the counts over all rules.
+STRICT = {"dx_neutropenia": dict(below=60.0, days=6), "dx_infection": dict(above=450.0, days=4),
+          "dx_hepatic": dict(liver_above=200.0, coagulation_below=5.0, bilirubin_above=200.0), "dx_renal": dict(above=400.0),
+          "dx_thrombocytopenia": dict(below=10.0, hours=60), "dx_pancreatitis": dict(times=10.0, crp_above=150.0)}
+
+
+def dx_sql(key: str, strict: bool = False) -> str:
     _, p = DX[key]
+    if strict:
+        p = {**p, **STRICT.get(key, {})}
     if key == "dx_renal":
         return f"""SELECT {OUT}, coalesce(PL_Value > {_f(p['above'])}, false) AS detection
 FROM ({ATT}) a WHERE IUPAC_CODE = '{p['code']}'"""
@@ -187,13 +195,11 @@ SELECT d4.{OUT.replace(', ', ', d4.')}, d4.{h}, d4.baseline_crea, d4.prev_value,
 FROM d4 LEFT JOIN t ON t.NOPHO_NR = d4.NOPHO_NR AND t.INFNO = d4.INFNO"""
 
 
-def all_dx_sql(only: tuple = ()) -> str:
+def all_dx_sql(strict: bool = False) -> str:
     parts = []
     for key, name in [*((k, name) for k, (name, _) in DX.items()), ("dx_delayed_elimination", "HDM")]:
-        if only and key not in only:
-            continue
         parts.append(f"""SELECT '{name}' AS name, NOPHO_NR, SAMPLE_ID, PL_DATETIME, IUPAC_CODE,
-  PL_Value, INFNO, detection FROM ({dx_sql(key)}) q_{key}""")
+  PL_Value, INFNO, detection FROM ({dx_sql(key, strict)}) q_{key}""")
     return "\nUNION ALL\n".join(parts)
 
 
@@ -283,6 +289,12 @@ PART_DESCRIPTIONS = """SELECT 'P' || CAST(p_partkey AS VARCHAR) AS column_name,
   to_json(map(['size'], [CAST(p_size AS VARCHAR)])) AS details_json FROM part"""
 
 
+TEXT_EVENTS = """SELECT event_id::VARCHAR AS event_id, value::VARCHAR AS value,
+  CASE WHEN event_type <> 'signup' THEN user_id::VARCHAR END AS patient,
+  CASE WHEN event_type = 'signup' THEN event_type ELSE json_extract_string(props, '$.k') END AS mixed,
+  strftime(ts, '%Y-%m-%d') AS day, NULL::VARCHAR AS unused FROM events"""
+
+
 def _bind(text: str, values: dict) -> str:
     for k, v in values.items():
         lit = f"'{v}'" if isinstance(v, str) else repr(v)
@@ -320,8 +332,20 @@ SELECT k.column_name, k.table_name, count(*) AS n_keys, count(*) FILTER (WHERE p
 FROM k JOIN pk ON pk.column_name = k.column_name AND pk.key = k.key GROUP BY k.column_name, k.table_name""",
         "sql_adhoc": ADHOC_SQL,
         "sql_params": _bind(PARAM_SQL, PARAM_VALUES),
-        "csv_roundtrip": "SELECT doc_id, lang, source, text FROM documents",
-        "table_append": INFUSIONS,
+        "csv_roundtrip": "SELECT * FROM documents",
+        "table_append": f"SELECT *, CASE WHEN INFNO <= 4 THEN 'low' ELSE 'high' END AS load_batch FROM ({INFUSIONS}) i",
+        "csv_types": f"""WITH t AS ({TEXT_EVENTS}),
+v AS (SELECT unnest(['event_id', 'value', 'patient', 'mixed', 'day', 'unused']) AS column_name,
+  unnest([event_id, value, patient, mixed, day, unused]) AS x FROM t),
+p AS (SELECT column_name, count(*) AS n_rows, count(*) - count(x) AS n_missing, count(try_cast(x AS BIGINT)) FILTER (x NOT LIKE '%.%') AS n_bigint,
+  count(try_cast(x AS DOUBLE)) AS n_double, count(try_cast(x AS DATE)) FILTER (x LIKE '____-__-__') AS n_date,
+  count(try_cast(x AS TIMESTAMP)) FILTER (x LIKE '____-__-__') AS n_timestamp_ntz FROM v GROUP BY column_name)
+SELECT *, CASE column_name WHEN 'event_id' THEN 'bigint' WHEN 'value' THEN 'double' WHEN 'patient' THEN 'double' WHEN 'day' THEN 'date'
+  ELSE 'string' END AS inferred FROM p""",
+        "csv_inferred": f"""SELECT event_id::BIGINT AS event_id, value::DOUBLE AS value, patient::DOUBLE AS patient, mixed, day, unused
+FROM ({TEXT_EVENTS}) t""",
+        "csv_rejects": f"""SELECT event_id::BIGINT AS event_id, try_cast(mixed AS INTEGER) AS mixed,
+  CASE WHEN try_cast(mixed AS INTEGER) IS NULL AND mixed IS NOT NULL THEN event_id || ',' || mixed END AS record FROM ({TEXT_EVENTS}) t""",
     }
 
 
@@ -337,7 +361,7 @@ def oracles() -> dict[str, str]:
     streak_src = streak_rows(_flagged(), "detection")
     phen = f"""SELECT NOPHO_NR, CAST(max(CAST(detection AS INTEGER)) AS INTEGER) AS PHONOTYPE
 FROM ({all_dx_sql()}) u GROUP BY NOPHO_NR"""
-    rare = phen.replace(all_dx_sql(), all_dx_sql(("dx_pancreatitis", "dx_delayed_elimination")))
+    rare = phen.replace(all_dx_sql(), all_dx_sql(strict=True))
     o = {
         "scan_uppercase": "SELECT " + ", ".join(f'{c} AS "{c.upper()}"' for c in order_cols)
                           + " FROM orders",
@@ -434,9 +458,12 @@ WHERE IUPAC_CODE = 'purchase' AND NOPHO_NR = {CHART_PATIENT} AND PL_Value IS NOT
   AND INFNO IS NOT NULL""",
         "chunk_text": """SELECT doc_id, CAST(g.i AS INTEGER) AS chunk_no, substring(text, CAST(g.i * 4096 + 1 AS BIGINT), 4096) AS chunk
 FROM documents, generate_series(0, CAST(ceil(length(text) / 4096.0) AS BIGINT) - 1) AS g(i)""",
-        "concat_group_text": """SELECT conv_id, CAST(floor(turn / 1024) AS BIGINT) AS piece_no,
-  string_agg(concat_ws(': ', role, text), chr(10) ORDER BY turn, role, text) AS joined_text,
-  count(*) AS n_lines FROM conversations GROUP BY conv_id, piece_no""",
+        "concat_group_text": """WITH l AS (SELECT *, concat_ws(': ', role, text) AS line FROM conversations),
+s AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l)
+SELECT conv_id, CAST(floor(before / 4096) AS BIGINT) AS piece_no,
+  string_agg(line, chr(10) ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) AS joined_text,
+  count(*) AS n_lines FROM s GROUP BY conv_id, piece_no""",
         "sample_with_replacement": f"""WITH r AS (SELECT * EXCLUDE (PL_DAY),
     row_number() OVER (ORDER BY md5(coalesce(CAST(SAMPLE_ID AS VARCHAR), '') || '42'), SAMPLE_ID) - 1 AS spot,
     count(*) OVER () AS total FROM ({ATT}) a),

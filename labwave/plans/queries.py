@@ -7,8 +7,11 @@ functions' own defaults stay the clinical ones).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from .. import names as N
 from ..functions import scalar as S
@@ -47,6 +50,15 @@ DX_PARAMS: dict[str, tuple[str, dict]] = {
                                            times=3.0, crp="error", crp_above=50.0, at=PL_DAY)),
     "dx_delayed_elimination": ("DME", dict(crea=D.CREA_EVENT, mtx=D.MTX_EVENT)),
 }
+#: Stricter limits for the counts over all rules, so that some patients are negative.
+STRICT: dict[str, dict] = {
+    "dx_neutropenia": dict(below=60.0, days=6),
+    "dx_infection": dict(above=450.0, days=4),
+    "dx_hepatic": dict(liver_above=200.0, coagulation_below=5.0, bilirubin_above=200.0),
+    "dx_renal": dict(above=400.0),
+    "dx_thrombocytopenia": dict(below=10.0, hours=60),
+    "dx_pancreatitis": dict(times=10.0, crp_above=150.0),
+}
 #: run_diagnostics also gives the delayed-elimination verdicts under their second name.
 ALL_DX = [*DX_PARAMS.values(), ("HDM", dict(crea=D.CREA_EVENT, mtx=D.MTX_EVENT))]
 
@@ -265,9 +277,8 @@ def q_summary_detection(spark, d):
 
 
 def q_phenotype_counts(spark, d):
-    # The two rarer diagnostics, so that some patients are negative.
-    rare = [DX_PARAMS["dx_pancreatitis"], DX_PARAMS["dx_delayed_elimination"]]
-    return U.phenotype_counts(U.patient_phenotype(X.run_diagnostics(attributed(spark, d), rare)))
+    strict = [(name, {**params, **STRICT.get(key, {})}) for key, (name, params) in DX_PARAMS.items()]
+    return U.phenotype_counts(U.patient_phenotype(X.run_diagnostics(attributed(spark, d), strict)))
 
 
 def q_patients_in_scope(spark, d):
@@ -321,7 +332,7 @@ def q_chunk_text(spark, d):
 
 
 def q_concat_group_text(spark, d):
-    return T.concat_group_text(D.load(spark, d, "conversations"))
+    return T.concat_group_text(D.load(spark, d, "conversations"), piece_chars=4096)
 
 
 # ---------------------------------------------------------------- codebooks
@@ -414,12 +425,45 @@ def q_sql_params(spark, d):
 
 
 def q_csv_roundtrip(spark, d):
-    docs = D.load(spark, d, "documents").select("doc_id", "lang", "source", "text")
+    docs = D.load(spark, d, "documents")
     return FS.csv_roundtrip(spark, docs, "documents-export")
 
 
 def q_table_append(spark, d):
-    return FS.table_append(spark, infusions(spark, d))
+    """Two loads, the second of them run twice: its rows are there once."""
+    table = f"labwave_load_{uuid.uuid4().hex[:12]}"
+    first = F.col(N.INFNO) <= 4
+    for batch, rows in (("low", first), ("high", ~first), ("high", ~first)):
+        FS.table_append(spark, infusions(spark, d).filter(rows), table, batch=batch)
+    return FS.drop_table(spark, table)
+
+
+def _text_events(spark, d) -> DataFrame:
+    """Events as an export of unknown types: all text, one column of mixed values, one
+    with gaps, one without any value."""
+    e = D.load(spark, d, "events")
+    k = F.get_json_object("props", "$.k")
+    return e.select(
+        F.col("event_id").cast("string").alias("event_id"), F.col("value").cast("string").alias("value"),
+        F.when(F.col("event_type") != D.SIGNUP, F.col("user_id").cast("string")).alias("patient"),
+        F.when(F.col("event_type") == D.SIGNUP, F.col("event_type")).otherwise(k).alias("mixed"),
+        F.date_format("ts", "yyyy-MM-dd").alias("day"), F.lit(None).cast("string").alias("unused"))
+
+
+def q_csv_types(spark, d):
+    path = FS.write_csv(_text_events(spark, d), FS.shared_dir(spark, "events-export"))
+    text = T_.StructType([T_.StructField(c, T_.StringType()) for c in ("event_id", "value", "patient", "mixed", "day", "unused")])
+    return FS.type_profile(FS.read_csv(spark, path, text), FS.LADDER + FS.DATES)
+
+
+def q_csv_inferred(spark, d):
+    return FS.read_csv_inferred(spark, FS.write_csv(_text_events(spark, d), FS.shared_dir(spark, "events-export")))
+
+
+def q_csv_rejects(spark, d):
+    path = FS.write_csv(_text_events(spark, d).select("event_id", "mixed"), FS.shared_dir(spark, "events-export"))
+    good, bad = FS.read_csv_rejects(spark, path, T_.StructType([T_.StructField("event_id", T_.LongType()), T_.StructField("mixed", T_.IntegerType())]))
+    return good.withColumn("record", F.lit(None).cast("string")).unionByName(bad)
 
 
 def _dx_query(key):
@@ -488,6 +532,9 @@ QUERIES = {
     "sql_params": q_sql_params,
     "csv_roundtrip": q_csv_roundtrip,
     "table_append": q_table_append,
+    "csv_types": q_csv_types,
+    "csv_inferred": q_csv_inferred,
+    "csv_rejects": q_csv_rejects,
 }
 for _k in DX_PARAMS:
     QUERIES[_k] = _dx_query(_k)
