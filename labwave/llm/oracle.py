@@ -7,7 +7,7 @@ OP1 = r"""
 WITH d AS (
   SELECT doc_id, source,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix-2#' || coalesce(doc_id::VARCHAR, '')) AS h
+         md5('mix-2#' || coalesce('=' || doc_id, '-') || '#' || coalesce('=' || source, '-') || '#' || coalesce('=' || text, '-')) AS h
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -46,14 +46,15 @@ f AS (
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies, source, weight FROM f
 """
 
-# Lines on five or more sites stay only where they occur first.
+# Lines of four or more words on five or more sites stay only where they occur first.
 OP8 = r"""
 WITH s AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
 o AS (
   SELECT doc_id, source, i, trim(ls[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line
   FROM (SELECT doc_id, source, ls, unnest(range(1, len(ls) + 1)) AS i FROM s)),
 c AS (
-  SELECT line, min({'d': doc_id, 'i': i}) AS f FROM o WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 5),
+  SELECT line, min({'d': doc_id, 'i': i}) AS f FROM o
+      WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 4 GROUP BY line HAVING count(DISTINCT source) >= 5),
 g AS (SELECT o.doc_id, o.i, c.line IS NOT NULL AND {'d': o.doc_id, 'i': o.i} <> c.f AS gone FROM o LEFT JOIN c USING (line)),
 t AS (
   SELECT g.doc_id, string_agg(s.ls[g.i], chr(10) ORDER BY g.i) FILTER (NOT gone) AS text, count(*) FILTER (gone) AS n

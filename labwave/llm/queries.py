@@ -11,9 +11,8 @@ from .common import held_out, may_train, read
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document."""
-    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text").select(
-        "doc_id", "source", mixing.n_words(F.col("text")).alias("size")), size_col="size")
-    return mixed.select("row.doc_id", "size", "source_size", "target",
+    mixed = mixing.placed(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target",
                         (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", "weight")
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, ship_package, staged
+from .common import deleted, fresh, ship_package, staged
 from .components import components
 
 SHINGLE = 3
@@ -234,17 +234,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay: of each component the one with the smallest id, once
     even if its row is repeated; rows with a null id stay. Columns unchanged. Texts
-    that share an id are documents of their own."""
+    that share an id are documents of their own.
+
+    Texts are fingerprinted once and meet only the list of ids that go, which Spark
+    sends to all tasks where it has measured it small; ids with several rows are
+    taken out, written and fingerprinted anew."""
     groups = _groups(docs, **options)
     stays = F.col("doc_id") == F.col("component_id")
-    kept = groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(stays).alias("stays"))
-    n, fp = fresh("n"), fresh("fp")
-    kept = staged(kept.filter("stays").select("doc_id", F.col("n").alias(n)), "simhash-kept")
-    repeats = kept.filter(F.col(n) > 1)
+    per_id = groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(stays).alias("stays"))
+    per_id = staged(per_id.filter("n > 1 or not stays"), "simhash-ids")
+    gone = staged(per_id.select("doc_id"), "simhash-gone")
+    repeats = staged(per_id.filter("stays").select("doc_id"), "simhash-repeats")
+    deleted(per_id)
+    fp = fresh("fp")
     picked = (groups.filter(stays).join(repeats, "doc_id", "left_semi").groupBy("doc_id", "root").agg(F.min("fp").alias(fp))
               .select("doc_id", fp))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    single = docs.join(kept.filter(F.col(n) == 1), "doc_id", "left_semi").select(columns)
-    repeated = fingerprints(docs.join(repeats, "doc_id", "left_semi"), fp).join(staged(picked, "simhash-picked"), ["doc_id", fp], "left_semi")
+    # Written before it is fingerprinted: a filter on the fingerprint would else be tried on all texts.
+    repeated = fingerprints(staged(docs.join(repeats, "doc_id", "left_semi"), "simhash-repeated"), fp)
+    repeated = repeated.join(staged(picked, "simhash-picked"), ["doc_id", fp], "left_semi")
     repeated = repeated.groupBy("doc_id", fp).agg(F.min_by(F.struct(*columns), F.xxhash64("text")).alias("_row"))
-    return single.unionByName(repeated.select("_row.*")).unionByName(docs.filter("doc_id is null"))
+    return docs.join(gone, "doc_id", "left_anti").select(columns).unionByName(repeated.select("_row.*"))

@@ -1,4 +1,4 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -79,3 +79,21 @@ def test_size_class_orders_sizes(spark):
     sizes = spark.range(0, 5000).select("id", mixing.size_class(F.col("id")).alias("c")).orderBy("id").collect()
     assert all(a.c <= b.c for a, b in zip(sizes, sizes[1:]))
 
+
+
+def test_reruns_agree_where_ids_repeat(spark):
+    rows = [(7, f"text {i} of a b c", "s") for i in range(40)] + [(None, f"other {i} a b c", "s") for i in range(40)] + [(9, "same text", "t")] * 30
+    texts = [Counter(r.text for r in mixing.mixed_documents(documents(spark, rows).repartition(n)).collect()) for n in (1, 3, 7)]
+    assert texts[0] == texts[1] == texts[2] and sum(texts[0].values()) > 60
+
+
+def test_equal_ids_and_equal_rows_meet_in_no_one_bucket(spark, monkeypatch):
+    """Texts without an id spread over many buckets; a row repeated 5,000 times is one row of its bucket."""
+    seen, staged = {}, mixing.staged
+    monkeypatch.setattr(mixing, "staged", lambda df, name: seen.setdefault(name, staged(df, name)) if name == "mix-alike" else staged(df, name))
+    rows = [(None, f"words of text {i}", "s") for i in range(20_000)] + [(1, "five words in this row", "s")] * 5000
+    got = mixing.mix(documents(spark, rows)).groupBy("row.text").agg(F.sum("copies").alias("n"), F.min("copies").alias("low"), F.max("copies").alias("high"))
+    repeated = got.filter("text = 'five words in this row'").first()
+    assert repeated.high - repeated.low <= 1 and abs(repeated.n - 7500) <= 1
+    buckets = seen["mix-alike"].groupBy("class", "bucket").count().collect()
+    assert len(buckets) >= 30 and max(r["count"] for r in buckets) < 2000

@@ -152,3 +152,11 @@ def test_query_equals_brute_force(spark):
     comp = by_distance({min(ids): f for f, ids in same.items()})
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in op5_simhash_near_dedup(spark, sf).collect()}
     assert got == {i: (f"{f:016x}", comp[min(same[f])]) for i, f in fps.items()}
+
+
+def test_texts_are_fingerprinted_once_and_not_shuffled_again(spark):
+    """Of the plan that returns the documents, only the written rows of repeated ids are fingerprinted."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    plan = simhash.one_of_each(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("ArrowEvalPython", 1)
+    assert above.count("sf0.01/documents.parquet") == 1 and "sf0.01/documents.parquet" not in below and "simhash-repeated" in below
