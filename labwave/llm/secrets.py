@@ -3,7 +3,7 @@
 The patterns give the base spans. Two models of which character follows which are
 counted from labelled samples: random strings are the values that the patterns
 found in all documents, ordinary identifiers are the words that at least two
-documents have. A run of token characters outside the base spans whose log-likelihood
+documents have, alone, in capitals and joined by signs, with separators and dates. A run of token characters outside the base spans whose log-likelihood
 ratio between the two models is high, in sum and for each character, is a span of
 kind ``random``.
 
@@ -33,7 +33,9 @@ KINDS = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 1
 
 #: Runs that the models judge, and the characters they know (others count as one).
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
-ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+#: Signs that ordinary text repeats as separators, and joins words with.
+SIGNS = "-_=+/"
 #: Least log-likelihood ratio of a run, in all and for each character, in nats.
 LEAST_SUM, LEAST_MEAN = 12.0, 0.5
 #: Pairs' worth of belief in a character's overall frequency.
@@ -41,16 +43,15 @@ PRIOR_PAIRS = 8.0
 
 _SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
 _SIZE = len(ALPHABET) + 1
-
-
-def _symbol(text: Column, at) -> Column:
-    return F.call_function("instr", F.lit(ALPHABET), F.substring(text, at, F.lit(1)))
+#: Matches whose spans are gathered before they join those of the text.
+_CHUNK = 256
 
 
 def _pairs(token: Column) -> Column:
-    """The token's neighbouring characters, as numbers below _SIZE * _SIZE."""
-    return F.transform(F.sequence(F.lit(1), F.length(token) - 1),
-                       lambda i: _symbol(token, i) * _SIZE + _symbol(token, i + 1))
+    """The token's neighbouring characters, as numbers below _SIZE * _SIZE. The token is
+    cut into characters once, so a long one takes linear time."""
+    symbols = F.transform(F.split(token, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c))
+    return F.zip_with(F.slice(symbols, 1, F.length(token) - 1), F.slice(symbols, 2, F.length(token) - 1), lambda a, b: a * _SIZE + b)
 
 
 def found(text: Column, pattern: str, keep, kind: int, measured: int = 0) -> Column:
@@ -63,15 +64,51 @@ def found(text: Column, pattern: str, keep, kind: int, measured: int = 0) -> Col
                          whole.alias("whole"), value.alias("value"))
     none = F.array().cast(_SPANS)
 
-    def step(state, x):
-        start = state["at"] + F.length(x["gap"])
+    def step(at, x):
+        start = at + F.length(x["gap"])
         end = start + F.length(x["whole"])
         span = F.array(F.struct(start.cast("long").alias("start"), F.lit(kind).alias("kind"), end.cast("long").alias("end")))
-        return F.struct(end.cast("long").alias("at"), F.concat(state["spans"], F.when(keep(x["value"]), span).otherwise(none)).alias("spans"))
+        return end.cast("long"), F.when(keep(x["value"]), span).otherwise(none)
+
+    return F.when(text.rlike(pattern), _emitted(parts, F.lit(0).cast("long"), step)).otherwise(none)
+
+
+def _emitted(items: Column, start: Column, step) -> Column:
+    """The spans that ``step(state, item) -> (state, spans)`` emits along an array. They are
+    gathered by chunks: one list that grows with every item would be copied each time."""
+    none = F.array().cast(_SPANS)
+    state = lambda at, spans: F.struct(at.alias("at"), spans.alias("spans"))
+
+    def one(s, x):
+        at, spans = step(s["at"], x)
+        return state(at, F.concat(s["spans"], spans))
+
+    def scan(all_items):
+        chunk = lambda s, k: F.aggregate(F.slice(all_items, k * _CHUNK + 1, _CHUNK), state(s["at"], none), one,
+                                         lambda e: state(e["at"], F.concat(s["spans"], e["spans"])))
+        numbers = F.sequence(F.lit(0), F.floor(F.greatest(F.size(all_items) - 1, F.lit(0)) / _CHUNK).cast("int"))
+        return F.aggregate(numbers, state(start, none), chunk, lambda s: s["spans"])
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans"))
-    spans = F.aggregate(parts, start, step, lambda s: s["spans"])
-    return F.when(text.rlike(pattern), spans).otherwise(none)
+    # In a list of one, so that the items are computed once and not for each chunk.
+    return F.get(F.transform(F.array(items), scan), F.lit(0))
+
+
+def apart(more: Column, base: Column) -> Column:
+    """The spans of ``more`` that overlap none of ``base`` (kinds below it), in time linear in
+    both but for the sort: forwards against the furthest end of a base span before, backwards
+    against the nearest start of one behind."""
+    kind, none = len(KINDS), F.array().cast(_SPANS)
+
+    def forwards(reach, x):
+        is_base = x["kind"] < kind
+        return F.when(is_base, F.greatest(reach, x["end"])).otherwise(reach), F.when(is_base | (reach <= x["start"]), F.array(x)).otherwise(none)
+
+    def backwards(least, x):
+        is_base = x["kind"] < kind
+        return F.when(is_base, x["start"]).otherwise(least), F.when(~is_base & (least >= x["end"]), F.array(x)).otherwise(none)
+
+    first = _emitted(F.array_sort(F.concat(base, more)), F.lit(0).cast("long"), forwards)
+    return F.reverse(_emitted(F.reverse(first), F.lit(2 ** 62).cast("long"), backwards))
 
 
 def base_spans(text: Column) -> list[Column]:
@@ -85,6 +122,19 @@ def _counts(tokens: DataFrame) -> dict[int, int]:
     return {r["pair"]: r["count"] for r in pairs.groupBy("pair").count().collect()}
 
 
+def identifiers(words: DataFrame) -> DataFrame:
+    """(token): what ordinary text makes of its words (in capitals, joined by signs), its
+    separators and its dates, as samples of ordinary identifiers."""
+    token, capitals = F.col("token"), F.upper("token")
+    forms = [token, capitals, *[F.concat(F.lit(s), x, F.lit(s)) for s in "_-/=" for x in (token, capitals)]]
+    spark = words.sparkSession
+    signs = spark.range(1).select(F.explode(F.array(*[F.lit(s * 64) for s in SIGNS], F.lit("+-----" * 8 + "+"))).alias("token"))
+    day = F.timestamp_seconds(F.col("id") * 86_413 * 23)  # every 23 days and some minutes, from 1970
+    dates = spark.range(0, 1200).select(F.explode(F.array(*[F.date_format(day, f) for f in ("yyyy-MM-dd'T'HH-mm-ss'Z'", "yyyy/MM/dd/HHmm", "yyyyMMdd'T'HHmmss'Z'",
+                                                                                           "yyyy_MM_dd")])).alias("token"))
+    return words.select(F.explode(F.array(*forms)).alias("token")).unionByName(signs).unionByName(dates)
+
+
 def train(docs: DataFrame) -> list[float] | None:
     """Log-likelihood ratio of each pair: random strings against ordinary identifiers."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -96,11 +146,12 @@ def train(docs: DataFrame) -> list[float] | None:
     plain = text
     for _, pattern, _, _ in KINDS:
         plain = F.regexp_replace(plain, pattern, " ")
-    words = F.array_distinct(F.regexp_extract_all(plain, F.lit(r"[A-Za-z_][A-Za-z0-9_-]{3,}"), F.lit(0)))
+    words = F.array_distinct(F.regexp_extract_all(plain, F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0)))
     # Two hashes are enough to tell whether a word is in two documents, repeated rows being one.
     words = docs.select(F.xxhash64("doc_id", "text").alias("h"), F.explode(words).alias("token"))
     words = words.groupBy("token").agg(F.min("h").alias("low"), F.max("h").alias("high"))
-    ordinary = _counts(words.filter("low < high"))  # a random string hardly occurs in two documents
+    words = words.filter("low < high").select("token")  # a random string hardly occurs in two documents
+    ordinary = _counts(identifiers(words))
 
     def logs(counts: dict[int, int]) -> list[float]:
         """log P(b after a), drawn towards P(b) where a is rare."""
@@ -116,7 +167,7 @@ def train(docs: DataFrame) -> list[float] | None:
 def random_spans(text: Column, model: list[float], kind: int) -> Column:
     ratio = F.array(*[F.lit(x) for x in model])
     total = lambda v: F.aggregate(_pairs(v), F.lit(0.0), lambda s, p: s + F.get(ratio, p))
-    high = lambda v: (total(v) >= LEAST_SUM) & (total(v) >= LEAST_MEAN * F.length(v))
+    high = lambda v: total(v) >= F.greatest(F.lit(LEAST_SUM), LEAST_MEAN * F.length(v))
     return found(text, RUN, high, kind)
 
 
@@ -130,8 +181,7 @@ def scan(docs: DataFrame, model: list[float] | None) -> DataFrame:
     rows = rows.withColumn("base", F.array_sort(base))
     more = random_spans(text, model, len(KINDS)) if model else F.array().cast(_SPANS)
     rows = rows.withColumn("more", more)
-    free = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return rows.withColumn("more", free).drop("text")
+    return rows.withColumn("more", F.when(F.size("more") > 0, apart(F.col("more"), F.col("base"))).otherwise(F.col("more"))).drop("text")
 
 
 def written(spans: Column) -> Column:

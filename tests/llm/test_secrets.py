@@ -93,3 +93,78 @@ def test_no_python_in_the_plan(spark, capsys):
     secrets.scan(docs, secrets.train(docs)).explain("formatted")
     plan = capsys.readouterr().out
     assert not re.search("EvalPython|InPandas|InArrow|PythonUDF|Pandas", plan)
+
+
+ORDINARY = ["-" * 40, "_" * 33, "=" * 72, "+-----+-----+-----+", "MAX_RETRY_ATTEMPT_COUNT", "DEFAULT_TIMEOUT_SECONDS", "2024-11-03T12-30-45Z",
+            "com/example/project/Module2024", "/usr/local/share/applications", "some-hyphenated-identifier-name", "key_value_store=enabled_by_default"]
+
+
+def _corpus():
+    rng = np.random.default_rng(7)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    words = ("maximum retry attempt count default timeout seconds example project module local share application some hyphenated identifier name "
+             "value store enabled with this that from where configuration international representation users systems").split()
+    rows = [(i, " ".join(rng.choice(words, 30)) + f" token={''.join(rng.choice(letters, 32))}") for i in range(400)]
+    strings = ["".join(rng.choice(letters, 28)) for _ in range(20)]
+    return rows, strings
+
+
+def test_separators_constants_dates_and_paths_are_ordinary(spark):
+    rows, strings = _corpus()
+    rows += [(1000 + i, f"here {x} ends") for i, x in enumerate(ORDINARY)] + [(2000 + i, f"here {x} ends") for i, x in enumerate(strings)]
+    got = scanned(spark, rows)
+    assert [x for i, x in enumerate(ORDINARY) if got[1000 + i].more] == []
+    assert sum([(s.start, s.end) for s in got[2000 + i].more] == [(5, 33)] for i in range(20)) >= 18
+
+
+def plain_model(random, ordinary):
+    import math
+    from collections import Counter
+    size, symbol = len(secrets.ALPHABET) + 1, lambda c: secrets.ALPHABET.find(c) + 1
+
+    def logs(tokens):
+        pairs = Counter((symbol(a), symbol(b)) for t in tokens for a, b in zip(t, t[1:]))
+        rows, columns = Counter(), Counter({b: 0.5 for b in range(size)})
+        for (a, b), n in pairs.items():
+            rows[a] += n
+            columns[b] += n
+        alone = {b: columns[b] / sum(columns.values()) for b in range(size)}
+        return {(a, b): math.log((pairs[a, b] + secrets.PRIOR_PAIRS * alone[b]) / (rows[a] + secrets.PRIOR_PAIRS)) for a in range(size) for b in range(size)}
+    one, two = logs(random), logs(ordinary)
+    return lambda t: sum(one[p] - two[p] for p in zip(map(symbol, t), map(symbol, t[1:])))
+
+
+def test_added_spans_equal_a_plain_markov_model(spark):
+    rows, strings = _corpus()
+    rows += [(1000 + i, f"a {x} é {y}!") for i, (x, y) in enumerate(zip(strings, ORDINARY * 2))]
+    docs = documents(spark, rows)
+    random = [m[g] for _, t in rows for _, p, g, least in PATTERNS for m in p.finditer(t) if len(m[g]) >= least]
+    seen = {}
+    for i, t in rows:
+        for _, p, _, _ in PATTERNS:
+            t = p.sub(" ", t) if p.pattern != "[0-9a-f]+" else re.sub("[0-9a-f]{16,}", " ", t)
+        for w in set(re.findall("[A-Za-z0-9+/_=-]{4,}", t)):
+            seen.setdefault(w, set()).add(i)
+    words = spark.createDataFrame([(w,) for w, ids in seen.items() if len(ids) > 1], "token string")
+    ordinary = [r.token for r in secrets.identifiers(words).collect()]
+    score, got = plain_model(random, ordinary), scanned(spark, rows)
+    for i, t in rows:
+        base = [(m.start(), m.end()) for _, p, g, least in PATTERNS for m in p.finditer(t) if len(m[g]) >= least]
+        want = [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", t)
+                if score(m[0]) >= max(secrets.LEAST_SUM, secrets.LEAST_MEAN * len(m[0])) and not any(a < m.end() and m.start() < b for a, b in base)]
+        assert [(s.start, s.end) for s in got[i].more] == want, t
+    assert docs.count() == len(rows)
+
+
+RUN_LENGTH, MATCHES = 1_000_000, 100_000
+
+
+def test_long_runs_and_many_matches_take_linear_time(spark):
+    import time
+    rng = np.random.default_rng(1)
+    run = "".join(rng.choice(list("abcdefgXYZ019+/"), RUN_LENGTH))
+    many = " ".join(f"token=abcdefghijkl{i:06d}" for i in range(MATCHES))
+    t0 = time.time()
+    got = scanned(spark, [(1, run), (2, many), (3, "token=0a1B2c3D4e5F6g7H")])
+    assert len(got[2].s0) == MATCHES and got[2].s0[MATCHES - 1].end == len(many)
+    assert time.time() - t0 < 120
