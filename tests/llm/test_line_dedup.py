@@ -13,7 +13,7 @@ from .helpers import LONG, documents, odd_rows
 BLANK = " \t\r\x0b\x0c"
 
 
-def plain(rows, least):
+def plain(rows, least, words=line_dedup.MIN_WORDS):
     sites, first = defaultdict(set), {}
     for i, text, site in rows:
         for at, line in enumerate((text or "").split("\n")):
@@ -21,7 +21,7 @@ def plain(rows, least):
                 sites[line.strip(BLANK)].add(site)
                 first.setdefault(line.strip(BLANK), (i, at))
                 first[line.strip(BLANK)] = min(first[line.strip(BLANK)], (i, at))
-    gone = {x for x in sites if len(sites[x] - {None}) >= least}
+    gone = {x for x in sites if len(sites[x] - {None}) >= least and len(re.findall(r"[^\x20\x09-\x0D]+", x)) >= words}
     out = {}
     for i, text, site in rows:
         keep = [x for at, x in enumerate((text or "").split("\n")) if x.strip(BLANK) not in gone or first[x.strip(BLANK)] == (i, at)]
@@ -35,18 +35,18 @@ def test_sites_around_the_limit(spark):
     for i in range(400):
         lines = [f"own line {i}", ""] + [f" shared {k} \r" if i % 2 else f"shared {k}" for k in rng.choice(25, 4) if i % 20 < k]
         rows.append((i, "\n".join(lines), f"site{i % 20}" if i % 7 else None))
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
-    assert got == plain(rows, line_dedup.MIN_SITES)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, rows), min_words=1).collect()}
+    assert got == plain(rows, line_dedup.MIN_SITES, 1)
 
 
 def test_many_sites_need_sketches(spark):
     rows = [(i, f"boiler\nline {i}\n" + ("rare" if i < 60 else "common"), f"w{i}") for i in range(400)]
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, rows), min_sites=61).collect()}
-    assert got == plain(rows, 61) and got[3] == "line 3\nrare"
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, rows), min_sites=61, min_words=1).collect()}
+    assert got == plain(rows, 61, 1) and got[3] == "line 3\nrare"
 
 
 def test_odd_rows(spark):
-    rows = odd_rows() + [(40 + k, "All rights reserved.\n" + LONG[:50 * k], f"z{k}") for k in range(6)]
+    rows = odd_rows() + [(40 + k, "All rights are reserved.\n" + LONG[:50 * k], f"z{k}") for k in range(6)]
     docs = documents(spark, rows, clashing=True)
     out = line_dedup.dedup_lines(docs)
     assert out.columns == docs.columns and out.count() == len(rows)
@@ -57,10 +57,21 @@ def test_odd_rows(spark):
 
 def test_repeated_line_in_a_document_and_emptied_document(spark):
     rows = [(1, "x\nx", "a")] + [(i, "x", f"s{i}") for i in range(2, 8)]
-    got = {r.doc_id: (r.text, r.gone) for r in line_dedup.dedup_lines(documents(spark, rows), removed_col="gone").collect()}
+    got = {r.doc_id: (r.text, r.gone) for r in line_dedup.dedup_lines(documents(spark, rows), removed_col="gone", min_words=1).collect()}
     assert got == {1: ("x", 1), **{i: ("", 1) for i in range(2, 8)}}
 
 
+def test_short_lines_stay_however_large_the_corpus(spark):
+    """Lines of one to three words meet on all sites; a planted line of four words goes, and only that."""
+    rng = np.random.default_rng(4)
+    vocabulary = ["the", "of", "and", "to.", "with"]
+    for n in (200, 2000):
+        short = [[" ".join(rng.choice(vocabulary, rng.integers(1, 4))) for _ in range(3)] for _ in range(n)]
+        rows = [(i, "\n".join([*short[i], f"a line of its own {i}"] + ["planted line of words"] * (i % 4 == 0)), f"s{i % 20}") for i in range(n)]
+        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+        assert got == {i: t if i == 0 else t.replace("\nplanted line of words", "") for i, t, _ in rows}
+
+
 def test_empty_table(spark):
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
 
