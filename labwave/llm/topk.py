@@ -18,7 +18,8 @@ Defined cases: a vector that is null or has null or non-finite components takes
 part, nor does a row with a null id; an empty vector scores 0; of two vectors of
 different length the shorter counts as padded with zeros; a repeated row is a
 candidate of its own, and a query of its own (its rows have the same query_id);
-components whose floor(64 x) needs more than 31 bits are an error; an empty table
+components whose floor(64 x) needs more than 62 bits, and scores that need more than
+64, are an error; an empty table
 gives an empty result; other columns are not read.
 """
 
@@ -50,7 +51,7 @@ def quantised(vectors, dims: int) -> np.ndarray:
     for i, v in enumerate(vectors):
         out[i, :len(v)] = v
     out = np.floor(SCALE * out)
-    if out.size and np.abs(out).max() >= 2 ** 30:
+    if out.size and np.abs(out).max() >= 2.0 ** 62:
         raise ValueError("a component is too large for the index")
     return out.astype(np.int64)
 
@@ -96,7 +97,7 @@ def score_slices(index: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Two's complement slices of the inner products of ``query`` with all rows."""
     dims, digits, words = index.shape
     size = np.abs(query)
-    width = int(size.sum() << (digits - 1)).bit_length() + 2
+    width = (sum(size.tolist()) << (digits - 1)).bit_length() + 2  # of any length, so not in 64 bits
     plus: dict[int, list] = {}
     minus: dict[int, list] = {}
     for a in range(int(size.max(initial=0)).bit_length()):
@@ -141,7 +142,9 @@ def scores_at(slices: np.ndarray, rows: np.ndarray) -> np.ndarray:
     bits = (slices[:, rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)
     weights = [1 << d for d in range(len(slices))]
     weights[-1] = -weights[-1]
-    return (bits.astype(np.int64) * np.array(weights, dtype=np.int64)[:, None]).sum(axis=0)
+    wide = object if len(slices) > 62 else np.int64
+    total = (bits.astype(np.int64).astype(wide) * np.array(weights, dtype=wide)[:, None]).sum(axis=0)
+    return total.astype(np.int64)  # a score beyond 64 bits is an error
 
 
 _PART = "block long, grp long, kind int, n long, dims long, digits long, uid binary, id binary, data binary"

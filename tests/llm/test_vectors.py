@@ -120,3 +120,11 @@ def test_queries_equal_brute_force(spark):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert {tuple(r) for r in op2_topk_search(spark, sf).collect()} == brute_topk(rows, 20)
     assert {tuple(r) for r in op9_embedding_near_dedup(spark, sf).collect()} == brute_links(rows)
+
+
+def test_large_components_are_searched_exactly(spark):
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate([(2.0 ** 25, -1.0), (2.0 ** 25 + 1, 3.5), (-2.0 ** 24, 2.0), (0.5, -2.0 ** 23), (1.0, 1.0)])]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") >= 0).collect()
+    ints = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows}
+    want = {(q, c): sum(a * b for a, b in zip(ints[q], ints[c])) for q in ints for c in ints if q != c}
+    assert {(r.query_id, r.vec_id): r.score for r in got} == want
