@@ -14,6 +14,9 @@ not qualify. So hot keys are split explicitly:
    repeated once per salt. Cold keys keep salt 0 and are not repeated;
 4. the join runs on (keys, salt).
 
+Inputs of less than ``LOOK_BYTES`` cannot hold much more than ``DEFAULT_ROWS_PER_TASK``
+rows, so with that budget they are joined as they are, without a count.
+
 A key holding a third of all rows is thereby spread over ``fanout`` tasks. Rows
 with a null key match nothing, so any salt will do: they are spread over
 ``NULL_FANOUT`` salts.
@@ -29,13 +32,20 @@ from pyspark.sql import functions as F
 SALT, FANOUT = "_hk_salt", "_hk_fanout"
 DEFAULT_ROWS_PER_TASK = 4_000_000
 NULL_FANOUT = 512
+#: Bytes of stored input that are searched for crowded keys.
+LOOK_BYTES = 64 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Size of the tables that ``df`` reads, as far as Spark knows it (files as stored)."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def hot_keys(big: DataFrame, on: Sequence[str], rows_per_task: int) -> DataFrame:
     """Keys with more than ``rows_per_task`` rows, with their fan-out."""
     counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_hk_n"))
-    return (counts.filter(F.col("_hk_n") > rows_per_task)
-                  .select(*on, F.ceil(F.col("_hk_n") / F.lit(rows_per_task)).cast("int").alias(FANOUT)))
+    return hot_from_counts(counts, on, "_hk_n", rows_per_task)
 
 
 def hot_from_counts(per_key: DataFrame, on: Sequence[str], count_col: str,
@@ -44,9 +54,11 @@ def hot_from_counts(per_key: DataFrame, on: Sequence[str], count_col: str,
     its rows in ``count_col``: the same table ``hot_keys`` gives, without a
     second pass over the large side (the aggregate is computed for the join
     anyway, and its shuffle is reused)."""
-    return (per_key.filter(F.col(count_col) > rows_per_task)
-                   .select(*on, F.ceil(F.col(count_col) / F.lit(rows_per_task)).cast("int")
-                           .alias(FANOUT)))
+    hot = (per_key.filter(F.col(count_col) > rows_per_task)
+                  .select(*on, F.ceil(F.col(count_col) / F.lit(rows_per_task)).cast("int")
+                          .alias(FANOUT)))
+    hot._rows_per_task = rows_per_task
+    return hot
 
 
 def split_hot_keys_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left",
@@ -64,6 +76,9 @@ def split_hot_keys_join(big: DataFrame, small: DataFrame, on: Sequence[str], how
     on = list(on)
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
+    budget = rows_per_task if hot is None else hot.__dict__.get("_rows_per_task", rows_per_task)
+    if budget >= DEFAULT_ROWS_PER_TASK and input_bytes(big) < LOOK_BYTES:
+        return big.join(small, on=on, how=how)
     hot = hot_keys(big, on, rows_per_task) if hot is None else hot
     hot_on = [c for c in hot.columns if c != FANOUT]
     salt_src = [F.col(salt_col)] if salt_col else [F.col(f"`{c}`") for c in big.columns]

@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import MICROS_PER_HOUR, epoch_micros
 from ..session import shared_dir
+from .joins import LOOK_BYTES, input_bytes
 
 BUCKET, RANGE = "_seq_bucket", "_seq_range"
 _NULL_TIME_BUCKET = 2**62  # rows without a time sort last, in buckets of their own
 _NULL_TIME_IDS = 4096  # ids in each of these
 ROWS_PER_RANGE = 1_000_000
-LOOK_BYTES = 1 << 30
 FAN = 1024
 
 
@@ -56,12 +56,6 @@ def _bucket(df: DataFrame, time_col: str, id_col: str, bucket_hours: float, nume
     return F.coalesce(F.floor(at / width).cast("long"), last)
 
 
-def _input_bytes(df: DataFrame) -> int:
-    """Size of the tables that ``df`` reads, as far as Spark knows it."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
 def _ranges(rows: DataFrame, order: list[Column], n: int, out: str) -> DataFrame:
     """``rows`` in ``n`` ranges of about equal size along ``order``, numbered from 0 in
     ``out``. Written, so that a range has one number however often it is read."""
@@ -82,7 +76,7 @@ def _segments(df: DataFrame, keys: list[str], time_col: str, id_col: str, bucket
             n = max(n, -(-df.count() // rows_per_range))
         return _ranges(df, order, n, BUCKET), [BUCKET], n
     rows = df.withColumn(BUCKET, _bucket(df, time_col, id_col, bucket_hours, numeric))
-    if rows_per_range is None and _input_bytes(df) < LOOK_BYTES:
+    if rows_per_range is None and input_bytes(df) < LOOK_BYTES:
         return rows, [BUCKET], 0
     most = rows_per_range or ROWS_PER_RANGE
     path = shared_dir(df.sparkSession, "crowded")
