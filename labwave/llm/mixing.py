@@ -142,7 +142,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     copy = staged(docs.withColumn(uid, F.monotonically_increasing_id()), "mix-docs")
     found = staged(place(staged(_with_size(copy, uid, id_col, text_col, source_col, size_col), "mix-rows"), **options).drop("doc_id"), "mix-copies")
     whole = copy.select(F.col(uid).alias("uid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return whole.join(found, "uid").drop("uid")
+    # The copies grow with the rows: dealt by number at every size, not sent to all tasks where they are few.
+    return whole.join(found.hint("merge"), "uid").drop("uid")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
