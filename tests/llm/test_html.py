@@ -1,6 +1,9 @@
 import html
 import re
+import time
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import types as T
 
 from labwave.llm import html_text
@@ -115,6 +118,91 @@ def test_votes_of_other_templates_and_pages_without_a_host(spark):
     assert got[310] == ("own " * 50).strip()
 
 
+LONG = "These are the words of the article, and there are many of them. "
+
+
+def test_a_voted_path_replaces_the_choice_only_without_loss(spark):
+    """Two thirds of a page beside the path that its host votes for stay; what the host leaves out goes."""
+    lead, body = LONG * 5, "Another part of the same article, which no other page of this host has. " * 10
+    rows = [(i, "http://h.org/a", f"<body><div class='lead'><p>{lead}</p></div></body>") for i in range(5)]
+    rows.append((9, "http://h.org/b", f"<body><div class='lead'><p>{lead}</p></div><div class='body'><p>{body}</p></div></body>"))
+    rows += [(20 + i, "http://t.org/a", f"<body><div class='text'><p>{LONG * 20}</p></div><div class='teasers'><p>Teaser</p></div></body>") for i in range(5)]
+    rows.append((29, "http://t.org/b", f"<body><div class='text'><p>{LONG * 4}</p></div><div class='teasers'><p>{'Teaser of others. ' * 40}</p></div></body>"))
+    got = texts(spark, rows)
+    assert got[0] == lead.strip() and got[9] == lead.strip() + "\n" + body.strip()
+    assert got[29] == (LONG * 4).strip()
+
+
+def test_elements_without_an_end_do_not_swallow_the_article(spark):
+    parts = ["<nav><ul><li><a href='x'>Menu</a></li></ul>", "<footer><a href='x'>Menu</a>", "<menu><a href='x'>Menu</a>",
+             "<select><option>One</option>", "<button>", "<nav><button><a href='x'>Menu</a>"]
+    bodies = ["<article><h1>Title</h1><p>{}</p></article>", "<div class='post'><h1>Title</h1><p>{}</p></div>"]
+    rows = [(10 * k + i, f"http://h{k}x{i}.org/", f"<html><head><title>x</title><body>{p}{b.format(LONG * 3)}") for k, p in enumerate(parts) for i, b in enumerate(bodies)]
+    rows += [(100 + k, f"http://c{k}.org/", f"<body>{p}<p>Words.</p></{p[1:].partition('>')[0]}><div class='post'><p>{LONG}</p></div><aside><article>Tease</article></aside>")
+             for k, p in enumerate(parts)]
+    got = texts(spark, rows)
+    assert {k: t for k, t in got.items() if k < 100 and t != "Title\n" + (LONG * 3).strip()} == {}
+    assert {t for k, t in got.items() if k >= 100} == {LONG.strip()}
+
+
+def test_names_inside_an_article(spark):
+    """Comments, adverts, sidebars and notices go by the heads of their names; parts of sentences stay where a name fits an article too."""
+    gone = ("user-comments reader-comments author-comments comments-wrapper comment-section ad-container ad-wrapper google-ad adsbygoogle left-sidebar "
+            "right-sidebar sidebar-left cookie-notice-wrap userComments sponsored-content newsletter-box").split()
+    unless = "related-content social-icons share-tools pagination-wrapper related-posts share widget banner".split()
+    stay = "banner side post-form login-post story-share ad-story main-side related-work side-effects discussion menu-planning elementor-widget-container".split()
+    rows = []
+    for k, name in enumerate(gone):
+        rows.append((k, f"http://g{k}.org/", f"<article><p>{LONG}</p><section class='{name}'><p>{LONG}</p></section></article>"))
+    for k, name in enumerate(unless):
+        rows.append((100 + k, f"http://u{k}.org/", f"<article><p>{LONG}</p><div class='{name}'><a href='x'>{LONG}</a><p>Share</p></div></article>"))
+    for k, name in enumerate(stay):
+        rows.append((200 + k, f"http://s{k}.org/", f"<article><p>{LONG}</p><section class='{name}'><p>{LONG}</p></section></article>"))
+    got = texts(spark, rows)
+    names = dict(enumerate(gone)) | {100 + k: n for k, n in enumerate(unless)} | {200 + k: n for k, n in enumerate(stay)}
+    assert [names[k] for k, t in got.items() if t != LONG.strip() and k < 200] == []
+    assert [names[k] for k, t in got.items() if t != LONG.strip() + "\n" + LONG.strip() and k >= 200] == []
+
+
+def test_doubtful_blocks_that_recur_on_a_host_go(spark):
+    page = "<article><p>{0}</p><div class='share'><p>Share this article with all of your friends now.</p></div><p>End {1}.</p></article>"
+    rows = [(i, "http://h.org/", page.format(LONG, i)) for i in range(4)] + [(9, "http://one.org/", page.format(LONG, 9))]
+    got = texts(spark, rows)
+    assert got[0] == f"{LONG.strip()}\nEnd 0." and "friends" in got[9]
+
+
+def test_long_odd_pages_take_linear_time():
+    marks = ["<div>", "<div class='a'>text ", "<nav>", "<button>x", "<!--", "<a ", "<a href=\"", "</", "<?", "&", "<select><div>"]
+    pages = [m * 40_000 for m in marks] + [m * 40_000 + ">end" for m in marks] + ["<div>" * 40_000 + "</section>" * 40_000]
+    for page in pages:
+        start = time.process_time()
+        keys, sides, best, doubts, body = html_text.parsed(page)
+        html_text.extract(body, best, None, None)
+        assert time.process_time() - start < 10, page[:20]
+
+
+@given(st.lists(st.tuples(st.integers(0, 8), st.integers(0, 50)), min_size=1, max_size=9), st.data())
+@settings(max_examples=300, deadline=None)
+def test_choice_against_brute_force(tree, data):
+    """A path wins by votes among those without which little of the own choice's text is lost, dismissed parts aside."""
+    up = [-1] + [min(p, i) for i, (p, _) in enumerate(tree[1:])]
+    own = [n for _, n in tree]
+    best = data.draw(st.integers(0, len(up) - 1))
+    paths = [{"number": i, "votes": data.draw(st.integers(0, 3)), "left": data.draw(st.integers(-1, 3))} for i in range(len(up)) if data.draw(st.booleans())]
+
+    def chain(i):
+        return [] if i < 0 else [i, *chain(up[i])]
+
+    gone = {p["number"] for p in paths if p["left"] >= html_text.DISMISSED}
+    whole = sum(n for i, n in enumerate(own) if best in chain(i))
+    fit = []
+    for p in paths:
+        lost = sum(n for i, n in enumerate(own) if best in chain(i) and p["number"] not in chain(i) and not gone & set(chain(i)))
+        if p["votes"] and lost <= html_text.LOST * whole:
+            fit.append((-p["votes"], -sum(n for i, n in enumerate(own) if p["number"] in chain(i)), p["number"]))
+    assert html_text.chosen(up, own, best, paths) == (min(fit)[2] if fit else best)
+
+
 def test_query_equals_the_articles(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.page_id: r for r in op7_html_text(spark, sf).collect()}
