@@ -1,7 +1,7 @@
 """Exact top-k search by inner product on a bit-sliced index.
 
 Every component x becomes floor(64 x). The rows are dealt to blocks of about
-``BLOCK_ROWS``; a block's index holds, for each component and each binary digit,
+``BLOCK_ROWS`` at most; a block's index holds, for each component and each binary digit,
 one bitmap over the block's rows (the slice), the highest digit being the sign. A
 query's scores are again slices: for each digit of each of its components, the
 block's slices are added at that weight by carry-save adders on whole bitmaps, once
@@ -10,9 +10,12 @@ most significant score slice downward: rows with the digit stay ahead as long as
 at most k are ahead. What is left at the end are rows of one score, and of those
 the smallest ids are taken. Scores are exact integers; nothing is estimated.
 
-Blocks and groups of ``QUERIES`` queries meet once each; a task holds one block and
-one group, and returns k rows for each query, of which the k best over all blocks
-remain.
+Every row is sent to the task of its block once, raw; the block's index is built there
+when the first query arrives, and the queries, dealt to all blocks, are read after the rows and
+answered in the batches they come in. So no index is copied, and a task holds one block
+and one batch of queries. It returns k rows for each query, of which the k best over all
+blocks remain. A block holds at most ``BLOCK_VALUES`` components, and fewer rows where the
+table would else give less than one block for each shuffle partition.
 
 Defined cases: a vector that is null or has null or non-finite components takes no
 part, nor does a row with a null id; an empty vector scores 0; of two vectors of
@@ -25,6 +28,8 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -35,7 +40,10 @@ from .common import ship_package, staged
 SCALE = 64
 K = 20
 BLOCK_ROWS = 16384
-QUERIES = 1024
+#: Components that a block holds at most: 8 MB as doubles.
+BLOCK_VALUES = 1 << 20
+#: Rows below which a block is not cut further for parallelism.
+LEAST_ROWS = 4096
 
 
 def usable(vector: Column) -> Column:
@@ -147,58 +155,72 @@ def scores_at(slices: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return total.astype(np.int64)  # a score beyond 64 bits is an error
 
 
-_PART = "block long, grp long, kind int, n long, dims long, digits long, uid binary, id binary, data binary"
+_FOUND = "query_uid long, query_id long, uid long, vec_id long, score long"
+
+
+def blocks_for(rows: int, dims: int, partitions: int, block_rows: int = BLOCK_ROWS) -> int:
+    """Number of blocks: as many as memory asks for, or one for each partition while
+    blocks keep ``LEAST_ROWS`` rows."""
+    fitting = max(1, min(block_rows, BLOCK_VALUES // max(1, dims)))
+    return max(1, -(-rows // fitting), min(partitions, -(-rows // LEAST_ROWS)))
+
+
+def _answer(dims: int, k: int):
+    """Reads rows sorted by block, the block's own rows before its queries."""
+    def answers(block: tuple, asked: pd.DataFrame) -> pd.DataFrame:
+        table, uids, ids, every, place = block
+        out = []
+        queries = quantised(asked["v"].to_list(), dims)
+        for query, uid, qid in zip(queries, asked["uid"].tolist(), asked["id"].tolist()):
+            among = every.copy()
+            if (own := place.get(uid)) is not None:
+                among[own >> 6] &= ~(np.uint64(1) << np.uint64(own & 63))
+            slices = score_slices(table, query)
+            top = best_rows(slices, among, k)
+            out.append(pd.DataFrame({"query_uid": uid, "query_id": qid, "uid": uids[top], "vec_id": ids[top],
+                                     "score": scores_at(slices, top)}))
+        return pd.concat(out)
+
+    def indexed(rows: pd.DataFrame) -> tuple:
+        rows = rows.sort_values(["id", "uid"])
+        table = slices_of(quantised(rows["v"].to_list(), dims))
+        uids, ids = rows["uid"].to_numpy("int64"), rows["id"].to_numpy("int64")
+        every = np.packbits(np.arange(table.shape[2] * 64) < len(rows), bitorder="little").view(np.uint64)
+        return table, uids, ids, every, {u: i for i, u in enumerate(uids.tolist())}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, block = None, [], None
+        for batch in batches:
+            for here, part in batch.groupby("block", sort=True):
+                if here != at:
+                    at, held, block = here, [], None
+                own = part[~part["asked"]]
+                if len(own):
+                    held.append(own)
+                asked = part[part["asked"]]
+                if len(asked) and held:
+                    block, held = indexed(pd.concat(held)), []
+                if len(asked) and block:
+                    yield answers(block, asked)
+    return run
 
 
 def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding",
-           k: int = K, block_rows: int = BLOCK_ROWS, queries: int = QUERIES) -> DataFrame:
+           k: int = K, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's k best other rows."""
-    ship_package(vectors.sparkSession)
+    spark = vectors.sparkSession
+    ship_package(spark)
     rows = staged(vectors.filter(usable(F.col(f"`{vector_col}`")) & F.col(f"`{id_col}`").isNotNull())
                   .select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("id"),
                           F.coalesce(is_query, F.lit(False)).alias("asks"),
                           F.col(f"`{vector_col}`").cast("array<double>").alias("v")), "topk-rows")
-    n, asking, dims = rows.agg(F.count(F.lit(1)), F.count_if("asks"), F.max(F.size("v"))).first()
-    blocks, groups, dims = max(1, -(-n // block_rows)), max(1, -(-asking // queries)), int(dims or 0)
-
-    def index(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["id", "uid"])
-        table = slices_of(quantised(part["v"].to_list(), dims))
-        return pd.DataFrame({"block": part["block"].iloc[:1].to_numpy(), "grp": 0, "kind": 0, "n": len(part), "dims": dims,
-                             "digits": table.shape[1], "uid": [part["uid"].to_numpy("<i8").tobytes()],
-                             "id": [part["id"].to_numpy("<i8").tobytes()], "data": [table.tobytes()]})
-
-    def ask(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": 0, "grp": part["grp"].iloc[:1].to_numpy(), "kind": 1, "n": len(part), "dims": dims, "digits": 0,
-                             "uid": [part["uid"].to_numpy("<i8").tobytes()], "id": [part["id"].to_numpy("<i8").tobytes()],
-                             "data": [quantised(part["v"].to_list(), dims).astype("<i8").tobytes()]})
-
-    def answer(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        there = {r.kind: r for r in part.itertuples()}
-        if len(there) == 2:
-            x, q = there[0], there[1]
-            table = np.frombuffer(x.data, np.uint64).reshape(x.dims, x.digits, -1)
-            uids, ids = np.frombuffer(x.uid, "<i8"), np.frombuffer(x.id, "<i8")
-            every = np.packbits(np.arange(table.shape[2] * 64) < x.n, bitorder="little").view(np.uint64)
-            place = {u: i for i, u in enumerate(uids.tolist())}
-            asked = np.frombuffer(q.data, "<i8").reshape(q.n, -1)
-            for query, uid, qid in zip(asked, np.frombuffer(q.uid, "<i8").tolist(), np.frombuffer(q.id, "<i8").tolist()):
-                among = every.copy()
-                if (own := place.get(uid)) is not None:
-                    among[own >> 6] &= ~(np.uint64(1) << np.uint64(own & 63))
-                slices = score_slices(table, query)
-                top = best_rows(slices, among, k)
-                out.append(pd.DataFrame({"query_uid": uid, "query_id": qid, "uid": uids[top], "vec_id": ids[top],
-                                         "score": scores_at(slices, top)}))
-        return pd.concat(out) if out else pd.DataFrame({c: np.empty(0, np.int64) for c in ("query_uid", "query_id", "uid", "vec_id", "score")})
-
-    dealt = lambda name, count, salt: F.pmod(F.xxhash64("uid", F.lit(salt)), F.lit(count)).alias(name)
-    tables = (rows.select("uid", "id", "v", dealt("block", blocks, 1)).groupBy("block").applyInPandas(index, _PART)
-                  .withColumn("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))))
-    asked = (rows.filter("asks").select("uid", "id", "v", dealt("grp", groups, 2)).groupBy("grp").applyInPandas(ask, _PART)
-                 .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))))
-    found = (tables.unionByName(asked).groupBy("block", "grp")
-                   .applyInPandas(answer, "query_uid long, query_id long, uid long, vec_id long, score long"))
+    n, dims = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    dims = int(dims or 0)
+    blocks = blocks_for(n, dims, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), block_rows)
+    own = rows.select(F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("long").alias("block"), F.lit(False).alias("asked"), "uid", "id", "v")
+    asked = rows.filter("asks").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
+                                       F.lit(True).alias("asked"), "uid", "id", "v")
+    dealt = own.unionByName(asked).repartition("block").sortWithinPartitions("block", "asked")
+    found = dealt.mapInPandas(_answer(dims, k), _FOUND)
     best = Window.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id", "uid")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

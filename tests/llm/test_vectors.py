@@ -32,15 +32,33 @@ def brute_topk(rows, step, k=20):
     return want
 
 
-@pytest.mark.parametrize("blocks, queries", [(16384, 1024), (37, 5)])
-def test_topk_equals_brute_force(spark, blocks, queries):
+@pytest.mark.parametrize("blocks, batch", [(16384, 10000), (37, 10000), (37, 7)])
+def test_topk_equals_brute_force(spark, blocks, batch):
     rng = np.random.default_rng(0)
     rows = [(i, np.round(rng.standard_normal(5), 1), 1) for i in range(300)] + odd() + [(2000, [1.0, -2.0], 1)]
     rows += [(i, [0.25] * 5, 2) for i in range(400, 430)]  # ties
-    got = topk.search(table(spark, rows), F.col("vec_id") % 20 == 0, block_rows=blocks, queries=queries).collect()
+    setting, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(setting, batch)  # blocks and their queries cut anywhere
+    try:
+        got = topk.search(table(spark, rows), F.col("vec_id") % 20 == 0, block_rows=blocks).collect()
+    finally:
+        spark.conf.set(setting, before)
     assert {tuple(r) for r in got} == brute_topk(rows, 20) and len(got) == len(set(got))
 
 
+def test_blocks_fit_memory_and_parallelism():
+    assert topk.blocks_for(0, 0, 8) == 1 and topk.blocks_for(4000, 64, 8) == 1
+    assert topk.blocks_for(10256, 64, 12) == 3 and topk.blocks_for(10 ** 6, 64, 8) == 62
+    assert topk.blocks_for(10 ** 6, 4096, 8) == -(-10 ** 6 // 256)
+
+
+def test_rows_are_shuffled_once_and_no_index_is_copied(spark):
+    rows = [(i, [1.0, float(i)], 1) for i in range(40)]
+    found = topk.search(table(spark, rows), F.col("vec_id") % 20 == 0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and plan.count("Generate") == 1 and "Join" not in plan
+
+
 def test_topk_few_rows_and_repeats(spark):
     rows = [(0, [1.0, 0.0], 1), (3, [0.5, 0.5], 1), (0, [1.0, 0.0], 1)]
     got = sorted(map(tuple, topk.search(table(spark, rows), F.col("vec_id") % 20 == 0).collect()))
