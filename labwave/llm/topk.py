@@ -14,8 +14,7 @@ Every row is sent to the task of its block once, raw; the block's index is built
 when the first query arrives, and the queries, dealt to all blocks, are read after the rows and
 answered in the batches they come in. So no index is copied, and a task holds one block
 and one batch of queries. It returns k rows for each query, of which the k best over all
-blocks remain. A block holds at most ``BLOCK_VALUES`` components, and fewer rows where the
-table would else give less than one block for each shuffle partition.
+blocks remain. A block holds at most ``BLOCK_VALUES`` components.
 
 Defined cases: a vector that is null or has null or non-finite components takes no
 part, nor does a row with a null id; an empty vector scores 0; of two vectors of
@@ -42,8 +41,6 @@ K = 20
 BLOCK_ROWS = 16384
 #: Components that a block holds at most: 8 MB as doubles.
 BLOCK_VALUES = 1 << 20
-#: Rows below which a block is not cut further for parallelism.
-LEAST_ROWS = 4096
 
 
 def usable(vector: Column) -> Column:
@@ -158,11 +155,9 @@ def scores_at(slices: np.ndarray, rows: np.ndarray) -> np.ndarray:
 _FOUND = "query_uid long, query_id long, uid long, vec_id long, score long"
 
 
-def blocks_for(rows: int, dims: int, partitions: int, block_rows: int = BLOCK_ROWS) -> int:
-    """Number of blocks: as many as memory asks for, or one for each partition while
-    blocks keep ``LEAST_ROWS`` rows."""
-    fitting = max(1, min(block_rows, BLOCK_VALUES // max(1, dims)))
-    return max(1, -(-rows // fitting), min(partitions, -(-rows // LEAST_ROWS)))
+def blocks_for(rows: int, dims: int, block_rows: int = BLOCK_ROWS) -> int:
+    """Number of blocks: as few as memory allows, since a query has a fixed cost in each."""
+    return max(1, -(-rows // max(1, min(block_rows, BLOCK_VALUES // max(1, dims)))))
 
 
 def _answer(dims: int, k: int):
@@ -208,15 +203,14 @@ def _answer(dims: int, k: int):
 def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding",
            k: int = K, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's k best other rows."""
-    spark = vectors.sparkSession
-    ship_package(spark)
+    ship_package(vectors.sparkSession)
     rows = staged(vectors.filter(usable(F.col(f"`{vector_col}`")) & F.col(f"`{id_col}`").isNotNull())
                   .select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("id"),
                           F.coalesce(is_query, F.lit(False)).alias("asks"),
                           F.col(f"`{vector_col}`").cast("array<double>").alias("v")), "topk-rows")
     n, dims = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     dims = int(dims or 0)
-    blocks = blocks_for(n, dims, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), block_rows)
+    blocks = blocks_for(n, dims, block_rows)
     own = rows.select(F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("long").alias("block"), F.lit(False).alias("asked"), "uid", "id", "v")
     asked = rows.filter("asks").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
                                        F.lit(True).alias("asked"), "uid", "id", "v")

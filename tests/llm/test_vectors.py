@@ -46,10 +46,9 @@ def test_topk_equals_brute_force(spark, blocks, batch):
     assert {tuple(r) for r in got} == brute_topk(rows, 20) and len(got) == len(set(got))
 
 
-def test_blocks_fit_memory_and_parallelism():
-    assert topk.blocks_for(0, 0, 8) == 1 and topk.blocks_for(4000, 64, 8) == 1
-    assert topk.blocks_for(10256, 64, 12) == 3 and topk.blocks_for(10 ** 6, 64, 8) == 62
-    assert topk.blocks_for(10 ** 6, 4096, 8) == -(-10 ** 6 // 256)
+def test_blocks_fit_memory():
+    assert topk.blocks_for(0, 0) == 1 and topk.blocks_for(16384, 64) == 1 and topk.blocks_for(16385, 64) == 2
+    assert topk.blocks_for(10 ** 6, 4096) == -(-10 ** 6 // 256)
 
 
 def test_rows_are_shuffled_once_and_no_index_is_copied(spark):
