@@ -2,8 +2,8 @@
 
 Every line is hashed (128 bits, white space at its ends aside). For each hash a
 HyperLogLog sketch of the sites it occurs on is built by a grouped aggregate, whose
-partial sketches merge across tasks. A line of at least ``MIN_WORDS`` words on at least
-``MIN_SITES`` sites is boilerplate: it stays where it occurs first (smallest document id, then line) and
+partial sketches merge across tasks. A line on at least ``MIN_SITES`` sites is
+boilerplate: it stays where it occurs first (smallest document id, then line) and
 goes everywhere else. Estimates further from the limit than the sketch's error
 decide at once; lines nearer get an exact distinct count.
 
@@ -12,8 +12,8 @@ joined again within their own row. A line that half of all documents share is
 combined before the shuffle, and the join back reads written tables on both sides,
 so its rows can be split.
 
-Defined cases: a null text stays null and has no lines; a line of fewer
-words, an empty and a blank one are never boilerplate; a null site is no site; a null id comes first; a repeated row
+Defined cases: a null text stays null and has no lines; an empty or blank line is
+never boilerplate; a null site is no site; a null id comes first; a repeated row
 (same id, text and site) is the same document, edited alike; a document that loses
 all its lines stays with an empty text; an empty table gives an empty result; other
 columns pass unchanged.
@@ -27,9 +27,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, WORD, fresh, staged
 
 MIN_SITES = 5
-#: Words from which a line's spread says something: shorter lines meet by chance in a
-#: large corpus, whatever their number of sites.
-MIN_WORDS = 4
+#: Every line that has a word is judged by its spread, however short it is.
+MIN_WORDS = 1
 LG_K = 12
 #: Standard error of a merged sketch, and how many of them count as near.
 ERROR, NEAR = 1.04 / (1 << LG_K) ** 0.5, 6.0
@@ -48,7 +47,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     bare = F.btrim("line", F.lit(_BLANK))
     occ = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{site_col}`").cast("string").alias("site"), k1.alias("k1"),
                       k2.alias("k2"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n", -1)).alias("at", "line"))
-    enough = WORD + f"(?:{SPACE}{WORD}){{{min_words - 1}}}"  # that many words; shorter lines are never boilerplate
+    enough = WORD + f"(?:{SPACE}{WORD}){{{min_words - 1}}}"  # that many words
     occ = staged(occ.filter(F.col("line").rlike(enough))
                  .select("id", "site", "k1", "k2", "at", F.xxhash64(bare).alias("h1"), F.xxhash64(F.lit(1), bare).alias("h2")), "lines")
     spread = (occ.groupBy("h1", "h2")

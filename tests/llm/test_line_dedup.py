@@ -61,17 +61,30 @@ def test_repeated_line_in_a_document_and_emptied_document(spark):
     assert got == {1: ("x", 1), **{i: ("", 1) for i in range(2, 8)}}
 
 
-def test_short_lines_stay_however_large_the_corpus(spark):
-    """Lines of one to three words meet on all sites; a planted line of four words goes, and only that."""
+def test_short_lines_stay_if_asked_for(spark):
+    """Lines of one to three words meet on all sites; with a least number of words a planted line of four goes, and only that."""
     rng = np.random.default_rng(4)
     vocabulary = ["the", "of", "and", "to.", "with"]
     for n in (200, 2000):
         short = [[" ".join(rng.choice(vocabulary, rng.integers(1, 4))) for _ in range(3)] for _ in range(n)]
         rows = [(i, "\n".join([*short[i], f"a line of its own {i}"] + ["planted line of words"] * (i % 4 == 0)), f"s{i % 20}") for i in range(n)]
-        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, rows), min_words=4).collect()}
         assert got == {i: t if i == 0 else t.replace("\nplanted line of words", "") for i, t, _ in rows}
 
 
+def test_short_lines_go_too(spark, tmp_path):
+    """The query, its SQL and the operator judge lines of one to three words like any other."""
+    rows = [(i, f"Home\n own line {i}\nAll rights reserved.\nSee also" + "\nfour sites" * (i < 4), f"s{i % 6}") for i in range(30)]
+    want = {i: rows[0][1] if i == 0 else f" own line {i}" + "\nfour sites" * (i < 4) for i in range(30)}
+    docs = documents(spark, rows)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == want
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.text, r.n_removed) for r in op8_line_dedup(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == {i: (t, 0 if i == 0 else 3) for i, t in want.items()} == {i: (t, n) for i, t, n in con.execute(OP8).fetchall()}
+
+
 def test_empty_table(spark):
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
 
