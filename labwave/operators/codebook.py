@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import Column
 
-from .joins import DEFAULT_ROWS_PER_TASK, hot_from_counts, split_hot_keys_join
-from .sequence import streaks
+from .joins import DEFAULT_ROWS_PER_TASK, hot_from_counts, split_hot_keys_join, with_least
+from .sequence import ordered_position, ordered_row_number
 
 CELL_SEPARATOR = " | "
 
@@ -86,22 +86,20 @@ def describe_columns(columns: DataFrame, sheet: DataFrame, name: str = "column_n
     place and last value). A variable whose first question is empty, or a
     column with no variable, is described by its own name.
 
-    Sheet order is (``row``, ``tie``). Runs come from one bucketed scan over the
-    sheet. A numeric aggregate finds each variable's first run (and counts its
-    rows, which marks hot variables); a semi join keeps that run's rows only,
-    so the text aggregates that follow see a variable's first run, not the
-    whole sheet. One join with the column list at the end.
+    Sheet order is (``row``, ``tie``). Rows get their position in the sheet, and their
+    number within the variable: the difference of the two stays the same along a run and
+    grows from run to run, so a variable's first run is where it is least. The sheet is
+    shuffled once by position and once by variable, whose few rows of the first run are
+    then aggregated where they lie. One join with the column list at the end.
     """
     tie = tie or row
     pos = F.struct(*[F.col(c) for c in ([row] if tie == row else [row, tie])])
-    runs = streaks(sheet.select(variable, question, detail, row, tie) if tie != row
-                   else sheet.select(variable, question, detail, row),
-                   variable, [], row, tie, bucket_hours=bucket_rows, id_out="_run",
-                   start_out="_rs", end_out="_re", numeric=True).drop("_rs", "_re")
-    first_run = runs.groupBy(variable).agg(F.min("_run").alias("_run"), F.count(F.lit(1)).alias("_n"))
-    hot = hot_from_counts(first_run, [variable], "_n", rows_per_task)
-    first = split_hot_keys_join(runs, first_run.drop("_n"), [variable, "_run"], "left_semi",
-                                hot=hot)
+    placed = ordered_position(sheet.select(variable, question, detail, *dict.fromkeys([row, tie])), row, tie, "_at")
+    runs = ordered_row_number(placed.filter(F.col(variable).isNotNull()), [variable], "_at", "_at", "_k",
+                              bucket_hours=bucket_rows, numeric=True)
+    runs = runs.withColumn("_run", F.col("_at") - F.col("_k")).drop("_k")
+    first = with_least(runs, [variable], F.col("_run"), "_least", "_at", rows_per_task)
+    first = first.filter(F.col("_run") == F.col("_least"))
     per_detail = first.groupBy(variable, detail).agg(
         F.min(pos).alias("_first"),
         F.max(F.struct(pos.alias("p"), F.coalesce(F.col(question), F.col(detail)).alias("v")))

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALT, FANOUT = "_hk_salt", "_hk_fanout"
@@ -34,6 +34,8 @@ DEFAULT_ROWS_PER_TASK = 4_000_000
 NULL_FANOUT = 512
 #: Bytes of stored input that are searched for crowded keys.
 LOOK_BYTES = 64 << 20
+#: Counters of ``may_be_crowded``.
+SLOTS = 1 << 16
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -42,6 +44,33 @@ def input_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
+def may_be_crowded(df: DataFrame, keys: Sequence[str], most: int) -> bool:
+    """Whether a key may have more than ``most`` rows. Rows are counted by a hash of their
+    key, so each task sends ``SLOTS`` counts whatever the number of keys; no crowded key
+    is missed. Inputs of less than ``LOOK_BYTES`` hold no more than a task takes."""
+    if most >= DEFAULT_ROWS_PER_TASK and input_bytes(df) < LOOK_BYTES:
+        return False
+    slot = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(SLOTS))
+    counts = df.groupBy(slot.alias("_hk_slot")).agg(F.count(F.lit(1)).alias("_hk_n"))
+    return not counts.filter(F.col("_hk_n") > most).isEmpty()
+
+
+def with_least(df: DataFrame, keys: Sequence[str], value: Column, out: str, salt_col: str | None = None,
+               rows_per_task: int = DEFAULT_ROWS_PER_TASK) -> DataFrame:
+    """``df`` with the least ``value`` of each row's key in ``out``; rows with a null key go.
+
+    Where no key has more rows than a task takes, that is a window over the keys: the
+    rows are shuffled once, and not at all if they already lie by key. Else the values
+    are aggregated and joined back with hot keys split."""
+    for k in keys:
+        df = df.filter(F.col(f"`{k}`").isNotNull())
+    if not may_be_crowded(df, keys, rows_per_task):
+        return df.withColumn(out, F.min(value).over(Window.partitionBy(*[F.col(f"`{k}`") for k in keys])))
+    per_key = df.groupBy(*keys).agg(F.min(value).alias(out), F.count(F.lit(1)).alias("_hk_n"))
+    hot = hot_from_counts(per_key, keys, "_hk_n", rows_per_task)
+    return split_hot_keys_join(df, per_key.drop("_hk_n"), keys, "inner", salt_col, hot=hot)
+
+
 def hot_keys(big: DataFrame, on: Sequence[str], rows_per_task: int) -> DataFrame:
     """Keys with more than ``rows_per_task`` rows, with their fan-out."""
     counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_hk_n"))

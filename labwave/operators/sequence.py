@@ -24,6 +24,9 @@ The rows are shuffled once; the summaries are tiny. Segments are
   all of them either.
 
 Rows without a time come last and are bucketed by their id.
+
+Row numbers need neither segments nor summaries where no key has more than
+``ROWS_PER_RANGE`` rows: they are a window over the keys, and the rows are shuffled once.
 """
 
 from __future__ import annotations
@@ -36,12 +39,15 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import MICROS_PER_HOUR, epoch_micros
 from ..session import shared_dir
-from .joins import LOOK_BYTES, input_bytes
+from .joins import LOOK_BYTES, input_bytes, may_be_crowded
 
 BUCKET, RANGE = "_seq_bucket", "_seq_range"
 _NULL_TIME_BUCKET = 2**62  # rows without a time sort last, in buckets of their own
 _NULL_TIME_IDS = 4096  # ids in each of these
 ROWS_PER_RANGE = 1_000_000
+BYTES_PER_RANGE = 16 << 20  # of stored input, for one range of a global order
+_UNKNOWN_BYTES = 1 << 60  # Spark's size of rows that are in no table is larger
+_INDEX_BITS = 33  # of Spark's increasing ids, the number within the partition
 FAN = 1024
 
 
@@ -198,11 +204,40 @@ def ordered_row_number(df: DataFrame, keys: Sequence[str], time_col: str, id_col
                        out_col: str, bucket_hours: float = 24.0, numeric: bool = False,
                        rows_per_range: int | None = None) -> DataFrame:
     """1-based position within ``keys`` ordered by (time, id), as int."""
+    keys = list(keys)
+    if keys and rows_per_range is None and (
+            input_bytes(df) < LOOK_BYTES or not may_be_crowded(df, keys, ROWS_PER_RANGE)):
+        return df.withColumn(out_col, F.row_number().over(_row_window(keys, [], time_col, id_col)))
     out = ordered_prefix_sums(df, keys, time_col, id_col, {"_seq_rn": F.lit(1).cast("long")},
                               bucket_hours, numeric, rows_per_range)
     return out.withColumnRenamed("_seq_rn", out_col).withColumn(out_col, F.col(out_col).cast("int"))
 
 
+def ordered_position(df: DataFrame, time_col: str, id_col: str, out_col: str) -> DataFrame:
+    """0-based position in the one order of all rows by (time, id), as long.
+
+    The rows are shuffled once, to ranges that are sorted and written with Spark's
+    increasing ids; a range's positions start at the number of rows in the ranges before
+    it. Neighbours in the order differ by 1, so runs need no window over the ranges."""
+    spark = df.sparkSession
+    order = [F.col(time_col).asc_nulls_last(), F.col(id_col).asc()]
+    size = input_bytes(df)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    if size < _UNKNOWN_BYTES:
+        n = max(n, -(-size // BYTES_PER_RANGE))
+    path = shared_dir(spark, "positions")
+    rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(out_col, F.monotonically_increasing_id())
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path).withColumns({
+        BUCKET: F.shiftright(out_col, _INDEX_BITS),
+        out_col: F.col(out_col).bitwiseAND(F.lit((1 << _INDEX_BITS) - 1))})
+    counts = rows.groupBy(BUCKET).agg((F.max(out_col) + 1).alias("_seq_n"))
+    base = _carried(counts, [], [BUCKET], n, {"_seq_base": ("sum", "_seq_n")}).select(BUCKET, "_seq_base")
+    out = rows.join(F.broadcast(base), BUCKET)  # a row for each range
+    return out.withColumn(out_col, F.col(out_col) + F.coalesce("_seq_base", F.lit(0))).select(
+        *[F.col(f"`{c}`") for c in df.columns], out_col)
+
+
 def _run_value(df: DataFrame, col: str) -> Column:
     if dict(df.dtypes)[col] == "boolean":
         return F.coalesce(F.col(col), F.lit(False))

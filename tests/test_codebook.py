@@ -47,6 +47,61 @@ def test_describe_columns(spark):
     assert got["nocode"] == ("nocode", None)
 
 
+def _described(cols, sheet, **how):
+    return {r["column_name"]: (r["description"], r["j"])
+            for r in CB.describe_columns(cols, sheet, **how).withColumn("j", F.to_json("details")).collect()}
+
+
+def _plain_description(rows):
+    """First contiguous run of each variable in sheet order, one row after the other."""
+    first, done, last = {}, set(), None
+    for v, q, x, _ in sorted(rows, key=lambda r: (r[3] is None, r[3] or 0)):
+        if last is not None and v != last:
+            done.add(last)
+        last = v
+        if v is not None and v not in done:
+            first.setdefault(v, []).append((q, x))
+    out = {}
+    for v, run in first.items():
+        details = {}
+        for q, x in run:
+            if x is not None:
+                details[x] = q if q is not None else x
+        out[v] = (v, None) if run[0][0] is None else (run[0][0].strip(), json.dumps(details, separators=(",", ":")))
+    return out
+
+
+def test_described_runs_with_and_without_hot_variables(spark):
+    """Runs over the borders of ranges, null variables between rows of one variable, rows without a number:
+    the same descriptions whether a variable's rows fit one task or not."""
+    names = ["a"] * 40 + ["b", "a", None, "b", "b"] * 30 + ["c"] * 3 + [None, "c"] + ["d"] * 200 + ["e", "d"] * 20
+    rows = [(v, None if i % 11 == 3 else f" q{i} ", f"x{i % 5}" if i % 7 else None, i * 3) for i, v in enumerate(names)]
+    rows.append(("f", "last", "1", None))
+    sheet = spark.createDataFrame(rows, "variable string, question string, detail_value string, row_no long").repartition(5)
+    cols = spark.createDataFrame([(v,) for v in "abcdef"], "column_name string")
+    want = _plain_description(rows)
+    for how in ({}, dict(rows_per_task=7), dict(rows_per_task=7, bucket_rows=3)):
+        assert _described(cols, sheet, **how) == want
+
+
+def _exchanges(df):
+    df.collect()  # so the plan is final
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+            if " Exchange " in line and "RoundRobin" not in line]
+
+
+def test_sheets_are_shuffled_once_by_key(spark, tmp_path):
+    """One shuffle carries the sheet's rows to their variable or column; all else lies there already."""
+    path = str(tmp_path / "sheet")
+    spark.range(20_000).select(
+        F.concat(F.lit("v"), F.pmod(F.xxhash64("id"), F.lit(3000))).alias("variable"), F.concat(F.lit("q"), "id").alias("question"),
+        (F.col("id") % 7).cast("string").alias("detail_value"), F.col("id").alias("row_no")).write.parquet(path)
+    sheet = spark.read.parquet(path)
+    cols = sheet.select(F.col("variable").alias("column_name")).distinct()
+    rows = [x for x in _exchanges(CB.describe_columns(cols, sheet)) if "hashpartitioning(variable" in x]
+    assert len(rows) == 1, rows
+
+
 def test_merge_second_wins(spark):
     a = spark.createDataFrame([("x", "old"), ("y", "keep")], "column_name string, description string")
     b = spark.createDataFrame([("x", "new")], "column_name string, description string")
