@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import Column
 
-from .joins import DEFAULT_ROWS_PER_TASK, hot_from_counts, split_hot_keys_join, with_least
+from .joins import DEFAULT_ROWS_PER_TASK, with_least
 from .sequence import ordered_position, ordered_row_number
 
 CELL_SEPARATOR = " | "
@@ -23,13 +23,11 @@ CELL_SEPARATOR = " | "
 def codebook_split(sheet: DataFrame, column: str = "column_name", row: str = "row_no",
                    cell: str = "cell", rows_per_task: int = DEFAULT_ROWS_PER_TASK) -> DataFrame:
     """Cells to (code, label); a column's codes stop at its first empty cell, and
-    a column whose first cell is empty has no codes. The first empty row of each
-    column is one grouped aggregate, joined back to the cells; a column without a name
-    has no codes."""
+    a column whose first cell is empty has no codes; a column without a name has none.
+    Cells that lie by column, as a numbered sheet's do, are not shuffled again."""
     empty = F.col(cell).isNull() | (F.trim(cell) == "")
-    stop = sheet.groupBy(column).agg(F.min(F.when(empty, F.col(row))).alias("_stop"), F.count(F.lit(1)).alias("_n"))
-    hot = hot_from_counts(stop, [column], "_n", rows_per_task)
-    kept = split_hot_keys_join(sheet, stop.drop("_n"), [column], "inner", row, hot=hot)
+    kept = with_least(sheet, [column], F.when(empty, F.col(row)), "_stop", row, rows_per_task)
+    kept = kept.select(column, *[c for c in kept.columns if c != column])
     kept = kept.filter(F.col("_stop").isNull() | (F.col(row) < F.col("_stop"))).drop("_stop")
     parts = F.split(F.col(cell), r" \| ", 2)
     return kept.select(*[c for c in kept.columns if c != cell],

@@ -84,6 +84,15 @@ def test_described_runs_with_and_without_hot_variables(spark):
         assert _described(cols, sheet, **how) == want
 
 
+def test_split_with_and_without_hot_columns(spark):
+    rows = [(f"c{i % 9}" if i % 10 else None, "D", i, None if i % 97 == 96 else f"{i} | l{i}") for i in range(600)]
+    sheet = _sheet(spark, rows).repartition(4)
+    stop = {c: min([r[2] for r in rows if r[0] == c and r[3] is None], default=10**9) for c in {r[0] for r in rows}}
+    want = sorted((c, "D", i, str(i), f"l{i}") for c, _, i, x in rows if c is not None and i < stop[c])
+    for most in (4_000_000, 10):
+        assert sorted(tuple(r) for r in CB.codebook_split(sheet, rows_per_task=most).collect()) == want
+
+
 def _exchanges(df):
     df.collect()  # so the plan is final
     return [line for line in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
@@ -100,6 +109,10 @@ def test_sheets_are_shuffled_once_by_key(spark, tmp_path):
     cols = sheet.select(F.col("variable").alias("column_name")).distinct()
     rows = [x for x in _exchanges(CB.describe_columns(cols, sheet)) if "hashpartitioning(variable" in x]
     assert len(rows) == 1, rows
+    cells = sheet.select(F.col("variable").alias("column_name"), F.col("question").alias("description"), "row_no",
+                         F.concat("detail_value", F.lit(" | "), "question").alias("cell"))
+    rows = [x for x in _exchanges(CB.codebook_maps(CB.codebook_split(cells))) if "hashpartitioning(column_name" in x]
+    assert len(rows) == 1, rows
 
 
 def test_merge_second_wins(spark):
