@@ -59,13 +59,14 @@ def with_least(df: DataFrame, keys: Sequence[str], value: Column, out: str, salt
                rows_per_task: int = DEFAULT_ROWS_PER_TASK) -> DataFrame:
     """``df`` with the least ``value`` of each row's key in ``out``; rows with a null key go.
 
-    Where no key has more rows than a task takes, that is a window over the keys: the
-    rows are shuffled once, and not at all if they already lie by key. Else the values
+    Where no key has more rows than a task takes, that is a running window over the keys,
+    in whose order the least value comes first: the rows are shuffled once, and not at all if they already lie by key. Else the values
     are aggregated and joined back with hot keys split."""
     for k in keys:
         df = df.filter(F.col(f"`{k}`").isNotNull())
     if not may_be_crowded(df, keys, rows_per_task):
-        return df.withColumn(out, F.min(value).over(Window.partitionBy(*[F.col(f"`{k}`") for k in keys])))
+        upto = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(value.asc_nulls_last())
+        return df.withColumn(out, F.min(value).over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     per_key = df.groupBy(*keys).agg(F.min(value).alias(out), F.count(F.lit(1)).alias("_hk_n"))
     hot = hot_from_counts(per_key, keys, "_hk_n", rows_per_task)
     return split_hot_keys_join(df, per_key.drop("_hk_n"), keys, "inner", salt_col, hot=hot)
